@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, gif
+from . import decontaminate, gif, pii, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +16,25 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.gif_features(gif.with_gif(table(spark, sf_dir, "documents")))
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.coalesce(F.regexp_count("base", F.lit(f"{kind}:")), F.lit(0)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.edit_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_gif_media": op1_gif_media,
+    "op3_pii_spans": op3_pii_spans,
+    "op5_url_filter": op5_url_filter,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
