@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, minhash, pii, tokencount, transducer, urls
+from . import decontaminate, gif, minhash, pii, tokencount, toxicity, transducer, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.gif_features(gif.with_gif(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=toxicity.LEARNABLE)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    scored = toxicity.with_toxicity(docs, net)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.coalesce(F.regexp_count("base", F.lit(f"{kind}:")), F.lit(0)).cast("long").alias(f"n_{kind}")
@@ -47,6 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_gif_media": op1_gif_media,
+    "op2_toxicity": op2_toxicity,
     "op3_pii_spans": op3_pii_spans,
     "op5_url_filter": op5_url_filter,
     "op7_token_counts": op7_token_counts,
