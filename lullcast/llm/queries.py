@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, minhash, pii, tokencount, toxicity, transducer, urls
+from . import decontaminate, gif, minhash, pii, substrings, tokencount, toxicity, transducer, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_pii_spans": op3_pii_spans,
     "op5_url_filter": op5_url_filter,
+    "op6_repeat_removal": op6_repeat_removal,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
