@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, minhash, pii, substrings, tokencount, toxicity, transducer, urls
+from . import decontaminate, gif, langmodel, minhash, pii, substrings, tokencount, toxicity, transducer, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return langmodel.score(docs, langmodel.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_gif_media": op1_gif_media,
     "op2_toxicity": op2_toxicity,
     "op3_pii_spans": op3_pii_spans,
+    "op4_cross_entropy_difference": op4_cross_entropy_difference,
     "op5_url_filter": op5_url_filter,
     "op6_repeat_removal": op6_repeat_removal,
     "op7_token_counts": op7_token_counts,
