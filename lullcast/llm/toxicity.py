@@ -30,7 +30,7 @@ from . import textvec as tv
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT, BUCKETS = 8, 12, 1 << 14
-SAMPLE, TRAIN_CHARS = 1200, 8000
+SAMPLE, TRAIN_CHARS = 1000, 5000
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
@@ -120,7 +120,11 @@ class Network:
         if not len(ids):
             return np.zeros((0, INPUT), np.float32)
         n = np.diff(gram_at).astype(np.float32)
-        return self.p["word"][ids] + np.add.reduceat(self.p["char"][grams], gram_at[:-1], axis=0) / n[:, None]
+        out = self.p["word"][ids]
+        for a in range(0, len(ids), 20000):
+            at = gram_at[a : a + 20001]
+            out[a : a + 20000] += np.add.reduceat(self.p["char"][grams[at[0] : at[-1]]], at[:-1] - at[0], axis=0) / n[a : a + 20000, None]
+        return out
 
     def run(self, x: np.ndarray, windows: np.ndarray, trace: dict | None = None) -> np.ndarray:
         """Logits of the windows over the words' inputs ``x``."""
