@@ -2,13 +2,14 @@
 
 Documents with equal shingle sets are one class from the start.  Of each other
 class the representative's signature is cut into bands; documents that share a
-band are candidates.  A bucket's members are first held against its smallest one.
+band are candidates.  A bucket's members are first held against its most central one.
 Candidates' signatures are compared batch by batch, and a pair is dropped once the
 posterior probability that its similarity reaches the threshold (uniform prior)
 falls below ``MISS``.  What survives is verified on the full shingle sets.  Then
-the members of a bucket that are still in different components, and only those,
-are held against each other in the same way, so no link between buckets' members
-is lost and a group of copies never makes all its pairs.
+the documents of buckets whose members are still in different components, and only
+those, are clustered by their rarest shingles (``_rare_first``, an exact filter), and
+a cluster's documents take the same two tests, block by block.  So no link between a bucket's members is
+lost, and a group of copies never makes all its pairs.
 
 Words: A-Z lower-cased, maximal runs of other bytes than space and \\x09-\\x0D.  A
 document's set has its distinct ``k``-word shingles; with fewer words the whole
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -36,6 +38,12 @@ ROWS = 5
 #: The chance that bands, and that the posterior bound, miss a pair at the threshold.
 MISS = 1e-7
 BATCH = 20
+#: Signature values that tell how central a bucket's member is.
+CENTRAL = 16
+#: Ids at most that are broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Documents of one block; two blocks meet in a task.
+BLOCK = 1024
 _IS_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 _STEP = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -125,13 +133,97 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int, n_hashes: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, work: Work) -> DataFrame:
-    """Of ``pairs (a, b)`` those whose full sets reach the threshold, with exact counts."""
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The listed documents; a list of at most ``BROADCAST_ROWS`` ids is broadcast, a longer one joined by a shuffle."""
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
+def _rare_first(open_: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, n_hashes: int, work: Work) -> DataFrame:
+    """Links ``a, b`` between open documents (``doc_id, n, c``) of different components.
+
+    With shingles in one order, the rarest among the open documents first, two sets that
+    reach it share one of their first n - ceil(percent * n / 100) + 1 shingles.  What only
+    one document has takes a place there but links nothing, and bounds what a pair can have
+    in common, so copies that each differ from all others too much make no pair.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                found = list(shingle_sets(part.column(1), k))
+                rows = np.repeat(np.arange(part.num_rows), [len(s) for s in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["doc_id", "s"])
+
+    rows = work.save(_chosen(docs, open_.select("doc_id")).mapInArrow(sets, "doc_id bigint, s bigint").distinct())
+    often = rows.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    shared = rows.join(often, "s")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("f", "s"))
+    alone = F.col("n") - F.count("*").over(W.partitionBy("doc_id"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    heads = shared.withColumn("place", place).join(open_, "doc_id").withColumn("alone", alone).filter(F.col("place") + F.col("alone") <= length)
+    heads = work.save(heads.select("s", "doc_id", "n", "c", (F.col("n") - F.col("alone")).alias("m")))
+    mixed = heads.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("s")
+    heads = heads.join(mixed, "s", "left_semi")
+    # all pairs to try lie within a cluster of documents that share such shingles
+    near = work.save(heads.join(heads.groupBy("s").agg(F.min("doc_id").alias("hub")), "s").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    cluster = components(near, work).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "k")
+    blocks = cluster.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    blk = F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int")
+    dealt = cluster.join(blocks, "k").withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("doc_id", "k", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
+    facts = heads.select("doc_id", "n", "c", "m").distinct().join(reps.select("doc_id", "sig"), "doc_id")
+    full = _chosen(docs, cluster.select("doc_id")).mapInArrow(_packed(k), "doc_id bigint, s binary")
+    out = work.save(dealt.join(work.save(facts.join(full, "doc_id")), "doc_id").groupBy("k", "bi", "bj").applyInArrow(_block_links(percent, n_hashes), "a bigint, b bigint").distinct())
+    work.drop(rows, near)
+    return out
+
 
+def _packed(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], names=["doc_id", "s"])
 
+    return sets
+
+
+def _block_links(percent: int, n_hashes: int):
+    """Links between two blocks of a cluster: bounds, then the sequential test, then full sets; only links leave it."""
+    stops = [(n, least_matches(n, percent)) for n in range(BATCH, n_hashes + 1, BATCH)]
+
+    def run(t: pa.Table) -> pa.Table:
+        col = lambda c: t.column(c).combine_chunks()
+        ids, n, c, m, blk, bi, bj = (np.asarray(col(x)) for x in ("doc_id", "n", "c", "m", "blk", "bi", "bj"))
+        sig = np.frombuffer(b"".join(col("sig").to_pylist()), np.uint32).reshape(len(ids), n_hashes)
+        packed = col("s")
+        sets: dict[int, np.ndarray] = {}
+        of = lambda i: sets.setdefault(i, np.frombuffer(packed[i].as_py(), np.uint64))
+        left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+        same = bi[0] == bj[0]
+        out: list[tuple[int, int]] = []
+        for at, i in enumerate(left.tolist()):
+            other = right[at + 1 :] if same else right
+            most = np.minimum(m[i], m[other])
+            live = other[(c[other] != c[i]) & (most * 100 >= percent * (n[i] + n[other] - most))]
+            matches, done = np.zeros(len(live), np.int64), 0
+            for stop, least in stops:
+                if not len(live):
+                    break
+                matches = matches + (sig[live, done:stop] == sig[i, done:stop]).sum(axis=1)
+                live, matches, done = live[matches >= least], matches[matches >= least], stop
+            for j in live.tolist():
+                both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, work: Work) -> DataFrame:
+    """Of ``pairs (a, b)`` those whose full sets reach the threshold, with exact counts."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -142,7 +234,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, work: Wor
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = work.save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, s binary"))
+    full = work.save(_chosen(docs, wanted).mapInArrow(_packed(k), "doc_id bigint, s binary"))
     left = full.select(F.col("doc_id").alias("a"), F.col("s").alias("x"))
     right = full.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
     out = work.save(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct())
@@ -163,23 +255,26 @@ def near_duplicates(df: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_i
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * (4 * rows) + 1, F.lit(4 * rows)), i))
     banded = reps.select(F.col("doc_id").alias("rep"), "n", F.explode(keys).alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1 and hub.rep is not null").select("key", "hub")
-    members = work.save(banded.join(hubs, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    members = work.save(banded.join(shared, "key", "left_semi").select("key", "rep", "n"))
+    # the bucket's member whose hashes most documents share: edited copies lie around it
+    values = F.transform(F.sequence(F.lit(0), F.lit(CENTRAL - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * 4 + 1, F.lit(4)), i))
+    grouped = members.select("rep").distinct()
+    some = work.save(reps.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode(values).alias("v")))
+    central = some.join(some.groupBy("v").agg(F.count("*").alias("f")), "v").groupBy("rep").agg(F.sum(F.log2("f")).alias("mass"))
+    placed = members.join(central.withColumn("mass", F.round("mass", 3)), "rep")
+    hubs = placed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("minus"), "n")).alias("h")).select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
     fits = lambda m, n: (m * 100 >= n * percent) & (n * 100 >= m * percent)
-    first = members.filter((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    first = members.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     likely = work.save(_likely(first, reps, percent, n_hashes))
     links = _verified(likely, docs, k, percent, work)
     found = components(links, work)
 
-    inside = work.save(members.filter("rep <> hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
+    inside = work.save(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
     mixed = inside.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = work.save(inside.join(mixed, "key", "left_semi"))
-    x = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    y = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    second = x.join(y, "key").filter((F.col("ac") != F.col("bc")) & (F.col("a") < F.col("b")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
-    likely2 = work.save(_likely(second, reps, percent, n_hashes))
-    more = _verified(likely2, docs, k, percent, work)
-    work.drop(members, inside, open_, likely, likely2, reps)
+    open_ = work.save(inside.join(mixed, "key", "left_semi").select(F.col("rep").alias("doc_id"), "n", "c").distinct())
+    more = _rare_first(open_, docs, reps, k, percent, n_hashes, work)
+    work.drop(members, some, inside, open_, likely, reps)
     final = components(links.unionByName(more), work)
 
     whole = sigs.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
