@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(Path(__file__).parent.parent))
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
