@@ -15,10 +15,11 @@ against them.
 
 Steps: (1) boundaries whose ``GRAM`` bytes occur once take part in no repeat;
 (2) boundaries whose whole context (``length`` bytes each way, cut at the
-document's ends) occurs again are covered by it; (3) for each other boundary the
-windows that hold it are tried in ranges: a range is tried only if the bytes that
-all its windows share occur in another context too; (4) the windows left are
-matched by 128-bit fingerprints.
+document's ends) occurs again are covered by it; (3) for each other boundary whose
+gram is in several contexts, the windows that hold it are judged in ranges: a range
+whose whole span occurs in another context is covered, and one whose shared bytes
+occur in no other context is out; (4) the windows of the ranges left are matched
+by 128-bit fingerprints.
 
 Cases: null and empty texts keep nothing and lose nothing; a text of fewer than
 ``length`` bytes loses nothing; repeated rows lose all their strings of ``length``
@@ -40,8 +41,8 @@ from . import textvec as tv
 from .work import Work
 
 LENGTH = 200
-GRAM = 16
-RANGES = 4
+GRAM = 40
+RANGES = 8
 _SECOND = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 32) - 1)
 #: Rows at most of a list of documents that is broadcast (two integers each); longer lists are joined by a shuffle.
@@ -72,8 +73,7 @@ def _ranges(length: int, gram: int) -> list[tuple[int, int]]:
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each boundary: its gram, its whole context's fingerprint, and the shared bytes' of each range."""
-    ranges = _ranges(length, gram)
+    """One row for each boundary: its gram, and the fingerprint of its whole context with the boundary's place in it."""
     back = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,41 +87,71 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 lo, hi = at[doc], at[doc + 1]
                 a, z = np.maximum(lo, p - back), np.minimum(hi, p + length)
                 side = (p - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                cores = []
-                for q, (d0, d1) in enumerate(ranges):
-                    s, e = p - d0, p - d1 + length
-                    real = (s >= lo) & (e <= hi)
-                    h = tv.span_hash(one, np.where(real, s, 0), np.where(real, e, 0)) + np.uint64(q + 1)
-                    cores.append(np.where(real, h, 0).astype(np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(doc + i)), b.column(1).take(pa.array(doc + i)), pa.array((p - lo).astype(np.int32)), pa.array((a - lo).astype(np.int32)), pa.array((z - lo).astype(np.int32)), pa.array(tv.span_hash(one, p, p + gram).view(np.int64)), pa.array(tv.mix(tv.span_hash(one, a, z) + side).view(np.int64)), pa.array(tv.mix(tv.span_hash(two, a, z) + side).view(np.int64)), *map(pa.array, cores)],
-                    names=["u1", "u2", "p", "a", "z", "g", "b1", "b2", *(f"c{q}" for q in range(RANGES))],
-                )
+                keys = (tv.span_hash(one, p, p + gram), tv.mix(tv.span_hash(one, a, z) + side), tv.mix(tv.span_hash(two, a, z) + side))
+                rows = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array((p - lo).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in keys)], names=["u1", "u2", "p", "size", "g", "b1", "b2"])
 
-    return docs.mapInArrow(run, "u1 bigint, u2 int, p int, a int, z int, g bigint, b1 bigint, b2 bigint, " + ", ".join(f"c{q} bigint" for q in range(RANGES)))
+    return docs.mapInArrow(run, "u1 bigint, u2 int, p int, size int, g bigint, b1 bigint, b2 bigint")
+
+
+def _range_keys(tasks: DataFrame, length: int, gram: int) -> DataFrame:
+    """For each listed boundary and each range that has windows: fingerprints of the range's whole span and of what all its windows share."""
+    d0, d1 = np.array(_ranges(length, gram)).T
+    names = ["u1", "u2", "p", "single", "q", "a", "z", "w1", "w2", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int32, np.int32, np.bool_, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64)
+        for b in batches:
+            u1, u2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            tasks_at = np.asarray(b.column(3).offsets)
+            places, singles = (np.asarray(b.column(3).values.field(x)).astype(np.int64) for x in (0, 1))
+            text, offs = tv.utf8(b.column(2))
+            parts: list[tuple] = []
+            for i in range(b.num_rows):
+                buf = text[offs[i] : offs[i + 1]]
+                p, single, n = places[tasks_at[i] : tasks_at[i + 1]], singles[tasks_at[i] : tasks_at[i + 1]], len(buf)
+                one, two = tv.prefix_hash(buf), tv.prefix_hash(buf, _SECOND)
+                # one row for each boundary and range
+                near, far = np.maximum(d0[None, :], p[:, None] + length - n), np.minimum(d1[None, :], p[:, None])
+                row, q = np.nonzero(near <= far)
+                x, near, far = p[row], near[row, q], far[row, q]
+                side = (far.astype(np.uint64) + (q.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                w1, w2 = (tv.mix(tv.span_hash(h, x - far, x - near + length) + side) for h in (one, two))
+                core = tv.span_hash(one, x - d0[q], x - d1[q] + length) + q.astype(np.uint64) + np.uint64(1)
+                parts.append((np.full(len(x), u1[i]), np.full(len(x), u2[i]), x, single[row] > 0, q, x - far, x - near + length, w1.view(np.int64), w2.view(np.int64), core.view(np.int64)))
+            cols = zip(*parts, strict=True) if parts else [[np.zeros(0)]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return tasks.mapInArrow(run, "u1 bigint, u2 int, p int, single boolean, q int, a int, z int, w1 bigint, w2 bigint, c bigint")
 
 
 def _windows(tasks: DataFrame, length: int, gram: int) -> DataFrame:
     """Fingerprints of the windows that hold the given boundaries, in the given ranges."""
-    ranges = _ranges(length, gram)
+    first = [d for d, _ in _ranges(length, gram)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.bool_)
         for b in batches:
+            u1, u2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            tasks_at = np.asarray(b.column(3).offsets)
+            place, rng, flag = (np.asarray(b.column(3).values.field(x)).astype(np.int64) for x in (0, 1, 2))
+            text, offs = tv.utf8(b.column(2))
+            parts: list[tuple] = []
             for i in range(b.num_rows):
-                buf, offs = tv.utf8(b.column(2).slice(i, 1))
-                todo = np.array([(t["p"], t["q"], t["single"]) for t in b.column(3)[i].as_py()], np.int64).reshape(-1, 3)
+                buf, own_tasks = text[offs[i] : offs[i + 1]], slice(tasks_at[i], tasks_at[i + 1])
                 one, two = tv.prefix_hash(buf), tv.prefix_hash(buf, _SECOND)
-                starts, own = owners(buf, offs, one, length, gram)
-                q = np.searchsorted([d for d, _ in ranges], own - starts, "right") - 1
-                code, asked = own * RANGES + q, todo[:, 0] * RANGES + todo[:, 1]
+                starts, own = owners(buf, np.array([0, len(buf)]), one, length, gram)
+                q = np.searchsorted(first, own - starts, "right") - 1
+                code, asked = own * RANGES + q, place[own_tasks] * RANGES + rng[own_tasks]
                 order = np.argsort(asked)
                 at = np.minimum(np.searchsorted(asked[order], code), len(asked) - 1)
                 take = asked[order][at] == code
-                s, single = starts[take], todo[order][at][take, 2] > 0
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(tv.span_hash(one, s, s + length).view(np.int64)), pa.array(tv.span_hash(two, s, s + length).view(np.int64)), pa.repeat(b.column(0)[i], n), pa.repeat(b.column(1)[i], n), pa.array(s.astype(np.int32)), pa.array(single)], names=["h1", "h2", "u1", "u2", "s", "single"])
+                s = starts[take]
+                parts.append((tv.span_hash(one, s, s + length).view(np.int64), tv.span_hash(two, s, s + length).view(np.int64), np.full(len(s), u1[i]), np.full(len(s), u2[i]), s, flag[own_tasks][order][at][take] > 0))
+            cols = zip(*parts, strict=True) if parts else [[np.zeros(0)]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["h1", "h2", "u1", "u2", "s", "ask"])
 
-    return tasks.mapInArrow(run, "h1 bigint, h2 bigint, u1 bigint, u2 int, s int, single boolean")
+    return tasks.mapInArrow(run, "h1 bigint, h2 bigint, u1 bigint, u2 int, s int, ask boolean")
 
 
 def _kept(found: DataFrame) -> DataFrame:
@@ -153,24 +183,37 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id
     docs = df.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("u1"), F.hash(F.col(text), F.col(doc_id)).alias("u2"), F.col(doc_id).cast("long").alias("doc_id"), value.alias("text"))
     doc = ["u1", "u2"]
 
+    def with_text(rows: DataFrame, *columns: str) -> DataFrame:
+        """``u1, u2, text, todo``: the rows of each document beside its text."""
+        todo = work.save(rows.groupBy(*doc).agg(F.collect_list(F.struct(*columns)).alias("todo")))
+        return _only(docs, todo.select(*doc), "left_semi").join(todo, doc).select("u1", "u2", "text", "todo")
+
     anchors = _anchors(docs.select("u1", "u2", "text"), length, gram)
     often = anchors.groupBy("g").count().filter("count > 1").select("g")
-    shared = work.save(anchors.join(often, "g", "left_semi").drop("g"))
-    cores = F.array(*(F.struct(F.col(f"c{q}").alias("c"), F.lit(q).alias("q")) for q in range(RANGES)))
-    contexts = work.save(shared.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min(F.struct("u1", "u2", "p", *(f"c{q}" for q in range(RANGES)))).alias("r")).select("b1", "b2", "n", "r.*"))
-    again = contexts.filter("n > 1").select("b1", "b2")
-    covered = work.save(shared.join(again, ["b1", "b2"], "left_semi").select(*doc, "a", "z"))
-
-    tries = work.save(contexts.select(*doc, "p", (F.col("n") == 1).alias("single"), F.explode(cores).alias("k")).select(*doc, "p", "single", "k.c", "k.q").filter("c <> 0"))
-    open_ = tries.groupBy("c").agg(F.count("*").alias("m"), F.max("single").alias("any")).filter("m > 1 and any").select("c")
-    todo = work.save(tries.join(open_, "c", "left_semi").groupBy(*doc).agg(F.collect_list(F.struct("p", "q", F.col("single").cast("int").alias("single"))).alias("todo")))
-    texts = _only(docs, todo.select(*doc), "left_semi")
-    windows = work.save(_windows(texts.join(todo, doc).select("u1", "u2", "text", "todo"), length, gram))
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.max("single").alias("any")).filter("m > 1 and any").select("h1", "h2")
-    more = windows.filter("single").join(twice, ["h1", "h2"], "left_semi").select(*doc, F.col("s").alias("a"), (F.col("s") + length).alias("z"))
+    shared = work.save(anchors.join(often, "g", "left_semi"))
+    contexts = work.save(shared.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min(F.struct("u1", "u2", "p", "g")).alias("r")).select("b1", "b2", (F.col("n") == 1).alias("single"), "r.*"))
+    again = contexts.filter("not single").select("b1", "b2")
+    whole = shared.join(again, ["b1", "b2"], "left_semi").select(*doc, F.greatest(F.lit(0), F.col("p") - (length - gram)).alias("a"), F.least(F.col("size"), F.col("p") + length).alias("z"))
+    covered = work.save(whole)
+
+    # a repeat of a context that occurs once has its boundary's gram in another context
+    open_g = contexts.groupBy("g").agg(F.count("*").alias("m"), F.max("single").alias("any")).filter("m > 1 and any").select("g")
+    open_ = contexts.join(open_g, "g", "left_semi").select(*doc, "p", F.col("single").cast("int").alias("single"))
+    keys = work.save(_range_keys(with_text(open_, "p", "single"), length, gram))
+    full = keys.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.max("single").alias("any")).filter("m > 1 and any").select("w1", "w2", F.lit(True).alias("full"))
+    judged = work.save(keys.join(full, ["w1", "w2"], "left").select(*doc, "p", "q", "a", "z", "c", "single", F.coalesce("full", F.lit(False)).alias("full")))
+    ranged = judged.filter("single and full").select(*doc, "a", "z")
+
+    ask = F.col("single") & ~F.col("full")
+    open_c = judged.groupBy("c").agg(F.count("*").alias("m"), F.max(ask).alias("any")).filter("m > 1 and any").select("c")
+    tries = judged.join(open_c, "c", "left_semi").select(*doc, "p", "q", ask.cast("int").alias("ask"))
+    windows = work.save(_windows(with_text(tries, "p", "q", "ask"), length, gram))
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.max("ask").alias("any")).filter("m > 1 and any").select("h1", "h2")
+    single = windows.filter("ask").join(twice, ["h1", "h2"], "left_semi").select(*doc, F.col("s").alias("a"), (F.col("s") + length).alias("z"))
+    more = ranged.unionByName(single)
 
     spans = work.save(covered.unionByName(more).distinct().groupBy(*doc).agg(F.collect_list(F.struct("a", "z")).alias("spans")))
-    work.drop(shared, contexts, covered, tries, todo, windows)
+    work.drop(shared, contexts, covered, keys, judged, windows)
     touched = spans.select(*doc)
     cut = _kept(_only(docs, touched, "left_semi").join(spans, doc).select("doc_id", "text", "spans"))
     size = F.octet_length("text").cast("long")
