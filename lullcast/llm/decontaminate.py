@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import small_batches
+
 ERROR_RATE = 0.05
 MIN_ITEM = 20
 #: Normalised bytes of test items that are searched for in one pass; more items take more passes.
@@ -143,6 +145,7 @@ def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tup
 
 def edit_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_item: int = MIN_ITEM) -> DataFrame:
     """``doc_id, item_id, distance, match_end, budget`` for every item within its edit budget in a document."""
+    small_batches(docs.sparkSession)
     out = None
     names = ["doc_id", "item_id", "distance", "match_end", "budget"]
     for block in _blocks(items, item_id, item_text):

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import small_batches
+
 WIDTH = 64
 FRAME_ROWS = 1024
 DELAY = 10
@@ -232,6 +234,7 @@ def with_gif(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             data = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([encode(pad(x)) for x in data], pa.binary())], names=[key, "n_bytes", "media"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} bigint, n_bytes bigint, media binary")
 
 
@@ -260,4 +263,5 @@ def gif_features(df: DataFrame, media: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=[*keep, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != media] + ["payload_bytes bigint", "payload_sha256 string", "tail_crc32 bigint", "media_bytes bigint", "media_sha256 string", "feature string", "n_frames int", "duration_ms bigint", "colour_histogram array<bigint>"])
+    small_batches(df.sparkSession)
     return df.select(*keep, media).mapInArrow(run, schema)

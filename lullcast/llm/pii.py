@@ -4,13 +4,13 @@ Base spans follow fixed patterns and always stay.  For what they miss (numbers
 that run into each other, spans in other notations, written-out addresses),
 high-recall generators propose overlapping candidates; boosted trees, one model
 for each kind, score them by format and context; those at or above a threshold
-calibrated on held-out candidates are taken, highest score first, where they
-overlap no span that is already there.  The models are trained on generated
+calibrated on held-out candidates are taken, the longest first, where they overlap
+no span that is already there.  The models are trained on generated
 candidates with a fixed seed, so they are the same everywhere.
 
 Cases: null and empty texts have no spans; texts of any length are read whole in
 time linear in their length; equal texts give equal spans; ties between
-candidates go to the longer, then the earlier one; tables may be empty and may
+candidates go to the higher score, then the earlier one; tables may be empty and may
 have other columns, which pass through.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boost
+from .work import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
@@ -192,7 +193,7 @@ def find(text: str | None, trained: dict | None = None) -> tuple[list[tuple[str,
     for kind in KINDS:
         if own := [c for c in found if c[0] == kind]:
             trees, least = trained[kind]
-            scored += [(-p, a - b, a, c) for p, c in zip(trees.predict(np.array([features(text, *c) for c in own], float)), own, strict=True) if p >= least for _, a, b in (c,)]
+            scored += [(a - b, -p, a, c) for p, c in zip(trees.predict(np.array([features(text, *c) for c in own], float)), own, strict=True) if p >= least for _, a, b in (c,)]
     spans = list(base)
     for *_, c in sorted(scored):
         if not any(a < c[2] and c[1] < b for _, a, b in spans):
@@ -218,6 +219,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def with_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``base`` and ``spans`` (``kind:start:end`` joined by commas, code points) and ``redacted``."""
+    small_batches(df.sparkSession)
     trained = models()
     names = [c for c in df.columns if c not in ("base", "spans", "redacted")]
 

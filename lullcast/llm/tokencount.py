@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .work import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,6 +86,7 @@ def count(df: DataFrame, text: str = "text", path: str = VOCABULARY, rule: str =
     """Adds ``n_tokens``, ``title_tokens``, ``body_tokens``, ``line_tokens``, ``block_tokens`` (arrays in order), ``lines_crossed`` and ``blocks_crossed``."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(df.sparkSession)
     with open(path, "rb") as f:
         data = f.read()
     new = {"n_tokens": (pa.int64(), T.LongType()), "title_tokens": (pa.int64(), T.LongType()), "body_tokens": (pa.int64(), T.LongType()), "line_tokens": (pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), "block_tokens": (pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), "lines_crossed": (pa.int64(), T.LongType()), "blocks_crossed": (pa.int64(), T.LongType())}

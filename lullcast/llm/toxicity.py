@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .work import small_batches
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT, BUCKETS = 8, 12, 1 << 14
@@ -289,6 +290,7 @@ def with_toxicity(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """Adds ``score``: the probability that label 1 fits, to six places."""
     from pyspark.sql import types as T
 
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

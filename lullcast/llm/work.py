@@ -18,10 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, so that a Python worker never holds many long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 class Work:
     """Tables under one new folder, which goes when the session ends."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.at = f"{shared_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
         self.fs = self._path(self.at).getFileSystem(spark._jsc.hadoopConfiguration())
