@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textvec as tv
+from .work import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 1 << 40
@@ -218,13 +219,14 @@ def load(path: str = MODEL) -> Transducer:
 
 def encode(df: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
     """Adds ``ids``: the shortest path's piece ids."""
+    small_batches(df.sparkSession)
     machine = load(path)
     names = [c for c in df.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, offs = tv.utf8(b.column(names.index(text)))
-            for i, j in tv.chunks(offs, 1 << 21):
+            for i, j in tv.chunks(offs, 1 << 20):
                 part = b.slice(i, j - i)
                 ids, at = machine.encode(part.column(names.index(text)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=[*names, "ids"])
@@ -235,6 +237,7 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
 
 def decode(df: DataFrame, ids: str = "ids", path: str = MODEL) -> DataFrame:
     """Adds ``decoded``: the text that ``ids`` stand for."""
+    small_batches(df.sparkSession)
     machine = load(path)
     names = [c for c in df.columns if c != "decoded"]
 
@@ -249,3 +252,21 @@ def decode(df: DataFrame, ids: str = "ids", path: str = MODEL) -> DataFrame:
 
     plain = df.select(*names)
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+def round_trip(df: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
+    """Adds ``ids`` and ``decoded`` in one pass: half as many Python workers as ``decode(encode(df))``, which gives the same."""
+    small_batches(df.sparkSession)
+    machine = load(path)
+    names = [c for c in df.columns if c not in ("ids", "decoded")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, offs = tv.utf8(b.column(names.index(text)))
+            for i, j in tv.chunks(offs, 1 << 19):
+                part = b.slice(i, j - i)
+                ids, at = machine.encode(part.column(names.index(text)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(machine.decode(ids, at), pa.string())], names=[*names, "ids", "decoded"])
+
+    plain = df.select(*names)
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))

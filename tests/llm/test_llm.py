@@ -458,6 +458,8 @@ def test_shortest_paths_are_shortest():
 
 def test_encoding_round_trip(spark):
     rows = [*EDGES, (8, "x" * 5000 + " end"), (9, "  two  spaces ▁ ")]
-    for r in transducer.decode(transducer.encode(table(spark, rows))).collect():
+    both = transducer.decode(transducer.encode(table(spark, rows)))
+    assert sorted(map(str, both.collect())) == sorted(map(str, transducer.round_trip(table(spark, rows)).select(*both.columns).collect()))
+    for r in both.collect():
         assert r.decoded == (dict(rows)[r.doc_id] or "").replace("▁", " ")
     assert transducer.decode(transducer.encode(empty(spark))).count() == 0
