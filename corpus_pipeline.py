@@ -28,10 +28,19 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """The same columns under names that no operator adds."""
+    return docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns))
+
+
+def _back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose highest window is likelier toxic than not go."""
     net = toxicity.fit(docs, _table(spark, sf_dir, "labels"), usable=toxicity.LEARNABLE)
-    return toxicity.with_toxicity(docs, net).filter("score < 0.5").select(*docs.columns)
+    return _back(toxicity.with_toxicity(_aside(docs), net, "in_text").filter("score < 0.5"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,15 +65,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes a mark of its kind; ``n_chars`` follows."""
-    out = pii.with_pii(docs).withColumn("text", F.col("redacted"))
+    out = pii.with_pii(_aside(docs), "in_text").withColumn("in_text", F.col("redacted"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("in_n_chars", F.when(F.col("spans") == "", F.col("in_n_chars")).otherwise(F.char_length("in_text").cast(docs.schema["n_chars"].dataType)))
+    return _back(out, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's piece ids, and whether they decode to its text."""
-    coded = transducer.decode(transducer.encode(docs.select("doc_id", "text")))
+    coded = transducer.round_trip(docs.select("doc_id", "text"))
     same = F.coalesce("decoded", F.lit("")) == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"))
 
