@@ -246,6 +246,46 @@ def test_language_models(spark):
     assert langmodel.score(empty(spark), langmodel.fit(empty(spark), labels)).count() == 0
 
 
+def losses_by_hand(texts, hits):
+    told = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    out = []
+    base = None
+    n = len({w for ws in told for w in ws}) + 2
+    for only in (True, False):
+        words, pairs = collections.Counter(), collections.Counter()
+        for ws, hit in zip(told, hits, strict=True):
+            if ws and (hit or not only):
+                words.update([None, *ws])
+                pairs.update(zip([None, *ws], ws, strict=False))
+        total = sum(words.values())
+        base = base or total
+        s = base / total
+        p = lambda h, w: (pairs[h, w] * s + 20 * (words[w] * s + 0.5) / (base + 0.5 * n)) / (words[h] * s + 20)  # noqa: B023, E731
+        out.append([sum(-np.log(p(h, w)) for h, w in zip([None, *ws], ws, strict=False)) / len(ws) for ws in told])
+    return list(zip(*out, strict=True))
+
+
+def test_language_models_count_every_word_and_bigram(spark, monkeypatch):
+    rng = random.Random(8)
+    # more words than a top list of 8,192 has; the common word's successors are all different
+    texts = [" ".join(f"w{rng.randrange(30000)} the" if rng.random() < 0.7 else "the same few" for _ in range(60)) for _ in range(400)]
+    texts += ["rare1 rare2 rare3", "other1 other2 other3", "rare1 rare2 rare3"]
+    hits = [i % 4 == 0 for i in range(400)] + [True, False, True]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(h)) for i, h in enumerate(hits)], "doc_id long, quality int")
+    want = losses_by_hand(texts, hits)
+    assert len({w for t in texts for w in t.split()}) > 8194
+    for size in (langmodel.CHUNK, 10_000):
+        monkeypatch.setattr(langmodel, "CHUNK", size)
+        models = langmodel.fit(docs, labels)
+        for some in (docs, docs.filter("doc_id % 50 = 0 or doc_id >= 400")):
+            got = {r.doc_id: r for r in langmodel.score(some, models).collect()}
+            assert len(got) == some.count()
+            for i, r in got.items():
+                assert (r.target_loss, r.background_loss) == pytest.approx(want[i], abs=2e-6)
+            assert got[400].difference == got[402].difference < got[401].difference
+
+
 # --- 5 -------------------------------------------------------------------------------------
 
 
