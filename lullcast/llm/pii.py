@@ -37,22 +37,24 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: The candidate generators: kind, pattern, and a string without which it cannot match.
+#: One of these, in lower case, is in every written-out address.
+_AT = (" at ", "[at]", "(at)", "[at)", "(at]")
+#: The candidate generators: kind, pattern, and strings of which lower-cased text must have one for a match.
 _GENERATORS = tuple(
     (kind, re.compile(pattern, re.I), needs)
     for kind, pattern, needs in (
-        ("email", r"(?<![\w.+-])[\w.+-]{1,64}(?: at |\s?[\[(]at[\])]\s?)[\w-]{1,63}(?:(?: dot |\s?[\[(]dot[\])]\s?|\.)[\w-]{2,63}){1,4}", "dot"),
-        ("email", r"(?<![\w.+%-])[\w.+%-]{1,64}\s?@\s?[\w-]{1,63}(?:\s?\.\s?[\w-]{2,63}){1,4}", "@"),
-        ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", "."),
-        ("ip", r"(?<![\d.])\d{1,3}(?:\s?[\[(]\.[\])]\s?\d{1,3}){3}(?!\d)", "."),
-        ("ip", r"(?<![\w:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:])", ":"),
-        ("card", r"(?<!\d)\d{13,19}(?!\d)", ""),
-        ("card", r"(?<!\d)\d{4}([ .\-])\d{4}\1\d{4}\1\d{4}(?!\d)", ""),
-        ("card", r"(?<!\d)3[47]\d{2}([ .\-])\d{6}\1\d{5}(?!\d)", ""),
-        ("phone", r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)", "+"),
-        ("phone", r"(?<!\d)\(\d{3}\)\s?\d{3}[ .\-]\d{4}(?!\d)", "("),
-        ("phone", r"(?<![\d.\-])\d{3}([.\-])\d{3}\1\d{4}(?![\d])", ""),
-        ("phone", r"(?<!\d)00\d{1,3}[ .\-/]\d{2,4}(?:[ .\-/]\d{2,4}){2,3}(?!\d)", "00"),
+        ("email", r"(?<![\w.+-])[\w.+-]{1,64}(?: at |\s?[\[(]at[\])]\s?)[\w-]{1,63}(?:(?: dot |\s?[\[(]dot[\])]\s?|\.)[\w-]{2,63}){1,4}", _AT),
+        ("email", r"(?<![\w.+%-])[\w.+%-]{1,64}\s?@\s?[\w-]{1,63}(?:\s?\.\s?[\w-]{2,63}){1,4}", ("@",)),
+        ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", (".",)),
+        ("ip", r"(?<![\d.])\d{1,3}(?:\s?[\[(]\.[\])]\s?\d{1,3}){3}(?!\d)", (".",)),
+        ("ip", r"(?<![\w:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![\w:])", (":",)),
+        ("card", r"(?<!\d)\d{13,19}(?!\d)", ("",)),
+        ("card", r"(?<!\d)\d{4}([ .\-])\d{4}\1\d{4}\1\d{4}(?!\d)", ("",)),
+        ("card", r"(?<!\d)3[47]\d{2}([ .\-])\d{6}\1\d{5}(?!\d)", ("",)),
+        ("phone", r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)", ("+",)),
+        ("phone", r"(?<!\d)\(\d{3}\)\s?\d{3}[ .\-]\d{4}(?!\d)", ("(",)),
+        ("phone", r"(?<![\d.\-])\d{3}([.\-])\d{3}\1\d{4}(?![\d])", ("",)),
+        ("phone", r"(?<!\d)00\d{1,3}[ .\-/]\d{2,4}(?:[ .\-/]\d{2,4}){2,3}(?!\d)", ("00",)),
     )
 )
 #: Words before a span that speak for its kind, and words that speak against personal data.
@@ -62,6 +64,7 @@ _FOR = {
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "pay"),
     "phone": ("phone", "tel", "call", "fax", "mobil", "ruf", "whatsapp"),
 }
+_TOP = ("com", "de", "edu", "es", "eu", "fr", "gov", "info", "io", "it", "net", "nl", "org", "uk")
 _AGAINST = ("version", "isbn", "order", "invoice", "serial", "build", "release", "chapter", "section", "id", "no.", "nr", "sku", "ref", "total", "rev", "v.")
 
 
@@ -102,11 +105,12 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """What the generators propose; spans may overlap and repeat formats."""
     digits = _DIGIT.search(text) is not None
-    if not digits and "@" not in text and "dot" not in text:
+    low = text.lower()
+    if not digits and "@" not in text and not any(n in low for n in _AT):
         return []
     out = []
     for kind, pattern, needs in _GENERATORS:
-        if (digits or kind == "email") and needs in text:
+        if (digits or kind == "email") and any(n in low for n in needs):
             at = 0
             while m := pattern.search(text, at):
                 out.append((kind, *m.span()))
@@ -123,10 +127,11 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     right = text[end : end + 1]
     parts = re.findall(r"\d+", s) if kind == "ip" else []
     return [
-        len(s), len(digits), len(groups), max(groups, default=0), min(groups, default=0), s.startswith("+"), s.count("("), s.count("."), s.count("-"), s.count(" "), s.count(":"),
+        len(s), len(digits), len(groups), max(groups, default=0), min(groups, default=0), s.startswith("+"), s.count("(") + s.count("["), s.count("."), s.count("-"), s.count(" "), s.count(":"),
         float(16 <= len(digits) <= 19 or len(digits) in (13, 14, 15)) * float(bool(digits) and luhn(digits)), max((min(int(p), 9999) for p in parts), default=-1), sum(p.startswith("0") and len(p) > 1 for p in parts),
         digits[:1] in tuple("3456"), len(set(digits)), left.isalnum(), right.isalnum(), left in tuple("#$€-/.:="), right in tuple("-/%.€") and text[end + 1 : end + 2].isdigit(),
         any(w in before for w in _FOR[kind]), any(w in before for w in _AGAINST), "@" in s or "at" in s.lower(), s.lower().count("dot"), sum(c.isalpha() for c in s) / len(s), s[-4:].lower().lstrip(" .)]").isalpha(), groups[-3:] == [3, 3, 4],
+        re.split(r"[^a-z]+", s.lower().rstrip(")]"))[-1] in _TOP,
     ]
 
 
@@ -165,6 +170,15 @@ def _generated(seed: int, n: int) -> list[tuple[str, str, int, int, int]]:
             if not label and rng.random() < 0.3:
                 pre += sep("#$-/")
             out.append((kind, f"{pre}{s}{sep([' ', '. ', ', ', ''])}{word() if rng.random() < 0.9 else ''}", len(pre), len(pre) + len(s), label))
+    # addresses with a written-out at and a plain dot, and prose of the same form; its own draws leave those above as they are
+    rng = np.random.default_rng(seed + 1)
+    for i in range(n):
+        label = int(rng.random() < 0.5)
+        at = str(rng.choice([" (at) ", "(at)", " [at] ", "[at]"])) if label else " at "
+        s = f"{word(9)}{at}{word(9)}.{sep(['com', 'org', 'net', 'de']) if label or rng.random() < 0.3 else word()}"
+        s = s.upper() if rng.random() < 0.2 else s
+        pre = str(rng.choice(["", f"{word()} ", f"{word()} {rng.choice(_FOR['email'])}: "]))
+        out.insert(2 * i, ("email", f"{pre}{s}{sep([' ', '. ', ', ', ''])}{word()}", len(pre), len(pre) + len(s), label))
     return out
 
 

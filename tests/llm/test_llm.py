@@ -232,6 +232,13 @@ def test_method_adds_what_runs_together(spark):
     assert set(base) <= set(spans)
 
 
+def test_written_out_addresses_are_proposed_and_judged():
+    for t in ("jane (at) example.com", "kontakt[at]example.org", "JANE AT EXAMPLE DOT COM", "jane at example dot com", "JANE.DOE [AT] EXAMPLE [DOT] ORG"):
+        assert pii.find(f"write to {t}, please") == ([], [("email", 9, 9 + len(t))])
+    for t in ("we met at noon.then we left", "look at example.com for it", "he is at the dot now", "nothing of the kind"):
+        assert pii.find(t) == ([], [])
+
+
 # --- 4 -------------------------------------------------------------------------------------
 
 
