@@ -1,11 +1,11 @@
 """URL filter: longest-rule verdicts, and boosted trees on lexical features for all other URLs.
 
-The trees are trained on labelled URLs: a bounded sample of the table (documented
-parameter ``SAMPLE``, taken by hash order), labelled from a short list of host
-words, together with generated examples of the same two kinds, so that an empty
-or one-sided table still gives a model.  The listed words are not features: the
-trees see lengths, depth, digit ratio, entropy, parameter counts, hyphens and the
-suffix's share of blocked labels.
+The trees are trained on labelled URLs: a bounded sample of the table's distinct
+URLs (documented parameter ``SAMPLE``, taken by hash order), labelled from a short
+list of host words, together with generated examples of the same two kinds, so that
+an empty or one-sided table still gives a model.  The listed words are not features:
+the trees see lengths, depth, digit ratio, entropy, parameter counts, hyphens and the
+suffix's share of blocked labels, which is counted over all rows at any size.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and gets
 the trees' verdict on its text; repeated URLs get equal verdicts; of equally long
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boost
+from .work import Work
 
 #: Fixed rules: verdict, and host with path prefix.
 RULES = (
@@ -39,6 +40,8 @@ UNWANTED = ("ads", "adult", "bets", "casino", "cheap", "farm", "free", "pills",
 #: URLs at most that the trees are trained on.
 SAMPLE = 20000
 THRESHOLD = 0.5
+#: Suffixes with one in so many rows are broadcast (as many at most); the others are joined.
+OFTEN = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -53,6 +56,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.when(F.instr(url, "://") > 0, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)), F.lit(""))
 
 
+def suffix_of(url: Column) -> Column:
+    """The host's last two labels."""
+    return F.substring_index(host_of(url), ".", -2)
+
+
+def label_of(url: Column) -> Column:
+    """1 where a word of the host is listed, else 0."""
+    return F.arrays_overlap(F.split(host_of(url), "[.-]"), F.array(*map(F.lit, UNWANTED))).cast("int")
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; both null where none does."""
     found = verdict = F.lit(None).cast("string")
@@ -80,7 +93,7 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def features(url: str | None, rates: dict[str, float], prior: float) -> list[float]:
+def features(url: str | None, rate: float) -> list[float]:
     url = url or ""
     scheme, host, tail = _split(url)
     path, _, query = tail.partition("#")[0].partition("?")
@@ -89,7 +102,7 @@ def features(url: str | None, rates: dict[str, float], prior: float) -> list[flo
     params = [p for p in query.split("&") if p]
     return [
         len(url), len(host), len(path), len(query), len(labels), path.count("/"), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host), host.count("-"), sum(c == "-" for c in path),
-        entropy(host), entropy(path), len(longest), entropy(longest), len(params), any(p.startswith("utm_") for p in params), scheme == "https", "%" in url, "@" in host, sum(c in "aeiou" for c in longest) / max(1, len(longest)), rates.get(suffix(host), prior),
+        entropy(host), entropy(path), len(longest), entropy(longest), len(params), any(p.startswith("utm_") for p in params), scheme == "https", "%" in url, "@" in host, sum(c in "aeiou" for c in longest) / max(1, len(longest)), rate,
     ]
 
 
@@ -108,46 +121,70 @@ def generated(n: int = 600, seed: int = 3) -> list[tuple[str, int]]:
     return out
 
 
-def weak_label(url: str | None) -> int:
-    host = _split(url or "")[1]
-    return int(any(w in UNWANTED for label in host.split(".") for w in label.split("-")))
-
-
 class Filter:
-    """Suffix statistics and trees, trained from labelled URLs."""
-
-    def __init__(self, labelled: list[tuple[str, int]]):
-        rows = generated() + labelled
-        self.prior = sum(y for _, y in rows) / len(rows)
+    """Trees, trained from labelled URLs and their suffixes' rates; ``rare`` has the rates that are too many for ``rates``."""
+
+    def __init__(self, labelled: list[tuple[str, int]], rates: dict[str, float] | None = None, prior: float = 0.0, rare: DataFrame | None = None, own: list[float] | None = None):
+        if rates is None:
+            labelled = generated() + labelled
+            rates, prior = self.counted(labelled)
+        self.rates, self.prior, self.rare = rates, prior, rare
+        x = np.array([features(u, r) for (u, _), r in zip(labelled, own or [self.rate(u) for u, _ in labelled], strict=True)], float)
+        self.trees = boost.fit(x, np.array([y for _, y in labelled], float), trees=30)
+
+    @staticmethod
+    def counted(rows: list[tuple[str, int]]) -> tuple[dict[str, float], float]:
+        prior = sum(y for _, y in rows) / len(rows)
         seen: dict[str, list[int]] = {}
         for u, y in rows:
-            pair = seen.setdefault(suffix(_split(u or "")[1]), [0, 0])
-            pair[y] += 1
-        self.rates = {s: (b + 20 * self.prior) / (a + b + 20) for s, (a, b) in seen.items()}
-        x = np.array([features(u, self.rates, self.prior) for u, _ in rows], float)
-        self.trees = boost.fit(x, np.array([y for _, y in rows], float), trees=30)
+            seen.setdefault(suffix(_split(u or "")[1]), [0, 0])[y] += 1
+        return {s: (b + 20 * prior) / (a + b + 20) for s, (a, b) in seen.items()}, prior
+
+    def rate(self, url: str | None) -> float:
+        return self.rates.get(suffix(_split(url or "")[1]), self.prior)
+
+    def score(self, urls: list[str | None], rates: list[float] | None = None) -> np.ndarray:
+        rates = [self.rate(u) for u in urls] if rates is None else rates
+        return _scores(self.trees, urls, rates)
+
 
-    def score(self, urls: list[str | None]) -> np.ndarray:
-        return self.trees.predict(np.array([features(u, self.rates, self.prior) for u in urls], float).reshape(len(urls), -1)) if urls else np.zeros(0)
+def _scores(trees: boost.Boosted, urls: list[str | None], rates: list[float]) -> np.ndarray:
+    return trees.predict(np.array([features(u, r) for u, r in zip(urls, rates, strict=True)], float).reshape(len(urls), -1)) if urls else np.zeros(0)
 
 
 def fit(pages: DataFrame, url: str = "url", sample: int = SAMPLE) -> Filter:
-    """A filter from at most ``sample`` of the table's URLs, the first in hash order."""
-    rows = pages.select(F.col(url).alias("u")).filter("u is not null").orderBy(F.xxhash64("u"), "u").limit(sample).collect()
-    return Filter([(r.u, weak_label(r.u)) for r in rows])
+    """Suffix rates over all of the table's URLs, and trees from at most ``sample`` distinct ones, the first in hash order."""
+    spark = pages.sparkSession
+    made = spark.createDataFrame(generated(), "u string, y int").withColumn("made", F.lit(True))
+    real = pages.select(F.col(url).alias("u")).filter("u is not null").withColumns({"y": label_of(F.col("u")), "made": F.lit(False)})
+    stats = Work(spark).save(real.union(made).groupBy(suffix_of(F.col("u")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("y").alias("bad")))
+    total, bad = stats.agg(F.sum("n"), F.sum("bad")).first()
+    prior = bad / total
+    stats = stats.select("suffix", ((F.col("bad") + 20 * prior) / (F.col("n") + 20)).alias("rate"), (F.col("n") * OFTEN >= total).alias("often"))
+    rates = {r.suffix: r.rate for r in stats.filter("often").collect()}
+    some = real.distinct().orderBy(F.xxhash64("u"), "u").limit(sample).union(made).withColumn("suffix", suffix_of(F.col("u")))
+    rows = sorted(F.broadcast(some).join(stats, "suffix").select("made", "u", "y", "rate").collect())
+    return Filter([(r.u, r.y) for r in rows], rates, prior, stats.filter("not often").select("suffix", "rate"), [r.rate for r in rows])
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model: Filter | None = None) -> DataFrame:
     """Adds ``host, path, rule, score, verdict``."""
     model = model or fit(pages, url)
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    plain = pages.select(*names)
+    plain, trees, prior = pages.select(*names), model.trees, model.prior
+    often = F.broadcast(pages.sparkSession.createDataFrame(list(model.rates.items()), "_suffix string, _rate double"))
+    rated = plain.withColumn("_suffix", suffix_of(F.col(url)))
+    # common suffixes stay where they are, so no key of the exchange has many rows
+    seldom = rated.join(often, "_suffix", "left_anti")
+    seldom = seldom.withColumn("_rate", F.lit(None).cast("double")) if model.rare is None else seldom.join(model.rare.toDF("_suffix", "_rate"), "_suffix", "left")
+    rated = rated.join(often, "_suffix").select(*names, "_rate").unionByName(seldom.select(*names, "_rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(names.index(url)).to_pylist()))], names=[*names, "score"])
+            rates = [prior if r is None else r for r in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_scores(trees, b.column(names.index(url)).to_pylist(), rates))], names=[*names, "score"])
 
-    scored = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = rated.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     scored = scored.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

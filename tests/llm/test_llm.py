@@ -331,6 +331,37 @@ def test_url_trees_generalise():
     assert s[0] < 0.5 < s[1]
 
 
+def test_suffix_rates_cover_all_pages(spark, monkeypatch):
+    # one URL has most rows; every suffix is its own and its rate known by hand
+    made = ["http://same.hot.example/x"] * 400 + [f"http://{'casino' if j < k else 'plain'}.s{k}.site/{j}" for k in range(9) for j in range(8)] + [None]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    pairs = [(u, urls_label(u)) for u in made if u is not None] + urls.generated()
+    prior = sum(y for _, y in pairs) / len(pairs)
+    seen = collections.defaultdict(list)
+    for u, y in pairs:
+        seen[".".join(judged_by_hand(u)[0].split(".")[-2:])].append(y)
+    want = {s: (sum(ys) + 20 * prior) / (len(ys) + 20) for s, ys in seen.items()}
+    verdicts = []
+    for often in (1000, 5):
+        monkeypatch.setattr(urls, "OFTEN", often)
+        trained = []
+        monkeypatch.setattr(urls.boost, "fit", lambda x, y, fit=urls.boost.fit, trained=trained, **how: trained.append(len(y)) or fit(x, y, **how))
+        model = urls.fit(df, sample=20)
+        got = model.rates | {r.suffix: r.rate for r in model.rare.collect()}
+        monkeypatch.undo()
+        assert got == pytest.approx(want) and len(model.rates) <= often
+        assert trained == [620]
+        rows = sorted(urls.judge(df, model=model).select("page_id", "score").collect())
+        assert [r.page_id for r in rows] == list(range(len(made)))
+        assert [r.score for r in rows] == pytest.approx([float(model.score([u], [want.get(".".join(judged_by_hand(u)[0].split(".")[-2:]), prior)])[0]) for u in made])
+        verdicts.append([r.score for r in rows])
+    assert verdicts[0] == verdicts[1]
+
+
+def urls_label(url):
+    return int(any(w in urls.UNWANTED for w in re.split("[.-]", judged_by_hand(url)[0])))
+
+
 # --- 6 -------------------------------------------------------------------------------------
 
 
