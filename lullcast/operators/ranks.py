@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
+def value_cuts(df: DataFrame, value: str) -> list:
+    """Approximate quantiles of ``value``, at most ``BUCKETS - 1``."""
+    cuts = df.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("c")).first()["c"] or []
+    return sorted({c for c in cuts if c is not None})
+
+
+def value_bucket(value: str, cuts: list) -> Column:
+    """How many of ``cuts`` lie below; nulls are last."""
+    return F.when(F.col(value).isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
+
+
 def global_row_number(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """1-based position in the order of (value, tie), nulls last.
 
     Rows are bucketed between approximate quantiles of ``value``; a row's number is its
     number in its bucket plus the sizes of the buckets before it (at most ``BUCKETS`` counts).
     """
-    cuts = df.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("c")).first()["c"] or []
-    cuts = sorted({c for c in cuts if c is not None})
-    bucket = F.when(F.col(value).isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
-    marked = df.withColumn("_bucket", bucket)
+    marked = df.withColumn("_bucket", value_bucket(value, value_cuts(df, value)))
     sizes = {r["_bucket"]: r["count"] for r in marked.groupBy("_bucket").count().collect()}
     before, total = {}, 0
     for b in sorted(sizes):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import average_rank
+from .ranks import average_rank, value_bucket, value_cuts
 
 
 def wilcoxon(diffs: DataFrame, by: list[str], value: str = "diff", least: int = 1) -> DataFrame:
@@ -28,13 +31,30 @@ def wilcoxon(diffs: DataFrame, by: list[str], value: str = "diff", least: int =
 
 
 def holm(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "p_holm") -> DataFrame:
-    """Step-down adjusted values within a family; nulls are left out of it and stay null."""
-    known = F.col(p).isNotNull()
-    w = W.partitionBy(*by, known)
-    m = F.count(p).over(w)
-    step = (m - F.row_number().over(w.orderBy(p)) + 1) * F.col(p)
-    df = df.withColumn("_s", step)
-    return df.withColumn(name, F.when(known, F.least(F.lit(1.0), F.max("_s").over(w.orderBy(p).rowsBetween(W.unboundedPreceding, 0))))).drop("_s")
+    """Step-down adjusted values within a family; nulls are left out of it and stay null.
+
+    Equal values share the step of their first place, so a family is its distinct values with
+    their counts, in value buckets: no task holds a family.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    values = df.filter(F.col(p).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    cuts = value_cuts(values, "_p")
+    values = values.withColumn("_bucket", value_bucket("_p", cuts))
+    inside, across = W.partitionBy(*keys, "_bucket").orderBy("_p"), W.partitionBy(*keys).orderBy("_bucket")
+    so_far, earlier = (lambda w: w.rowsBetween(W.unboundedPreceding, 0)), (lambda w: w.rowsBetween(W.unboundedPreceding, -1))
+    same = lambda cols: reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols])
+
+    def beside(rows: DataFrame, few: DataFrame, *cols: str) -> DataFrame:
+        return rows.alias("l").join(few.alias("r"), same([*keys, "_bucket"])).select("l.*", *(f"r.{c}" for c in cols))
+
+    sizes = values.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(earlier(across)), F.lit(0)), "_m": F.sum("_size").over(W.partitionBy(*keys))})
+    less = F.col("_before") + F.coalesce(F.sum("_n").over(earlier(inside)), F.lit(0))
+    steps = beside(values, sizes, "_before", "_m").withColumn("_s", (F.col("_m") - less) * F.col("_p"))
+    tops = steps.groupBy(*keys, "_bucket").agg(F.max("_s").alias("_top")).withColumn("_top", F.max("_top").over(earlier(across)))
+    found = beside(steps, tops, "_top").select(*keys, "_p", F.least(F.lit(1.0), F.greatest("_top", F.max("_s").over(so_far(inside)))).alias(name))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)], F.col(p) == F.col("_p"))
+    return df.drop(name).join(found, on, "left").select(*(c for c in df.columns if c != name), name)
 
 
 def row_ranks(values: list[Column]) -> list[Column]:

@@ -140,6 +140,22 @@ def test_holm(spark):
     assert [got[i] for i in range(4)] == pytest.approx([0.04, 0.09, 0.09, 0.20]) and got[4] is None
 
 
+def test_holm_of_large_families(spark):
+    rng = random.Random(6)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([None, 0.0, 1e-5, rng.random(), rng.random() / 3000])) for i in range(3000)]
+    want = {}
+    for family in ("a", "b", None):
+        top, known = 0.0, sorted((p, i) for i, f, p in data if f == family and p is not None)
+        for k, (p, i) in enumerate(known):
+            want[i] = top = max(top, (len(known) - k) * p)
+    df = stats.holm(spark.createDataFrame(data, "i int, family string, p double"), "p", ("family",))
+    got = {r.i: r.p_holm for r in df.collect()}
+    assert len(got) == 3000 and all(got[i] is None if p is None else got[i] == pytest.approx(min(1.0, want[i])) for i, _, p in data)
+    # ranks are taken in buckets of a family, not over all of it
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "_bucket" in plan
+
+
 def test_wilcoxon_direction(spark):
     df = spark.createDataFrame([(1, float(i)) for i in range(1, 21)] + [(2, 0.0)], "g int, diff double")
     w = stats.wilcoxon(df, ["g"]).withColumns({"p": normal_upper("z"), "exact": signed_rank_upper("w_pos", F.col("n").cast("double"))})
