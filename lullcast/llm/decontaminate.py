@@ -7,8 +7,8 @@ hits, and Myers' bit-parallel distance checks the text around each hit.
 
 Normalised: UTF-8 bytes with A-Z lower-cased and runs of ASCII white space and
 punctuation as one space.  Cases: null or empty texts match nothing; items whose
-normalised form has fewer than ``min_item`` bytes are not searched for; repeated
-items are reported each under its own id; items with a null id or text are left
+normalised form has fewer than ``min_item`` bytes are found unchanged (budget 0) and
+at word boundaries only, items without any byte never; repeated items are reported each under its own id; items with a null id or text are left
 out; an empty table of either kind gives an empty result.  Each row of the result
 is the best match of one item in one document (smallest distance, then first end).
 """
@@ -84,8 +84,9 @@ class Myers:
 class Matcher:
     """Finds all items of one block in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, bytes]], error_rate: float = ERROR_RATE):
-        self.items = [(i, x, int(len(x) * error_rate)) for i, x in items]
+    def __init__(self, items: list[tuple[int, bytes]], error_rate: float = ERROR_RATE, min_item: int = 1):
+        self.items = [(i, x, int(len(x) * error_rate) if len(x) >= min_item else 0) for i, x in items]
+        self.min_item = min_item
         self.myers: dict[int, Myers] = {}
         table: dict[str, list[tuple[int, int]]] = {}
         for at, (_, x, k) in enumerate(self.items):
@@ -110,6 +111,11 @@ class Matcher:
         for at, diagonals in starts.items():
             item, pattern, k = self.items[at]
             n, best = len(pattern), None
+            if n < self.min_item:
+                whole = [d for d in diagonals if text[d - 1 : d] in (b"", b" ") and text[d + n : d + n + 1] in (b"", b" ")]
+                if whole:
+                    out.append((item, 0, min(whole) + n, 0))
+                continue
             exact = text.find(pattern) if any(text.startswith(pattern, d) for d in diagonals if d >= 0) else -1
             if exact >= 0:
                 out.append((item, 0, exact + n, k))
@@ -149,10 +155,10 @@ def edit_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     out = None
     names = ["doc_id", "item_id", "distance", "match_end", "budget"]
     for block in _blocks(items, item_id, item_text):
-        wanted = [(i, x) for i, x in block if len(x) >= min_item]
+        wanted = [(i, x) for i, x in block if x]
 
         def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(wanted, error_rate)
+            matcher = Matcher(wanted, error_rate, min_item)
             for b in batches:
                 rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in matcher.find(normalise(t))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (list(zip(*rows, strict=True)) or [()] * 5)], names=names)

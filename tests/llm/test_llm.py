@@ -460,6 +460,13 @@ def test_matches_within_the_budget(spark):
     assert decontaminate.edit_matches(empty(spark), bench).count() == decontaminate.edit_matches(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_at_word_boundaries(spark):
+    bench = spark.createDataFrame([(1, "Five oxen?"), (2, "a"), (3, ""), (4, "?!"), (5, "né")], "item_id long, text string")
+    rows = [(1, "They had FIVE, oxen."), (2, "five oxens"), (3, "five oxens, five oxen"), (4, "fifty-five oxen"), (5, "a"), (6, "ab ba bab"), (7, "aa a"), (8, "née"), (9, "il est né"), (10, "five oxe"), (11, None), (12, "")]
+    got = {(r.doc_id, r.item_id): (r.distance, r.match_end, r.budget) for r in decontaminate.edit_matches(table(spark, rows), bench).collect()}
+    assert got == {(1, 1): (0, 18, 0), (3, 1): (0, 20, 0), (4, 1): (0, 15, 0), (5, 2): (0, 1, 0), (7, 2): (0, 4, 0), (9, 5): (0, 10, 0)}
+
+
 # --- 9 -------------------------------------------------------------------------------------
 
 
