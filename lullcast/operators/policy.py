@@ -31,9 +31,11 @@ def pooled_safety_stock(errors: DataFrame, taus=TAUS, min_obs: int = 30) -> Data
     own = errors.groupBy(*base, "sku_id").agg(F.count("*").alias("n"), F.min("cat_id").alias("cat_id"))
     mine = quantiles(errors, [*base, "sku_id"], taus).withColumnRenamed("ss", "own")
     cat = quantiles(errors, [*base, "cat_id"], taus).withColumnRenamed("ss", "cat")
-    out = own.join(mine, [*base, "sku_id"]).join(cat, [*base, "cat_id", "tau"], "left")
+    whole = quantiles(errors, base, taus).withColumnRenamed("ss", "whole")
+    out = own.join(mine, [*base, "sku_id"]).join(cat, [*base, "cat_id", "tau"], "left").join(whole, [*base, "tau"])
     enough = F.col("n") >= min_obs
-    return out.select(*base, "sku_id", "tau", F.when(enough, F.col("own")).otherwise(F.col("cat")).alias("ss"), "n", F.when(enough, "series").otherwise("category").alias("source"))
+    source = F.when(enough, "series").when(F.col("cat").isNotNull(), "category").otherwise("table")
+    return out.select(*base, "sku_id", "tau", F.when(enough, F.col("own")).otherwise(F.coalesce("cat", "whole")).alias("ss"), "n", source.alias("source"))
 
 
 def _rounded(x: Column, rule: str, moq: float) -> Column:

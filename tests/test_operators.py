@@ -156,6 +156,13 @@ def test_holm_of_large_families(spark):
     assert "row_number" not in plan and "_bucket" in plan
 
 
+def test_pooled_safety_stock_without_a_category(spark):
+    data = [("m", 1, "a", "x", float(e)) for e in range(9)] + [("m", 1, "b", "x", 10.0), ("m", 1, "c", None, 30.0), ("m", 2, "c", None, 7.0)]
+    errors = spark.createDataFrame(data, "model string, origin int, sku_id string, cat_id string, err double")
+    got = {(r.origin, r.sku_id): (r.ss, r.n, r.source) for r in policy.pooled_safety_stock(errors, taus=(0.5,), min_obs=5).collect()}
+    assert got == {(1, "a"): (4.0, 9, "series"), (1, "b"): (4.5, 1, "category"), (1, "c"): (5.0, 1, "table"), (2, "c"): (7.0, 1, "table")}
+
+
 def test_wilcoxon_direction(spark):
     df = spark.createDataFrame([(1, float(i)) for i in range(1, 21)] + [(2, 0.0)], "g int, diff double")
     w = stats.wilcoxon(df, ["g"]).withColumns({"p": normal_upper("z"), "exact": signed_rank_upper("w_pos", F.col("n").cast("double"))})
