@@ -1,17 +1,25 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (dummy prefix,
-spaces as U+2581, optional NFKC), the pieces (one weighted arc path each), and
-byte fallback (for a character that no piece covers, one arc for each of its
-bytes).  An input is composed with them and the shortest path in the tropical
-semiring gives the ids.  A piece weighs one unit plus a small multiple of its
-rank, so a path has the fewest pieces and among those the lowest sum of ranks;
-of equal paths the one with the longer last piece, then the longer one before it.
+Three machines are compiled from a model file.  The *normaliser* rewrites
+characters (its arcs are the model's own character map, U+2581 as a space, and the
+rules for runs of blanks and the dummy prefix).  The *pieces* are a trie whose
+states and arcs lie in one double array: from a state, the arc of byte ``c`` leads
+to ``base[state] + c`` if that cell's ``check`` is the state; a final state has an
+arc back to the start that emits its piece at the piece's weight.  *Byte fallback*
+has, for a character without a piece, one arc for each of its bytes.
+
+A normalised input is composed with the pieces and the fallback lazily: from each
+character start all trie walks advance together, byte by byte, until they leave the
+trie, and every final state on the way is an arc of the composed lattice.  Its
+shortest path in the tropical semiring (sum along a path, smallest over paths)
+gives the ids.  A piece weighs one unit plus a small multiple of its rank, so a path
+has the fewest pieces and among those the lowest sum of ranks; of equal paths the
+one with the longer last piece, then the longer one before it.
 
 No piece but a run of spaces holds a space after another character, so the
 lattice falls apart before each space that follows another character and around
-each character without a piece.  Each distinct segment of a batch is solved once,
-all segments of one length together.
+each character without a piece.  Each distinct segment is solved once, and a Python
+worker remembers what it has solved (``MEMO`` segments at most, then it starts anew).
 
 Cases: a null or empty text has no ids and decodes to an empty text; U+2581 in a
 text decodes as a space, as in SentencePiece; segments of any length are solved in
@@ -22,7 +30,7 @@ may have other columns, which pass through.  Bytes that are not UTF-8 cannot occ
 from __future__ import annotations
 
 import functools
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +43,139 @@ from .work import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 1 << 40
-#: Segments up to so many bytes are solved together with numpy, longer ones one by one.
-WIDE = 40
-_FAR = np.int64(1) << 62
-_BITS = 20
+#: Segments up to so many bytes take their shortest paths together, position by position; longer ones arc by arc.
+WIDE = 64
+#: Segments that a Python worker remembers.
+MEMO = 400_000
+_WIDTH = np.array([0 if 0x80 <= b < 0xC0 else 1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0) for b in range(256)])
+_memos: dict[str, Memo] = {}
+
+
+def charsmap(blob: bytes) -> dict[str, str]:
+    """The rewriting rules in a model's compiled character map: a double-array trie, then the results, each ended by a zero byte."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, results = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    jump = (units >> 10) << ((units & 512) >> 6)
+    labels = np.arange(1, 256)
+    rules: dict[str, str] = {}
+    stack = [(int(jump[0]), b"")]
+    while stack:
+        at, key = stack.pop()
+        to = at ^ labels
+        to, label = to[to < len(units)], labels[to < len(units)]
+        hit = (units[to] & (1 << 31 | 0xFF)) == label
+        for cell, c in zip(to[hit].tolist(), label[hit].tolist(), strict=True):
+            below, word = cell ^ int(jump[cell]), key + bytes([c])
+            if units[cell] >> 8 & 1:
+                start = int(units[below] & (1 << 31) - 1)
+                rules[word.decode()] = results[start : results.index(b"\0", start)].decode()
+            stack.append((below, word))
+    return rules
+
+
+class Normaliser:
+    """Longest matching rule first, other characters as they are; then blanks and the dummy prefix."""
+
+    def __init__(self, rules: dict[str, str], squeeze: bool, prefix: bool):
+        self.rules, self.squeeze, self.prefix = rules | {"▁": " "}, squeeze, prefix
+        longest: dict[str, int] = {}
+        for left in self.rules:
+            longest[left[0]] = max(longest.get(left[0], 0), len(left))
+        self.longest = longest
+        self.start = re.compile("[" + "".join(map(re.escape, longest)) + "]")
+
+    def __call__(self, text: str | None) -> str:
+        """What the pieces are matched against, with plain spaces for U+2581."""
+        text = text or ""
+        out, at = [], 0
+        for m in self.start.finditer(text):
+            i = m.start()
+            if i < at:
+                continue
+            for n in range(self.longest[text[i]], 0, -1):
+                if (right := self.rules.get(text[i : i + n])) is not None:
+                    out += [text[at:i], right]
+                    at = i + n
+                    break
+        if out:
+            text = "".join([*out, text[at:]])
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        return " " + text if self.prefix and text else text
+
+
+class Trie:
+    """A deterministic machine over bytes in a double array; ``final`` has the value of a state, -1 without one."""
+
+    def __init__(self, words: dict[bytes, int]):
+        children: list[dict[int, int]] = [{}]
+        value = [-1]
+        for word, v in words.items():
+            at = 0
+            for c in word:
+                if c not in children[at]:
+                    children[at][c] = len(children)
+                    children.append({})
+                    value.append(-1)
+                at = children[at][c]
+            value[at] = v
+        free = np.ones(len(children) + 8192, bool)
+        free[0] = False
+        cell, base = np.zeros(len(children), np.int64), np.zeros(len(children), np.int64)
+        low = 1
+        for node in sorted(range(len(children)), key=lambda i: -len(children[i])):
+            if not (bytes_ := sorted(children[node])):
+                break
+            while not free[low]:
+                low += 1
+            at = max(low, bytes_[0])
+            while True:
+                if at + 4352 > len(free):
+                    free = np.concatenate([free, np.ones(len(free), bool)])
+                fits = free[at : at + 4096].copy()
+                for c in bytes_[1:]:
+                    fits &= free[at + c - bytes_[0] : at + c - bytes_[0] + 4096]
+                if fits.any():
+                    break
+                at += 4096
+            base[node] = at + int(fits.argmax()) - bytes_[0]
+            for c in bytes_:
+                cell[children[node][c]] = base[node] + c
+                free[base[node] + c] = False
+        size = int(cell.max()) + 257
+        self.base, self.check, self.final = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        self.base[cell], self.final[cell] = base, value
+        for node, below in enumerate(children):
+            for k in below.values():
+                self.check[cell[k]] = cell[node]
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and which of them exist."""
+        to = self.base[states] + symbols
+        return to, self.check[to] == states
+
+
+class Memo:
+    """Ids of solved segments by their hash, which is sorted."""
+
+    def __init__(self):
+        self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for those not held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New keys in ascending order with their ids one after another."""
+        at = len(self.flat) + np.cumsum(size) - size
+        to = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
+        self.flat = np.concatenate([self.flat, ids])
 
 
 class Transducer:
@@ -49,119 +186,105 @@ class Transducer:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         spec = model.normalizer_spec
-        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.form = {"identity": None}.get(spec.name, "NFKC")
-        self.ids: dict[bytes, int] = {}
+        self.path = path
+        self.normalise = Normaliser(charsmap(spec.precompiled_charsmap), spec.remove_extra_whitespaces, spec.add_dummy_prefix)
         self.byte_id = np.full(256, model.trainer_spec.unk_id, np.int32)
-        self.out = [b""] * len(model.pieces)
+        ids: dict[bytes, int] = {}
+        out = [b""] * len(model.pieces)
         rank = sorted((i for i, p in enumerate(model.pieces) if p.type in (1, 4)), key=lambda i: (-model.pieces[i].score, i))
         self.weight = np.full(len(model.pieces), UNIT, np.int64)
         self.weight[rank] += np.arange(len(rank))
         for i, p in enumerate(model.pieces):
             if p.type in (1, 4):
-                self.out[i] = p.piece.replace("▁", " ").encode()
-                self.ids[self.out[i]] = i
+                out[i] = p.piece.replace("▁", " ").encode()
+                ids[out[i]] = i
             elif p.type == 6:
                 b = int(p.piece[1:-1], 16)
-                self.byte_id[b], self.out[i] = i, bytes([b])
-        self.longest = max(map(len, self.ids), default=1)
-        self.lengths = np.array(sorted({len(k) for k in self.ids}))
-        keys = list(self.ids)
-        hashes = np.array([int(tv.span_hash(tv.prefix_hash(np.frombuffer(k, np.uint8)), np.array([0]), np.array([len(k)]))[0]) for k in keys], np.uint64)
-        order = np.argsort(hashes)
-        self.keys, self.key_ids = hashes[order], np.array([self.ids[k] for k in keys], np.int32)[order]
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        flat = np.frombuffer(b"".join(self.out), np.uint8)
-        self.out_bytes, self.out_at = flat, np.concatenate([[0], np.cumsum([len(x) for x in self.out])]).astype(np.int64)
+                self.byte_id[b], out[i] = i, bytes([b])
+        self.pieces = Trie(ids)
+        self.out_bytes, self.out_at = np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
         #: ASCII bytes without a piece of their own.
-        self.lone = np.array([b < 128 and bytes([b]) not in self.ids for b in range(256)])
+        self.lone = np.array([b < 128 and bytes([b]) not in ids for b in range(256)])
 
-    def normalise(self, text: str | None) -> str:
-        """What the pieces are matched against, with plain spaces for U+2581."""
-        text = (text or "").replace("▁", " ")
-        if self.form:
-            text = unicodedata.normalize(self.form, text)
-        if self.squeeze:
-            text = " ".join(text.split(" ")).strip(" ") if "  " not in text else " ".join(x for x in text.split(" ") if x)
-        return " " + text if self.prefix and text else text
+    def compose(self, buf: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All arcs of the lattice over ``buf`` (``end`` is each byte's segment end): from, to, and the piece or -1 for byte fallback."""
+        start = np.flatnonzero(_WIDTH[buf])
+        covered = np.zeros(len(buf), bool)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        frm, at, state = start, start, np.zeros(len(start), np.int32)
+        while len(frm):
+            state, ok = self.pieces.step(state, buf[at])
+            frm, at, state = frm[ok], at[ok] + 1, state[ok]
+            piece = self.pieces.final[state]
+            hit = piece >= 0
+            parts.append((frm[hit], at[hit], piece[hit]))
+            covered[frm[hit & (at - frm == _WIDTH[buf[frm]])]] = True
+            more = at < end[frm]
+            frm, at, state = frm[more], at[more], state[more]
+        bare = start[~covered[start]]
+        parts.append((bare, bare + _WIDTH[buf[bare]], np.full(len(bare), -1, np.int32)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids by span hash; -1 where there is none."""
-        out = np.full(len(h), -1, np.int32)
-        maybe = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-        good = self.keys[at] == h[maybe]
-        out[maybe[good]] = self.key_ids[at[good]]
-        return out
-
-    def shortest(self, segment: bytes) -> list[int]:
-        """Ids of one segment's shortest path."""
-        n = len(segment)
-        best, back = [0] + [None] * n, [(0, 0)] * (n + 1)
-        for s in range(n):
-            if best[s] is None or (segment[s] & 0xC0) == 0x80:
+    def shortest(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the shortest paths of segments that lie one after another in ``buf``, and the number of each one's ids."""
+        n = len(buf)
+        first, end = np.repeat(start, size), np.repeat(start + size, size)
+        frm, to, piece = self.compose(buf, end)
+        cost = np.where(piece >= 0, self.weight[piece], (to - frm) * UNIT)
+        best, came, by = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int32)
+        depth = to - first[frm]
+        wide = (size <= WIDE)[np.searchsorted(start, frm, "right") - 1]
+        # position by position within the segments, the longest arc into a position first
+        take = np.flatnonzero(wide)
+        take = take[np.argsort(((depth[take] * (n + 1) + to[take]) << 10) - (to - frm)[take])]
+        levels = np.searchsorted(depth[take], np.arange(1, WIDE + 2))
+        # best[] of a segment's first byte doubles as the end of the one before it: paths' starts cost nothing
+        for a, b in zip(levels, levels[1:], strict=False):
+            if a == b:
                 continue
-            wide = 1 + (segment[s] >= 0xC0) + (segment[s] >= 0xE0) + (segment[s] >= 0xF0)
-            for length in self.lengths:
-                e = s + int(length)
-                if e > n:
-                    break
-                i = self.ids.get(segment[s:e])
-                if i is not None and (best[e] is None or best[s] + int(self.weight[i]) < best[e]):
-                    best[e], back[e] = best[s] + int(self.weight[i]), (s, i)
-            e = s + wide
-            if segment[s:e] not in self.ids and (best[e] is None or best[s] + wide * UNIT < best[e]):
-                best[e], back[e] = best[s] + wide * UNIT, (s, -1)
-        out, e = [], n
-        while e:
-            s, i = back[e]
-            out += [i] if i >= 0 else [int(self.byte_id[b]) for b in reversed(segment[s:e])]
-            e = s
-        return out[::-1]
-
-    def _solve(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For segments of one length (a byte matrix): each one's ids, left-aligned, and their number."""
-        n, size = rows.shape
-        up, down = tv.powers(size)
-        hashes = np.zeros((size + 1, n), np.uint64)
-        np.cumsum(tv.BYTE_VALUES[rows].T * up[:size, None], axis=0, out=hashes[1:])
-        best = np.full((size + 1, n), _FAR, np.int64)
-        best[0] = 0
-        piece, came = np.zeros((size + 1, n), np.int32), np.zeros((size + 1, n), np.int16)
-        lead = rows.T
-        wide = np.where((lead & 0xC0) == 0x80, 0, 1 + (lead >= 0xC0).astype(np.int8) + (lead >= 0xE0) + (lead >= 0xF0))
-        for e in range(1, size + 1):
-            for length in self.lengths[self.lengths <= e][::-1]:
-                s = e - int(length)
-                open_ = np.flatnonzero(best[s] < _FAR)
-                if not len(open_):
-                    continue
-                h = tv.mix((hashes[e, open_] - hashes[s, open_]) * down[s] + np.uint64(length))
-                i = self.lookup(h)
-                cost = np.where(i >= 0, best[s, open_] + self.weight[i], _FAR)
-                if length <= 4:
-                    lone = (i < 0) & (wide[s, open_] == length)
-                    cost = np.where(lone, best[s, open_] + int(length) * UNIT, cost)
-                win = np.flatnonzero(cost < best[e, open_])
-                to = open_[win]
-                best[e, to], piece[e, to], came[e, to] = cost[win], i[win], s
-        ids, count = np.zeros((n, size), np.int32), np.zeros(n, np.int64)
-        at = np.full(n, size, np.int64)
-        live = np.arange(n)
-        while len(live):
-            e = at[live]
-            i, s = piece[e, live], came[e, live].astype(np.int64)
-            known = i >= 0
-            count[live[known]] += 1
-            ids[live[known], size - count[live[known]]] = i[known]
-            for r, a, b in zip(live[~known], s[~known], e[~known], strict=True):
-                for x in rows[r, a:b][::-1]:
-                    count[r] += 1
-                    ids[r, size - count[r]] = self.byte_id[x]
-            at[live] = s
-            live = live[s > 0]
-        return ids, count
+            arc = take[a:b]
+            f, t = frm[arc], to[arc]
+            total = np.where(f == first[f], 0, best[f]) + cost[arc]
+            head = np.ones(len(t), bool)
+            head[1:] = t[1:] != t[:-1]
+            at = np.flatnonzero(head)
+            least = np.minimum.reduceat(total, at)
+            group = np.cumsum(head) - 1
+            good = np.flatnonzero(total == least[group])
+            good = good[np.append(True, group[good][1:] != group[good][:-1])]
+            best[t[good]], came[t[good]], by[t[good]] = total[good], f[good], piece[arc[good]]
+        # the few long segments arc by arc
+        rest = np.flatnonzero(~wide)
+        rest = rest[np.lexsort((frm[rest], to[rest]))]
+        far: dict[int, int] = {}
+        for i in range(0, len(rest), 1 << 16):
+            part = rest[i : i + (1 << 16)]
+            for f, t, lo, w, p in zip(frm[part].tolist(), to[part].tolist(), first[frm[part]].tolist(), cost[part].tolist(), piece[part].tolist(), strict=True):
+                total = w if f == lo else far[f] + w
+                if t not in far or total < far[t]:
+                    far[t] = total
+                    came[t], by[t] = f, p
+        return self._paths(buf, start, size, came, by)
+
+    def _paths(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, came: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        used = np.zeros(len(buf) + 1, bool)
+        at, low = start + size, start
+        while len(at):
+            used[at] = True
+            at = came[at]
+            more = at > low
+            at, low = at[more], low[more]
+        end = np.flatnonzero(used)
+        piece, wide = by[end], np.where(by[end] >= 0, 1, end - came[end])
+        stop = np.cumsum(wide)
+        ids = np.repeat(piece, wide)
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            owner = np.searchsorted(stop, bare, "right")
+            ids[bare] = self.byte_id[buf[end[owner] - (stop[owner] - bare)]]
+        total = np.append(0, stop)
+        bound = np.searchsorted(end, np.append(start, start[-1:] + size[-1:]), "right")
+        return ids, np.diff(total[bound])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and n+1 offsets."""
@@ -174,30 +297,20 @@ class Transducer:
         cut[offs[:-1][offs[:-1] < len(buf)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(buf))
-        _, first, which = np.unique(tv.span_hash(tv.prefix_hash(buf), start, end), return_index=True, return_inverse=True)
-        a, size = start[first], (end - start)[first]
-        parts: list[np.ndarray] = []
-        counts = np.zeros(len(first), np.int64)
-        order: list[np.ndarray] = []
-        for length in np.unique(size):
-            own = np.flatnonzero(size == length)
-            if length <= WIDE:
-                for block in np.array_split(own, -(-len(own) // 20000)):
-                    ids, counts[block] = self._solve(buf[a[block, None] + np.arange(length)])
-                    parts.append(ids[np.arange(length)[None, :] >= (length - counts[block])[:, None]])
-                    order.append(block)
-            else:
-                for u in own:
-                    ids = self.shortest(buf[a[u] : a[u] + length].tobytes())
-                    counts[u] = len(ids)
-                    parts.append(np.array(ids, np.int32))
-                    order.append(np.array([u]))
-        flat, solved = np.concatenate(parts), np.concatenate(order)
-        at = np.zeros(len(first), np.int64)
-        at[solved] = np.concatenate([[0], np.cumsum(counts[solved])[:-1]])
-        n = counts[which]
+        keys, first, which = np.unique(tv.span_hash(tv.prefix_hash(buf), start, end), return_index=True, return_inverse=True)
+        memo = _memos.get(self.path)
+        if memo is None or len(memo.keys) > MEMO:
+            memo = _memos[self.path] = Memo()
+        new = np.flatnonzero(memo.find(keys) < 0)
+        if len(new):
+            a, size = start[first[new]], (end - start)[first[new]]
+            to = np.cumsum(size) - size
+            own = buf[np.repeat(a - to, size) + np.arange(int(size.sum()))]
+            memo.add(keys[new], *self.shortest(own, to, size))
+        at = memo.find(keys)
+        frm, n = memo.at[at][which], memo.size[at][which]
         ends = np.cumsum(n)
-        out = flat[np.repeat(at[which] - (ends - n), n) + np.arange(ends[-1])]
+        out = memo.flat[np.repeat(frm - (ends - n), n) + np.arange(ends[-1])]
         totals = np.concatenate([[0], ends])
         return out, totals[np.searchsorted(start, offs)]
 
@@ -209,7 +322,7 @@ class Transducer:
         data = self.out_bytes[np.repeat(self.out_at[:-1][ids] - (ends - size), size) + np.arange(total)].tobytes()
         cuts = np.concatenate([[0], ends])[offs].tolist()
         texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
-        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
+        return [t[1:] if self.normalise.prefix and t[:1] == " " else t for t in texts]
 
 
 @functools.cache

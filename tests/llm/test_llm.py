@@ -517,28 +517,81 @@ def test_bounds():
 
 
 def test_shortest_paths_are_shortest():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(transducer.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    pieces = {p.piece.replace("▁", " ").encode(): i for i, p in enumerate(model.pieces) if p.type in (1, 4)}
     m = transducer.load()
 
     def cheapest(seg):
-        best = {0: 0}
+        """Cost of the best path, and that path under the rule for ties."""
+        best = {0: (0, [])}
         for e in range(1, len(seg) + 1):
-            costs = []
             for s in range(max(0, e - 48), e):
                 x = seg[s:e]
-                if s in best and x in m.ids:
-                    costs.append(best[s] + int(m.weight[m.ids[x]]))
-                elif s in best and len(x) <= 4 and len(x.decode(errors="ignore")) == 1 and len(x.decode(errors="ignore").encode()) == len(x):
-                    costs.append(best[s] + len(x) * transducer.UNIT)
-            if costs:
-                best[e] = min(costs)
+                if s not in best:
+                    continue
+                if x in pieces:
+                    cost, ids = best[s][0] + int(m.weight[pieces[x]]), [pieces[x]]
+                elif len(x.decode(errors="ignore")) == 1 and len(x.decode(errors="ignore").encode()) == len(x):
+                    cost, ids = best[s][0] + len(x) * transducer.UNIT, [int(m.byte_id[c]) for c in x]
+                else:
+                    continue
+                if e not in best or cost < best[e][0]:
+                    best[e] = cost, best[s][1] + ids
         return best[len(seg)]
 
     rng = random.Random(2)
-    for _ in range(400):
-        t = "".join(rng.choice("thea in\n é日𝄞▁x9") for _ in range(rng.randint(1, 14)))
+    for size in [14] * 400 + [90] * 60:
+        # without spaces too, so that segments are on both sides of WIDE
+        letters = rng.choice(["thea in\n é日𝄞▁x9", "thein日éxa9"])
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, size)))
         ids, at = m.encode([t])
-        assert sum(int(m.weight[i]) for i in ids) == cheapest(m.normalise(t).encode())
-        assert m.decode(ids, at) == [t.replace("▁", " ")] and list(ids) == m.shortest(m.normalise(t).encode())
+        cost, path = cheapest(m.normalise(t).encode())
+        assert sum(int(m.weight[i]) for i in ids) == cost and list(ids) == path
+        assert m.decode(ids, at) == [t.replace("▁", " ")]
+
+
+def test_solved_segments_are_remembered_in_bounded_number(monkeypatch):
+    m = transducer.load()
+    texts = [f"word{i} and {i * 7}" for i in range(300)]
+    want, at = m.encode(texts)
+    monkeypatch.setattr(transducer, "MEMO", 20)
+    for i, t in enumerate(texts):
+        assert m.encode([t])[0].tolist() == want[at[i] : at[i + 1]].tolist()
+        assert len(transducer._memos[m.path].keys) < 30
+
+
+def test_trie_holds_its_words_only():
+    rng = random.Random(4)
+    words = {bytes(rng.choice(b"abc\xff\x01") for _ in range(rng.randint(1, 5))): i for i in range(200)}
+    trie = transducer.Trie(words)
+    for _ in range(2000):
+        x = bytes(rng.choice(b"abc\xff\x01z") for _ in range(rng.randint(1, 6)))
+        state, alive = np.zeros(1, np.int32), True
+        for c in x:
+            state, ok = trie.step(state, np.array([c]))
+            if not (alive := bool(ok[0])):
+                break
+        assert (int(trie.final[state[0]]) if alive else -1) == words.get(x, -1)
+
+
+def test_normaliser_against_the_library():
+    sp = pytest.importorskip("sentencepiece")
+    if not hasattr(sp, "SentencePieceNormalizer"):
+        pytest.skip("no normaliser in this version")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    theirs = sp.SentencePieceNormalizer(rule_name="nmt_nfkc_cf", add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=True)
+    model = pb.ModelProto()
+    model.ParseFromString(theirs.serialized_model_proto())
+    own = transducer.Normaliser(transducer.charsmap(model.normalizer_spec.precompiled_charsmap), True, False)
+    rng = random.Random(8)
+    for _ in range(500):
+        t = "".join(rng.choice("aAÀ ﬁ①ｶﾞé\u0301e\u0301\u3000㍿Ⅷß日 ½") for _ in range(rng.randint(0, 12)))
+        assert own(t) == theirs.normalize(t), t
 
 
 def test_encoding_round_trip(spark):
