@@ -1,15 +1,20 @@
 """GIF media columns: write and read GIF89a, composite timed frames, colour histograms.
 
-``encode_payloads`` stores bytes as 8-bit palette indices.  ``decode`` reads any
+``encode`` stores bytes as 8-bit palette indices.  ``decode`` reads any
 GIF: LZW code streams, global and local palettes, interlacing, transparency and
-the four disposal rules.  Cases: null or empty bytes raise no error in the
-column operators (a null payload is an empty one, which is stored as 64 zero
-bytes; a null or broken media value gives null results); equal inputs give equal
-outputs; an empty table gives an empty table; other columns pass through.
+the four disposal rules.  Both directions build the LZW dictionary.
+
+Cases: null or empty bytes raise no error in the column operators (a null payload
+is an empty one, which is stored as 64 zero bytes; a null or broken media value, one
+without a frame, and one whose canvas has more than ``MAX_PIXELS`` pixels give null
+results); equal inputs give equal outputs; an empty table gives an empty table; other
+columns pass through, but for those that have the name of an added one, which the
+added one replaces.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -19,15 +24,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .work import small_batches
 
 WIDTH = 64
 FRAME_ROWS = 1024
 DELAY = 10
-#: Literals after each clear code: with it 248 codes of 9 bits, a whole number of bytes, and the code width never grows.
-RUN = 247
+#: Pixels of the largest canvas, or frame, that is read.
+MAX_PIXELS = 1 << 26
+#: Codes from one clear code to the next: by then 12-bit codes are used up.
+_CODES = 4096 - 257
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -36,30 +43,49 @@ def pad(data: bytes, unit: int = WIDTH) -> bytes:
     return data + bytes(max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """9-bit codes, least significant bit first; eight codes make nine bytes."""
-    c = np.zeros(-(-len(codes) // 8) * 8, np.uint64)
-    c[: len(codes)] = codes
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, :8] = np.bitwise_or.reduce(c << (np.arange(8, dtype=np.uint64) * np.uint64(9)), axis=1).astype("<u8")[:, None].view(np.uint8)
-    out[:, 8] = c[:, 7] >> np.uint64(1)
-    return out.tobytes()
+@functools.cache
+def _widths(bits: int) -> np.ndarray:
+    """Bits of each code after a clear code."""
+    made = np.arange(1, _CODES + 2) + (1 << bits)
+    return np.minimum(12, np.maximum(bits + 1, np.floor(np.log2(made)).astype(np.int64) + 1))
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of the given widths, least significant bit first."""
+    end = np.cumsum(widths)
+    at = end - widths
+    whole = codes.astype(np.int64) << (at & 7)
+    size = int(end[-1] + 7) // 8
+    out = sum(np.bincount((at >> 3) + k, whole >> (8 * k) & 255, size + 2) for k in range(3))
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """An LZW stream of literals with a clear code before each run of them: valid for every decoder, and written without a dictionary."""
-    a = np.frombuffer(data, np.uint8)
-    runs = -(-len(a) // RUN) if len(a) else 1
-    codes = np.zeros((runs, RUN + 1), np.uint16)
-    codes[:, 0] = 256
-    full = np.zeros(runs * RUN, np.uint16)
-    full[: len(a)] = a
-    codes[:, 1:] = full.reshape(runs, RUN)
-    flat = codes.reshape(-1)[: (runs - 1) * (RUN + 1) + 1 + len(a) - (runs - 1) * RUN]
-    if (len(flat) - 1) % (RUN + 1) == RUN:
-        flat = np.append(flat, np.uint16(256))
-    return _pack9(np.append(flat, np.uint16(257)))
+    """The LZW stream of 8-bit values: a clear code first and whenever the table is full."""
+    first = {(256 << 8) | i: i for i in range(256)}
+    codes, widths, each = [256], [np.array([9])], _widths(8)
+    table, after, code, used = dict(first), 258, 256, 0
+    for c in data:
+        key = code << 8 | c
+        if (longer := table.get(key)) is not None:
+            code = longer
+            continue
+        codes.append(code)
+        used += 1
+        if after < 4096:
+            table[key] = after
+            after += 1
+            code = c
+        else:
+            codes.append(256)
+            widths.append(each[: used + 1])
+            table, after, code, used = dict(first), 258, c, 0
+    if code != 256:
+        codes.append(code)
+        used += 1
+    codes.append(257)
+    widths.append(each[: used + 1])
+    return _pack(np.array(codes), np.concatenate(widths))
 
 
 def _blocks(data: bytes) -> bytes:
@@ -82,60 +108,65 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay: in
     return b"".join([*out, b"\x3b"])
 
 
-def _lzw_scalar(data: bytes, bits: int, size: int) -> bytes:
-    """The general decoder: growing code width, full table, late clear codes."""
-    clear = 1 << bits
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, prev, acc, held = list(base), bits + 1, b"", 0, 0
-    out, made = [], 0
-    for byte in data:
-        acc |= byte << held
-        held += 8
-        while held >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            held -= width
-            if code == clear:
-                table, width, prev = list(base), bits + 1, b""
-                continue
-            if code == clear + 1 or made >= size:
-                return b"".join(out)
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and prev:
-                entry = prev + prev[:1]
-            else:
-                raise ValueError("bad LZW code")
-            out.append(entry)
-            made += len(entry)
-            if prev and len(table) < 4096:
-                table.append(prev + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            prev = entry
-    return b"".join(out)
+def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The values that the codes after one clear code stand for.
+
+    Code number i either is a literal or names entry k: what code k stood for and the first
+    value after it.  So each output value is a literal or a copy of one further ahead, and
+    following these pointers, doubled in every round, ends at literals.
+    """
+    n = len(codes)
+    i = np.arange(n)
+    literal = codes < clear
+    parent = np.where(literal, i, codes - (clear + 2))
+    if np.any(~literal & ((parent >= i) | (parent < 0))):
+        raise ValueError("bad LZW code")
+    up, more = parent, np.where(literal, 0, 1)
+    while np.any(more[up]):
+        more = more + more[up]
+        up = up[up]
+    size = 1 + more
+    at = np.cumsum(size) - size
+    owner = np.repeat(i, size)
+    place = np.arange(len(owner))
+    frm = at[parent][owner] + place - at[owner]
+    while np.any(frm[frm] != frm):
+        frm = frm[frm]
+    return codes[owner[frm]].astype(np.uint8)
 
 
 def lzw_decode(data: bytes, bits: int, size: int) -> np.ndarray:
-    """``size`` palette indices.  Streams whose code width stays at nine bits and that hold only literals are read at once; all others code by code."""
-    if bits == 8 and len(data) >= 2:
-        n = len(data) * 8 // 9
-        raw = np.zeros(-(-n // 8) * 9, np.uint8)
-        raw[: min(len(raw), len(data))] = np.frombuffer(data, np.uint8)[: len(raw)]
-        raw = raw.reshape(-1, 9)
-        low = np.ascontiguousarray(raw[:, :8]).view("<u8")
-        codes = np.empty((len(raw), 8), np.uint16)
-        codes[:, :7] = (low >> (np.arange(7, dtype=np.uint64) * np.uint64(9))) & np.uint64(511)
-        codes[:, 7] = (low[:, 0] >> np.uint64(63)).astype(np.uint16) | raw[:, 8].astype(np.uint16) << 1
-        codes = codes.reshape(-1)[:n]
-        end = np.flatnonzero(codes == 257)
-        if len(end):
-            codes = codes[: end[0]]
-            clears = np.flatnonzero(codes == 256)
-            if len(clears) and clears[0] == 0 and np.diff(np.append(clears, len(codes))).max() <= 255 and codes.max() <= 256:
-                return codes[codes != 256].astype(np.uint8)[:size]
-    out = np.frombuffer(_lzw_scalar(data, bits, size), np.uint8)[:size]
-    return out if len(out) == size else np.concatenate([out, np.zeros(size - len(out), np.uint8)])
+    """``size`` palette indices; those that a stream ends before are 0.
+
+    From one clear code to the next the codes' widths depend on their number only
+    (12 bits once the table is full), so they are cut out together.
+    """
+    clear, limit = 1 << bits, len(data) * 8
+    raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.int64)
+    each, at, made = _widths(bits), 0, 0
+    out: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    used, last = 0, False
+    while made < size and not last:
+        w = each[used : used + 4096] if used < len(each) else np.full(4096, 12)
+        w = w[: max(0, (limit - at) // (bits + 1))]
+        begin = at + np.cumsum(w) - w
+        w, begin = w[begin + w <= limit], begin[begin + w <= limit]
+        byte = begin >> 3
+        codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (begin & 7)) & ((1 << w) - 1)
+        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        n = int(stop[0]) if len(stop) else len(codes)
+        held.append(codes[:n])
+        used += n
+        last = not len(codes) or bool(len(stop)) and codes[n] == clear + 1
+        at += int(w[: n + 1].sum())
+        if len(stop) or last or used >= size:
+            part = _expand(np.concatenate(held), clear)
+            out.append(part)
+            made += len(part)
+            held, used = [], 0
+    got = np.concatenate([*out, np.zeros(0, np.uint8)])[:size]
+    return got if len(got) == size else np.concatenate([got, np.zeros(size - len(got), np.uint8)])
 
 
 @dataclass
@@ -170,6 +201,8 @@ def decode(media: bytes) -> list[Frame]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(media, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if width * height > MAX_PIXELS:
+        raise ValueError("canvas too large")
     canvas = np.zeros((height, width, 3), np.uint8)
     frames: list[Frame] = []
     delay, disposal, clear_index = 0, 0, None
@@ -198,6 +231,8 @@ def decode(media: bytes) -> list[Frame]:
             palette = np.frombuffer(media, np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
         size = media[at]
+        if not 1 <= size <= 8 or w * h > MAX_PIXELS:
+            raise ValueError("bad GIF frame")
         at += 1
         parts = []
         while media[at]:
@@ -226,42 +261,55 @@ def decode(media: bytes) -> list[Frame]:
     return frames
 
 
-def with_gif(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_bytes`` and ``media``: the UTF-8 bytes of ``text``, zero-padded, as a GIF."""
+def with_gif(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``n_bytes`` and ``media``: the UTF-8 bytes of ``text``, zero-padded, as a GIF."""
+    plain = df.select(*(c for c in df.columns if c not in ("n_bytes", "media")))
+    at = plain.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([encode(pad(x)) for x in data], pa.binary())], names=[key, "n_bytes", "media"])
+            data = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in data], pa.int64()), pa.array([encode(pad(x)) for x in data], pa.binary())], names=[*b.schema.names, "n_bytes", "media"])
 
     small_batches(df.sparkSession)
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} bigint, n_bytes bigint, media binary")
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+
+
+_FRAME = pa.struct([("delay_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+_LONGS = T.ArrayType(T.LongType())
+_ADDED = T.StructType()
+for _name, _kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("n_frames", "integer"), ("duration_ms", "long"), ("colour_histogram", _LONGS), ("frames", T.ArrayType(T.StructType().add("delay_ms", "long").add("histogram", _LONGS)))):
+    _ADDED.add(_name, _kind)
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(_FRAME)]
+
+
+def read_back(data: bytes | None) -> tuple:
+    """The values of the columns that ``gif_features`` adds."""
+    if data is None:
+        return (None,) * len(_KINDS)
+    size, digest = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        frames = decode(data)
+    except (ValueError, IndexError, struct.error):
+        frames = []
+    if not frames:
+        return (None, None, None, size, digest, None, None, None, None, None)
+    payload = b"".join(f.indices.tobytes() for f in frames)
+    hist = np.sum([f.histogram for f in frames], axis=0)
+    feature = f"{len(frames)}f;{frames[0].rgb.shape[1]}x{frames[0].rgb.shape[0]};" + ",".join(map(str, hist[:8]))
+    timed = [{"delay_ms": f.delay_ms, "histogram": f.histogram.tolist()} for f in frames]
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), size, digest, feature, len(frames), sum(f.delay_ms for f in frames), hist.tolist(), timed)
 
 
 def gif_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds what is read back from ``media``: payload size, digest and checksum, frames with their delays and colour histograms."""
-    keep = [c for c in df.columns if c != media]
-
-    def one(data: bytes | None) -> tuple:
-        if data is None:
-            return (None,) * 9
-        try:
-            frames = decode(data)
-        except (ValueError, IndexError, struct.error):
-            return (None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None, None, None)
-        payload = b"".join(f.indices.tobytes() for f in frames)
-        hist = np.sum([f.histogram for f in frames], axis=0)
-        feature = f"{len(frames)}f;{frames[0].rgb.shape[1]}x{frames[0].rgb.shape[0]};" + ",".join(map(str, hist[:8]))
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames), sum(f.delay_ms for f in frames), [int(x) for x in hist])
-
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms", "colour_histogram"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    """Adds what is read back from ``media``: payload size, digest and checksum, and the timed frames with their colour histograms; ``media`` goes."""
+    plain = df.select(*(c for c in df.columns if c != media and c not in _ADDED.names), media)
+    keep = len(plain.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(one(x.as_py()) for x in b.column(len(keep))), strict=True)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=[*keep, *names])
+            rows = list(zip(*(read_back(x.as_py()) for x in b.column(keep)), strict=True)) or [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *(pa.array(v, k) for v, k in zip(rows, _KINDS, strict=True))], names=[*b.schema.names[:keep], *_ADDED.names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != media] + ["payload_bytes bigint", "payload_sha256 string", "tail_crc32 bigint", "media_bytes bigint", "media_sha256 string", "feature string", "n_frames int", "duration_ms bigint", "colour_histogram array<bigint>"])
     small_batches(df.sparkSession)
-    return df.select(*keep, media).mapInArrow(run, schema)
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields[:keep], *_ADDED.fields]))

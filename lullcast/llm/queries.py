@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.gif_features(gif.with_gif(table(spark, sf_dir, "documents")))
+    return gif.gif_features(gif.with_gif(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
