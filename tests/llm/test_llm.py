@@ -131,6 +131,35 @@ def test_lzw_decoder_reads_real_streams():
         assert gif.lzw_decode(greedy_lzw(small, 2), 2, n).tobytes() == small
 
 
+def test_lzw_encoder_writes_an_ordinary_stream():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 255, 256, 257, 700, 3839, 3840, 9000):
+        for letters in (range(256), b"ab", b"a"):
+            data = bytes(rng.choice(letters) for _ in range(n))
+            own, theirs = gif.lzw_encode(data), greedy_lzw(data, 8)
+            assert theirs[: len(own)] == own and not any(theirs[len(own) :])
+            assert gif.lzw_decode(own, 8, n).tobytes() == data
+
+
+def test_broken_media_give_nulls(spark):
+    empty_gif = b"GIF89a" + struct.pack("<HHBBB", 3, 1, 0, 0, 0) + b"\x3b"
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\x00\x3b"
+    whole = gif.encode(gif.pad(b"some bytes"))
+    odd = whole.replace(b"\x2c" + struct.pack("<HHHHB", 0, 0, 64, 1, 0) + b"\x08", b"\x2c" + struct.pack("<HHHHB", 0, 0, 64, 1, 0) + b"\x0b")
+    rows = list(enumerate([empty_gif, huge, whole[:20], whole[:-70], odd, b"", None]))
+    df = spark.createDataFrame(rows, "doc_id long, media binary").withColumns({c: F.lit("clash") for c in ("feature", "n_frames", "frames")})
+    got = {r.doc_id: r for r in gif.gif_features(df).collect()}
+    assert len(got) == len(rows) and all(r.payload_bytes is None and r.frames is None for r in got.values())
+    assert got[0].media_bytes == len(empty_gif) and got[6].media_bytes is None
+
+
+def test_frames_are_stored_and_other_columns_stay(spark):
+    df = table(spark, [(1, "ab" * 70000)], extra=("n_bytes", "media", "feature", "other"))
+    r = gif.gif_features(gif.with_gif(df)).first()
+    assert (r.n_bytes, r.other, r.text) == (140000, "other", "ab" * 70000) and r.n_frames == len(r.frames) == 3 and r.duration_ms == 300
+    assert [f.delay_ms for f in r.frames] == [100] * 3 and [sum(x) for x in zip(*(f.histogram for f in r.frames), strict=True)] == r.colour_histogram
+
+
 def test_disposal_and_transparency():
     def frame(left, indices, disposal, clear=None):
         gce = b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), 5, clear or 0) + b"\0"
@@ -212,6 +241,24 @@ def base_by_patterns(t):
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
 
 
+def test_long_numbers_and_many_spans():
+    long = "0" * 5000 + ".0.0.0 and 1.2.3." + "9" * 5000
+    assert pii.base_spans(long) == [("ip", 0, 5006)] and pii.find(long)[0] == [("ip", 0, 5006)]
+    rng = random.Random(9)
+    for _ in range(200):
+        spans = [("ip", a, a + rng.randint(1, 6)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))]
+        taken, cells = pii.Taken(spans), {i for _, a, b in spans for i in range(a, b)}
+        for _ in range(10):
+            a = rng.randint(0, 60)
+            b = a + rng.randint(1, 6)
+            assert taken.meets(a, b) == any(i in cells for i in range(a, b))
+            if not taken.meets(a, b):
+                taken.add(a, b)
+                cells |= set(range(a, b))
+    many = " ".join(f"user{i}@mail{i}.example.com" for i in range(20_000))
+    assert len(pii.find(many)[1]) == 20_000
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(1)
     for _ in range(8000):
