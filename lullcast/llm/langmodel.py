@@ -6,8 +6,8 @@ in none of its texts.  Both are interpolated bigram models with the same smoothi
 and the background's counts are scaled to the target's number of tokens.  Nothing is
 cut, and no count is kept on the driver or broadcast: documents are dealt to chunks
 of about ``CHUNK`` bytes, a chunk sends its distinct words and bigrams with their
-counts to buckets of the key space, each bucket sums them and sends the totals back
-to the chunks that asked, and a chunk then scores its documents.  Chunks and buckets
+counts to buckets of the key space, each bucket sums them and sends back to the chunks
+that asked what the others add to their counts, and a chunk then scores its documents.  Chunks and buckets
 grow in number with the corpus, not in size, and a common key has one entry a chunk.
 A document's score is the mean over its words of target loss minus background loss,
 in nats: the lower, the closer to the target.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,39 +90,57 @@ def _flag(table: pa.Table, name: str) -> np.ndarray:
     return np.asarray(table.column(name).to_numpy(), bool)
 
 
-def _read(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers, most of them small, in few bytes: all lowest bytes first, then all of the next, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+def _read(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
+    return [_unpack(x, kind) for x in table.column(name).to_pylist()]
+
+
+def _own(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's words and where its texts begin, its distinct keys, how often each is in the target's and in all counted texts, and which of them each word and bigram is."""
+    words, bound = _texts(table)
+    keys = _keys(words, bound)
+    order, at, back = _distinct(keys)
+    each = np.diff(bound)
+    t, b = (_sums(np.tile(np.repeat(_flag(table, name), each), 2), order, at) for name in ("hit", "counted"))
+    return words, bound, keys[order][at], t, b, back
 
 
 def _ask(buckets: int):
-    """The chunk's distinct keys with their counts in it, one row for each bucket."""
+    """The chunk's distinct keys (as differences) with their counts in it, one row for each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        words, bound = _texts(table)
-        keys = _keys(words, bound)
-        order, at, _ = _distinct(keys)
-        each = np.diff(bound)
-        b = _sums(np.tile(np.repeat(_flag(table, "counted"), each), 2), order, at)
-        t = _sums(np.tile(np.repeat(_flag(table, "hit"), each), 2), order, at)
-        keys = keys[order][at]
+        _, _, keys, t, b, _ = _own(table)
         bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(cut))
-        pack = lambda x, kind: pa.array([x[cut[k] : cut[k + 1]].astype(kind).tobytes() for k in some], pa.binary())
+        pack = lambda x, step: pa.array([_pack(step(x[cut[k] : cut[k + 1]])) for k in some], pa.binary())
         chunk = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(some), pa.int64()), "bucket": pa.array(some, pa.int64()), "keys": pack(keys, "<u8"), "t": pack(t, "<i4"), "b": pack(b, "<i4")})
+        counts = lambda x: x.astype("<i4")
+        return pa.table({"chunk": pa.array([chunk] * len(some), pa.int64()), "bucket": pa.array(some, pa.int64()), "keys": pack(keys, lambda x: np.diff(x, prepend=np.uint64(0))), "t": pack(t, counts), "b": pack(b, counts)})
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The bucket's keys summed over all chunks; each chunk gets the totals of its keys, in their order."""
-    size = pc.binary_length(table.column("keys")).to_numpy() // 8
-    order, at, back = _distinct(_read(table, "keys", "<u8"))
-    totals = [_sums(_read(table, name, "<i4"), order, at)[back].astype("<i8") for name in ("t", "b")]
-    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    t, b = (pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in totals)
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "t": t, "b": b})
+    """The bucket's keys summed over all chunks; each chunk gets, in the order of its keys, what the others add to its own counts."""
+    keys = [np.cumsum(x, dtype=np.uint64) for x in _read(table, "keys", "<u8")]
+    order, at, back = _distinct(np.concatenate([*keys, np.zeros(0, np.uint64)]))
+    cut = np.cumsum([0, *map(len, keys)])
+    out = []
+    for name in ("t", "b"):
+        own = np.concatenate([*_read(table, name, "<i4"), np.zeros(0, np.int32)])
+        more = (_sums(own, order, at)[back] - own).astype("<i8") if len(own) else own
+        out.append(pa.array([_pack(more[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "t": out[0], "b": out[1]})
 
 
 def _share(words: np.ndarray, total: float, n: int) -> np.ndarray:
@@ -190,14 +208,14 @@ def _scorer(models: Pair):
     n, scale, total, starts = models.n, models.scale, models.total, models.starts
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
-        words, bound = _texts(table)
-        _, _, at = _distinct(_keys(words, bound))
+        words, bound, _, *own_counts, at = _own(table)
         back = back.sort_by("bucket")
         each = np.diff(bound)
         first = bound[:-1][each > 0]
         losses = []
         for m, name in ((0, "t"), (1, "b")):
-            count = _read(back, name, "<i8")[at] * scale[m]
+            total_counts = own_counts[m] + np.concatenate([*_read(back, name, "<i8"), np.zeros(0, np.int64)])
+            count = total_counts[at] * scale[m]
             pairs, own = count[: len(words)], count[len(words) :]
             history = np.empty_like(own)
             history[1:] = own[:-1]
