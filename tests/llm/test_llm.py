@@ -425,6 +425,29 @@ def repeated(texts, n):
     return out
 
 
+def test_corpus_order_of_contexts():
+    rng = random.Random(11)
+    for _ in range(60):
+        n, back, length = rng.randint(1, 30), 5, 8
+        groups = np.sort(np.array([rng.randint(0, 3) for _ in range(n)]))
+        # few letters, zero bytes among them, and contexts cut at either end
+        made = [(bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, back))), bytes(rng.choice(b"a\0") for _ in range(rng.randint(3, length)))) for _ in range(n)]
+        cells = lambda xs, width: np.array([list(x) + [0] * (width - len(x)) for x in xs], np.uint8)
+        sizes = lambda xs: np.array([len(x) for x in xs])
+        left, right = [x[::-1] for x, _ in made], [y for _, y in made]
+        got = substrings.corpus_order(groups, cells(left, back), sizes(left), cells(right, length), sizes(right), length)
+        seen = collections.defaultdict(set)
+        for i, (x, y) in enumerate(made):
+            for d in range(back + 1):
+                if d <= len(x) and length - d <= len(y):
+                    seen[groups[i], d, (x[len(x) - d :] + y)[:length]].add(i)
+        want = np.zeros((n, back + 1), bool)
+        for (_, d, _), rows in seen.items():
+            if len(rows) > 1:
+                want[list(rows), d] = True
+        assert (got == want).all()
+
+
 def test_corpus_order_finds_repeats():
     rng = random.Random(4)
     for trial in range(40):
@@ -434,7 +457,11 @@ def test_corpus_order_finds_repeats():
         assert substrings.repeats_by_order(texts, 20, 4) == [{i for i, x in enumerate(w) if x} for w in repeated(texts, 20)]
 
 
-def test_removal_against_brute_force_and_order(spark):
+@pytest.mark.parametrize(("limit", "block", "hot"), [(4096, 16384, 20000), (4096, 5, 3), (2, 16384, 5)])
+def test_removal_against_brute_force_and_order(spark, monkeypatch, limit, block, hot):
+    # all triggers ordered in one block; small blocks and keys joined apart; triggers with many contexts by windows
+    for name, value in (("LIMIT", limit), ("BLOCK", block), ("HOT", hot)):
+        monkeypatch.setattr(substrings, name, value)
     rng = random.Random(8)
     base = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(0, 300))) for _ in range(20)]
     texts = [*base, base[1][5:160] + base[2], base[1], b"a" * 500, b"", base[3][:50] + base[4] + base[3][50:], b"a" * 90, *[base[7][:150] + bytes([97 + i]) + base[7][150:] for i in range(5)]]
