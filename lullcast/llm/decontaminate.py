@@ -8,9 +8,15 @@ hits, and Myers' bit-parallel distance checks the text around each hit.
 Normalised: UTF-8 bytes with A-Z lower-cased and runs of ASCII white space and
 punctuation as one space.  Cases: null or empty texts match nothing; items whose
 normalised form has fewer than ``min_item`` bytes are found unchanged (budget 0) and
-at word boundaries only, items without any byte never; repeated items are reported each under its own id; items with a null id or text are left
-out; an empty table of either kind gives an empty result.  Each row of the result
-is the best match of one item in one document (smallest distance, then first end).
+at word boundaries only, items without any byte never; repeated items are reported
+each under its own id; items with a null id or text are left out; an empty table of
+either kind gives an empty result.  Each row of the result is the best match of one
+item in one document (smallest distance, then first end).
+
+Items are dealt into blocks of about ``BLOCK_BYTES``.  A block is on the driver only
+while it becomes a broadcast, which Spark keeps on disk and executors fetch when a task
+of that block starts, so a benchmark of any size takes as many passes over the documents
+as it has blocks.
 """
 
 from __future__ import annotations
@@ -155,10 +161,11 @@ def edit_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     out = None
     names = ["doc_id", "item_id", "distance", "match_end", "budget"]
     for block in _blocks(items, item_id, item_text):
-        wanted = [(i, x) for i, x in block if x]
+        wanted = docs.sparkSession.sparkContext.broadcast([(i, x) for i, x in block if x])
+        del block
 
         def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(wanted, error_rate, min_item)
+            matcher = Matcher(wanted.value, error_rate, min_item)
             for b in batches:
                 rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in matcher.find(normalise(t))]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (list(zip(*rows, strict=True)) or [()] * 5)], names=names)

@@ -494,6 +494,56 @@ def test_attribution_rules():
 # --- 8 -------------------------------------------------------------------------------------
 
 
+def closest(p, t):
+    """Smallest distance of ``p`` to a substring of ``t``, and the first end where it is reached."""
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, d in enumerate(t, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
+        row = new
+    best = min(row)
+    return best, row.index(best)
+
+
+def test_edit_matches_against_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(7, 30)))) for i in range(12)] + [(12, "ab cd"), (13, None), (14, "?!")]
+
+    def edited(x, n):
+        for _ in range(n):
+            at = rng.randrange(len(x))
+            x = x[:at] + rng.choice(["", "a", "bc", x[at] + "d"]) + x[at + 1 :]
+        return x
+
+    docs = []
+    for d in range(80):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 12)))]
+        for _ in range(rng.randint(0, 2)):
+            parts += [edited(items[rng.randrange(12)][1], rng.randint(0, 6)), " ".join(word() for _ in range(rng.randint(0, 12)))]
+        docs.append((d, rng.choice([" ", ", "]).join(parts)))
+    docs += [(80, "Ab, cd x"), (81, "xab cd ab cde ab cd")]
+    want = set()
+    for d, t in docs:
+        text = decontaminate.normalise(t)
+        for i, x in items:
+            pattern = decontaminate.normalise(x)
+            k = int(len(pattern) * 0.1)
+            if len(pattern) >= 20:
+                distance, end = closest(pattern, text)
+                if distance <= k:
+                    want.add((d, i, distance, end, k))
+            elif pattern and (m := re.search(rb"(?:^| )" + re.escape(pattern) + rb"(?= |$)", text)):
+                want.add((d, i, 0, m.end(), 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (16 << 20, 100):  # in one block and in many
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.edit_matches(table(spark, docs), bench, error_rate=0.1)
+        assert {tuple(r) for r in got.collect()} == want
+    assert {(80, 12, 0, 5, 0), (81, 12, 0, 19, 0)} <= want and len({d for _, _, d, _, _ in want}) > 3
+
+
 def test_myers_distance():
     def brute(p, t):
         row = [0] * (len(t) + 1)
