@@ -16,7 +16,7 @@ def wilcoxon(diffs: DataFrame, by: list[str], value: str = "diff", least: int =
     """``by, n, w_pos, w_neg, z, r_rank_biserial, median_diff, mean_diff`` of paired differences.
 
     Nulls and zeros are left out of the ranks; z is tie-corrected without continuity
-    correction; groups of fewer than ``least`` differences other than zero have null results.
+    correction; groups of fewer than ``least`` pairs, zeros included, have null results.
     """
     rows = diffs.filter(F.col(value).isNotNull())
     centre = rows.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.percentile(value, F.lit(0.5)).alias("median_diff"), F.avg(value).alias("mean_diff"))
@@ -25,7 +25,7 @@ def wilcoxon(diffs: DataFrame, by: list[str], value: str = "diff", least: int =
     tests = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_pos"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_neg"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0
-    enough = n >= least
+    enough = F.col("n_pairs") >= least
     out = centre.join(tests, by, "left")
     return out.select(*by, "n_pairs", F.coalesce("n", F.lit(0)).alias("n"), F.when(enough, F.col("w_pos")).alias("w_pos"), F.when(enough, F.col("w_neg")).alias("w_neg"), F.when(enough, (F.col("w_pos") - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"), F.when(enough, (F.col("w_neg") - F.col("w_pos")) / (F.col("w_neg") + F.col("w_pos"))).alias("r_rank_biserial"), "median_diff", "mean_diff")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import math
 import random
 
@@ -121,11 +122,21 @@ def test_fill_rate_rises_with_stock(spark):
     assert s["low"] <= s["high"]
 
 
-def test_interpolated_costs(spark):
-    sweep = spark.createDataFrame([("a", "m", 1, 0.5, 0.80, 10.0, 100.0), ("a", "m", 1, 0.9, 0.97, 2.0, 300.0)], "sku_id string, model string, origin int, tau double, fill_rate double, unmet double, on_hand double")
-    got = {r.fill_target: (r.cost_at_target, r.covered) for r in policy.at_equal_service(policy.with_costs(sweep, ((5.0, 1.0),)), (0.90, 0.995)).collect()}
-    assert got[0.90][0] == pytest.approx(150 + 0.10 / 0.17 * 160) and got[0.90][1]
-    assert got[0.995] == (None, False)
+def test_costs_follow_the_curve(spark):
+    rng = random.Random(31)
+    curves = {f"s{i}": sorted({round(rng.uniform(0.7, 1.0), 3): rng.uniform(5, 90) for _ in range(6)}.items()) for i in range(25)}
+    data = [(k, "m", 1, 0.1 * j, fill, 7 * h, h) for k, points in curves.items() for j, (fill, h) in enumerate(points)]
+    sweep = spark.createDataFrame(data, "sku_id string, model string, origin int, tau double, fill_rate double, unmet double, on_hand double")
+    for r in policy.at_equal_service(policy.with_costs(sweep, ((3.0, 2.0),)), (0.8, 0.93)).collect():
+        points = [(f, 3.0 * 7 * h + 2.0 * h) for f, h in curves[r.sku_id]]
+        inside = points[0][0] <= r.fill_target <= points[-1][0]
+        assert r.covered == inside
+        if not inside:
+            assert r.cost_at_target is None
+            continue
+        right = next(i for i, (f, _) in enumerate(points) if f >= r.fill_target)
+        (f0, c0), (f1, c1) = points[max(right - 1, 0)], points[right]
+        assert r.cost_at_target == pytest.approx(c1 if f1 == r.fill_target else c0 + (c1 - c0) * (r.fill_target - f0) / (f1 - f0))
 
 
 def test_no_billed_demand_counts_as_covered(spark):
@@ -135,9 +146,10 @@ def test_no_billed_demand_counts_as_covered(spark):
 
 
 def test_holm(spark):
-    df = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.20), (4, None)], "i int, p double")
+    # by hand: 4 * 0.002, then 3 * 0.011 for both equal values, then 0.5 itself
+    df = spark.createDataFrame([("v", 0.5), ("w", None), ("x", 0.011), ("y", 0.002), ("z", 0.011)], "i string, p double")
     got = {r.i: r.p_holm for r in stats.holm(df).collect()}
-    assert [got[i] for i in range(4)] == pytest.approx([0.04, 0.09, 0.09, 0.20]) and got[4] is None
+    assert got.pop("w") is None and got == pytest.approx({"y": 0.008, "x": 0.033, "z": 0.033, "v": 0.5})
 
 
 def test_holm_of_large_families(spark):
@@ -163,22 +175,61 @@ def test_pooled_safety_stock_without_a_category(spark):
     assert got == {(1, "a"): (4.0, 9, "series"), (1, "b"): (4.5, 1, "category"), (1, "c"): (5.0, 1, "table"), (2, "c"): (7.0, 1, "table")}
 
 
-def test_wilcoxon_direction(spark):
-    df = spark.createDataFrame([(1, float(i)) for i in range(1, 21)] + [(2, 0.0)], "g int, diff double")
-    w = stats.wilcoxon(df, ["g"]).withColumns({"p": normal_upper("z"), "exact": signed_rank_upper("w_pos", F.col("n").cast("double"))})
-    r = {x.g: x for x in w.collect()}
-    assert r[1].p < 0.01 and r[1].w_pos == 210 and r[1].r_rank_biserial == -1 and r[1].exact == pytest.approx(2.0**-20)
-    assert r[2].n == 0 and r[2].z is None
-
-
-def test_page_and_friedman(spark):
-    rng = random.Random(3)
-    up = [("up", *(rng.gauss(m, 1) for m in (0, 1, 2))) for _ in range(40)]
-    flat = [("flat", *(rng.gauss(0, 1) for _ in range(3))) for _ in range(40)]
-    df = spark.createDataFrame(up + flat, "g string, a double, b double, c double")
-    p = {r.g: r.p for r in stats.page(df, ["a", "b", "c"], ["g"]).withColumn("p", normal_upper("page_z")).collect()}
-    assert p["up"] < 0.01 < 0.05 < p["flat"]
-    assert {r.g: r.chi2 for r in stats.friedman(df, ["a", "b", "c"], ["g"]).collect()}["up"] > 9
+def places(values):
+    """Average ranks, counted pair by pair."""
+    return [sum(u < v for u in values) + (sum(u == v for u in values) + 1) / 2 for v in values]
+
+
+def test_wilcoxon_against_the_loop(spark):
+    rng = random.Random(12)
+    groups = {g: [rng.choice([None, 0.0, *(k / 4 for k in range(-6, 9))]) for _ in range(n)] for g, n in ((1, 40), (2, 9), (3, 4), (4, 1))} | {5: [0.0] * 6}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, diff double")
+    got = {r.g: r for r in stats.wilcoxon(df, ["g"], least=5).withColumn("p", normal_upper("z")).collect()}
+    for g, vs in groups.items():
+        pairs = [v for v in vs if v is not None]
+        d = [v for v in pairs if v]
+        if not pairs:
+            assert g not in got
+            continue
+        assert (got[g].n_pairs, got[g].n) == (len(pairs), len(d))
+        if len(pairs) < 5 or not d:
+            assert got[g].z is None and got[g].r_rank_biserial is None
+            continue
+        r = places([abs(v) for v in d])
+        up, down = (sum(x for x, v in zip(r, d, strict=True) if (v > 0) == side) for side in (True, False))
+        n = len(d)
+        ties = sum(t**3 - t for t in collections.Counter(map(abs, d)).values())
+        z = (up - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+        assert (got[g].w_pos, got[g].w_neg, got[g].z, got[g].r_rank_biserial) == pytest.approx((up, down, z, (down - up) / (down + up)))
+        assert got[g].p == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)))
+
+
+def test_exact_tail_by_enumeration(spark):
+    for n in (1, 4, 9):
+        sums = [sum(k + 1 for k in range(n) if m >> k & 1) for m in range(1 << n)]
+        df = spark.createDataFrame([(float(w), float(n)) for w in range(n * (n + 1) // 2 + 1)], "w double, n double")
+        for r in df.withColumn("p", signed_rank_upper("w", "n")).collect():
+            assert r.p == pytest.approx(sum(x >= r.w for x in sums) / len(sums))
+
+
+def test_page_and_friedman_against_the_loop(spark):
+    rng = random.Random(17)
+    rows_ = [(rng.choice("pqr"), *(rng.choice([None, *range(9)]) if rng.random() < 0.2 else rng.randint(0, 5) + j for j in range(4))) for _ in range(70)]
+    df = spark.createDataFrame([(g, *(None if v is None else float(v) for v in vs)) for g, *vs in rows_], "g string, a double, b double, c double, d double")
+    names = list("abcd")
+    page = {r.g: r for r in stats.page(df, names, ["g"]).collect()}
+    chi = {r.g: r.chi2 for r in stats.friedman(df, names, ["g"]).collect()}
+    for g in "pqr":
+        full = [vs for h, *vs in rows_ if h == g and None not in vs]
+        ranks = [places(vs) for vs in full]
+        n, k = len(full), 4
+        totals = [sum(r[j] for r in ranks) for j in range(k)]
+        level = sum((j + 1) * t for j, t in enumerate(totals))
+        assert page[g].page_l == pytest.approx(level) and page[g].n == n
+        assert page[g].page_z == pytest.approx((level - n * k * (k + 1) ** 2 / 4) / math.sqrt(n * k**2 * (k + 1) * (k**2 - 1) / 144))
+        ties = sum(t**3 - t for vs in full for t in collections.Counter(vs).values())
+        want = (12 / (n * k * (k + 1)) * sum(t * t for t in totals) - 3 * n * (k + 1)) / (1 - ties / (n * (k**3 - k)))
+        assert chi[g] == pytest.approx(want)
 
 
 def test_bootstrap_needs_two_clusters(spark):
