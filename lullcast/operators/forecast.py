@@ -2,12 +2,16 @@
 
 ``rate`` at day t uses the days up to t (``inclusive``) or before t.  Exponential
 smoothing is a prefix sum: with k the number of the observation from 0,
-f_k = (1-a)^k * sum_{j<=k} w_j x_j (1-a)^-j, w_0 = 1 and w_j = a after that.  The
-powers stay finite for about 6,500 observations at a = 0.1.
+f_k = (1-a)^k * sum_{j<=k} w_j x_j (1-a)^-j, w_0 = 1 and w_j = a after that.  The sum
+starts anew with every block of observations over which the powers shrink to 1e-100,
+and the level at the end of the block before is carried over, so a series may be of any
+length (what lies two blocks back weighs less than 1e-100).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,13 +24,25 @@ def _so_far() -> W:
     return W.partitionBy("sku_id").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
 
 
-def smoothed(value: Column, number: Column, alpha: float, twice: bool = True) -> Column:
-    """Smoothing over the rows where ``value`` isn't null; ``number`` counts them from 0.  ``twice`` applies the last observation once more."""
+def smoothed(df: DataFrame, value: Column, number: Column, alpha: float, name: str, twice: bool = True) -> DataFrame:
+    """Adds the smoothing over the rows where ``value`` isn't null; ``number`` counts them from 0.  ``twice`` applies the last observation once more."""
     keep = 1 - alpha
-    weight = F.when(number == 0, 1.0).otherwise(alpha)
-    total = F.sum(F.when(value.isNotNull(), weight * value * F.pow(F.lit(keep), -number))).over(_so_far())
-    level = F.pow(F.lit(keep), number) * total
-    return alpha * F.last(value, ignorenulls=True).over(_so_far()) + keep * level if twice else level
+    df = df.withColumn("_v", value)
+    recent = F.last("_v", ignorenulls=True).over(_so_far())
+    if keep <= 0:
+        return df.withColumn(name, recent).drop("_v")
+    size = max(1, int(100 / -math.log10(keep)))
+    df = df.withColumns({"_n": number.cast("long"), "_b": F.floor(number / size)}).withColumn("_r", F.col("_n") - F.col("_b") * size)
+    power = lambda k: F.pow(F.lit(keep), k)
+    weight = F.when(F.col("_n") == 0, 1.0).otherwise(alpha)
+    block = W.partitionBy("sku_id", "_b").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumn("_l", power(F.col("_r")) * F.sum(weight * F.col("_v") * power(-F.col("_r"))).over(block))
+    days = W.partitionBy("sku_id").orderBy("_b", "day")  # the order of days: blocks follow each other
+    df = df.withColumn("_e", F.when(F.lead("_b").over(days) > F.col("_b"), F.col("_l")))
+    carried = F.last("_e", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn("_l", F.col("_l") + power(F.col("_r") + 1) * F.coalesce(carried, F.lit(0.0)))
+    level = alpha * F.last("_v", ignorenulls=True).over(days.rowsBetween(W.unboundedPreceding, 0)) + keep * F.col("_l") if twice else F.col("_l")
+    return df.withColumn(name, level).drop("_v", "_n", "_b", "_r", "_l", "_e")
 
 
 def debias(alpha: float) -> float:
@@ -40,23 +56,24 @@ def croston(panel: DataFrame, alpha: float = ALPHA, factor: float | None = None,
     hit = F.when(d > 0, d)
     df = panel.withColumns({"_k": F.sum((d > 0).cast("int")).over(_so_far()) - 1, "_before": F.max(F.when(d > 0, F.col("day"))).over(_so_far().rowsBetween(W.unboundedPreceding, -1))})
     gap = F.when((d > 0) & F.col("_before").isNotNull(), (F.col("day") - F.col("_before")).cast("double"))
-    df = df.withColumns({"_z": smoothed(hit, F.greatest(F.col("_k"), F.lit(0)), alpha), "_p": smoothed(gap, F.greatest(F.col("_k") - 1, F.lit(0)), alpha)})
+    df = smoothed(df, hit, F.greatest(F.col("_k"), F.lit(0)), alpha, "_z")
+    df = smoothed(df, gap, F.greatest(F.col("_k") - 1, F.lit(0)), alpha, "_p")
     rate = F.when(F.col("_k") < 0, 0.0).when(F.col("_k") == 0, factor * F.col("_z")).otherwise(factor * F.col("_z") / F.col("_p"))
     return df.withColumn(name, rate).drop("_k", "_before", "_z", "_p")
 
 
 def ses(panel: DataFrame, alpha: float = ALPHA, name: str = "rate") -> DataFrame:
     k = F.row_number().over(W.partitionBy("sku_id").orderBy("day")) - 1
-    return panel.withColumn("_k", k).withColumn(name, smoothed(F.col("demand"), F.col("_k"), alpha)).drop("_k")
+    return smoothed(panel.withColumn("_k", k), F.col("demand"), F.col("_k"), alpha, name).drop("_k")
 
 
 def tsb(panel: DataFrame, alpha_d: float = 0.2, alpha_p: float = 0.2, name: str = "rate") -> DataFrame:
     """Teunter-Syntetos-Babai: smoothed demand probability (every day) times smoothed size (demand days)."""
     d = F.col("demand")
-    df = panel.withColumns({"_k": F.row_number().over(W.partitionBy("sku_id").orderBy("day")) - 1, "_n": F.sum((d > 0).cast("int")).over(_so_far()) - 1})
-    prob = smoothed((d > 0).cast("double"), F.col("_k"), alpha_p, twice=False)
-    size = smoothed(F.when(d > 0, d), F.greatest(F.col("_n"), F.lit(0)), alpha_d, twice=False)
-    return df.withColumns({"_pr": prob, "_sz": size}).withColumn(name, F.when(F.col("_n") < 0, 0.0).otherwise(F.col("_pr") * F.col("_sz"))).drop("_k", "_n", "_pr", "_sz")
+    df = panel.withColumns({"_k": F.row_number().over(W.partitionBy("sku_id").orderBy("day")) - 1, "_hits": F.sum((d > 0).cast("int")).over(_so_far()) - 1})
+    df = smoothed(df, (d > 0).cast("double"), F.col("_k"), alpha_p, "_pr", twice=False)
+    df = smoothed(df, F.when(d > 0, d), F.greatest(F.col("_hits"), F.lit(0)), alpha_d, "_sz", twice=False)
+    return df.withColumn(name, F.when(F.col("_hits") < 0, 0.0).otherwise(F.col("_pr") * F.col("_sz"))).drop("_k", "_hits", "_pr", "_sz")
 
 
 def trailing_mean(panel: DataFrame, width: int, name: str = "rate") -> DataFrame:
@@ -70,13 +87,23 @@ def before(df: DataFrame, name: str = "rate") -> DataFrame:
     return df.withColumn(name, F.coalesce(F.lag(name).over(W.partitionBy("sku_id").orderBy("day")), F.lit(0.0)))
 
 
-def tuned_ses_alpha(panel: DataFrame, train_end: int, val_end: int, grid=ALPHA_GRID) -> DataFrame:
-    """For each series the grid value with the least mean squared one-step error on validation days; of equal ones the smallest."""
+def tuned_ses_alpha(panel: DataFrame, train_end: int, val_end: int, grid=ALPHA_GRID, error: str = "one_step") -> DataFrame:
+    """For each series the grid value with the least mean squared error on validation days; of equal ones the smallest.
+
+    ``one_step``: a day's demand against the forecast from the days before it.  ``in_sample``
+    holds that forecast against the last of the days that it knows, as the surveyed study does.
+    """
+    if error not in ("one_step", "in_sample"):
+        raise ValueError(error)
     df = panel
     for i, a in enumerate(grid):
-        df = before(ses(df, a, f"_f{i}"), f"_f{i}")
-    errors = df.filter(F.col("day").between(train_end + 1, val_end)).groupBy("sku_id").agg(*(F.avg(F.pow(F.round(F.col("demand") - F.col(f"_f{i}"), 6), F.lit(2.0))).alias(f"_m{i}") for i in range(len(grid))))
-    options = F.array(*(F.struct(F.round(f"_m{i}", 4).alias("mse"), F.lit(a).alias("alpha")) for i, a in enumerate(grid)))
+        df = ses(df, a, f"_f{i}")
+    w = W.partitionBy("sku_id").orderBy("day")
+    seen = F.col("demand") if error == "one_step" else F.lag("demand").over(w)
+    first = F.lit(0.0) if error == "one_step" else F.lit(None).cast("double")  # no history: a forecast of 0, or no error
+    df = df.withColumns({f"_e{i}": F.round(seen - F.coalesce(F.lag(f"_f{i}").over(w), first), 6) for i in range(len(grid))})
+    errors = df.filter(F.col("day").between(train_end + 1, val_end)).groupBy("sku_id").agg(*(F.avg(F.col(f"_e{i}") * F.col(f"_e{i}")).alias(f"_m{i}") for i in range(len(grid))))
+    options = F.array(*(F.struct(F.col(f"_m{i}").alias("mse"), F.lit(a).alias("alpha")) for i, a in enumerate(grid)))
     return errors.withColumn("best", F.array_min(options)).select("sku_id", F.col("best.alpha").alias("alpha"), F.col("best.mse").alias("mse"))
 
 

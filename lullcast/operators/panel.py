@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ORIGIN = "2024-01-01"
@@ -15,35 +16,39 @@ def day_number(ts: Column, origin: str) -> Column:
     return (F.datediff(ts.cast("date"), F.lit(origin).cast("date")) + 1).cast("int")
 
 
-def dense_panel(rows: DataFrame, keys: list[str], active: str = "span") -> DataFrame:
-    """``keys, day, demand, sell_price`` on every day from 1 to the last of all rows.
+def dense_panel(rows: DataFrame, keys: list[str], active: str = "span", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, day, demand, sell_price`` on every day from 1 to the last of all rows, and the series' ``carry`` columns.
 
     ``rows`` has ``keys``, ``day`` and ``demand``.  ``sell_price`` is 1.0 on active days,
     from a series' first to its last row (``span``) or on all days (``full``), else null.
-    One exchange on the keys; a series is one row with a day map until its days are laid out.
+    Each row is laid out over the days up to the series' next one, so the work is linear in
+    the days made; the rows stay dealt by ``keys``, which later windows and groups reuse.
     """
-    daily = rows.groupBy(*keys, "day").agg(F.sum("demand").alias("demand"))
+    daily = rows.groupBy(*keys, "day").agg(F.sum("demand").alias("demand"), *(F.first(c).alias(c) for c in carry))
     last = F.broadcast(rows.agg(F.max("day").alias("last_day")))  # one row
-    series = daily.groupBy(*keys).agg(
-        F.min("day").alias("lo"),
-        F.max("day").alias("hi"),
-        F.map_from_entries(F.collect_list(F.struct("day", "demand"))).alias("by_day"),
-    )
-    out = series.crossJoin(last).select(*keys, "lo", "hi", "by_day", F.explode(F.sequence(F.lit(1), "last_day")).alias("day"))
-    on = F.lit(True) if active == "full" else F.col("day").between(F.col("lo"), F.col("hi"))
-    return out.select(*keys, F.col("day").cast("int").alias("day"), F.coalesce(F.element_at("by_day", F.col("day")), F.lit(0.0)).alias("demand"), F.when(on, F.lit(1.0)).alias("sell_price"))
+    series = W.partitionBy(*keys)
+    w = series.orderBy("day")
+    found = daily.withColumns({"_before": F.lag("day").over(w), "_next": F.lead("day").over(w), "_lo": F.min("day").over(series), "_hi": F.max("day").over(series)}).crossJoin(last)
+    begin = F.when(F.col("_before").isNull(), F.least(F.lit(1), F.col("day"))).otherwise(F.col("day"))
+    out = found.withColumn("_at", F.explode(F.sequence(begin, F.coalesce(F.col("_next") - 1, F.col("last_day"))))).filter("_at >= 1")
+    on = F.lit(True) if active == "full" else F.col("_at").between(F.col("_lo"), F.col("_hi"))
+    return out.select(*keys, *carry, F.col("_at").cast("int").alias("day"), F.when(F.col("_at") == F.col("day"), F.col("demand")).otherwise(0.0).alias("demand"), F.when(on, F.lit(1.0)).alias("sell_price"))
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """What the event panel is made of: ``sku_id, user_id, event_type, day, demand``, the demand in whole cents."""
+    return events.filter("ts is not null and user_id is not null and event_type is not null").select(
+        F.concat_ws(SEPARATOR, F.col("user_id").cast("string"), "event_type").alias(KEY), "user_id", "event_type",
+        day_number(F.col("ts"), ORIGIN).alias("day"), F.round(F.col("value") * 100).cast("bigint").cast("double").alias("demand"),
+    )
 
 
 def event_panel(events: DataFrame, active: str = "span") -> DataFrame:
     """Series are (user, event type); demand is the day's value in cents, a whole number."""
-    rows = events.filter("ts is not null and user_id is not null and event_type is not null").select(
-        "user_id", "event_type", day_number(F.col("ts"), ORIGIN).alias("day"), F.round(F.col("value") * 100).cast("bigint").cast("double").alias("demand")
-    )
-    p = dense_panel(rows, ["user_id", "event_type"], active)
-    item = F.col("user_id").cast("string")
+    p = dense_panel(event_rows(events), [KEY], active, ("user_id", "event_type"))
     return p.select(
-        F.concat_ws(SEPARATOR, item, "event_type").alias(KEY),
-        item.alias("item_id"),
+        KEY,
+        F.col("user_id").cast("string").alias("item_id"),
         F.col("event_type").alias("store_id"),
         "day",
         F.date_add(F.lit(ORIGIN).cast("date"), F.col("day") - 1).alias("date"),
@@ -66,7 +71,7 @@ def lineitem_panel(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, na
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("p_brand").alias("item_id"), F.col("r_name").alias("store_id"), day_number(F.col("l_shipdate"), origin).alias("day"), F.col("l_quantity").alias("demand"))
     )
-    return dense_panel(rows, ["item_id", "store_id"]).select(F.concat_ws(SEPARATOR, "item_id", "store_id").alias(KEY), "*")
+    return dense_panel(rows.withColumn(KEY, F.concat_ws(SEPARATOR, "item_id", "store_id")), [KEY], carry=("item_id", "store_id"))
 
 
 def active(panel: DataFrame) -> DataFrame:

@@ -269,21 +269,32 @@ def tsb_forecast(spark, sf):
 
 _TUNE = ", ".join(f"{_ses_sql('xs', a)} as f{i}" for i, a in enumerate(forecast.ALPHA_GRID))
 _TUNE_LAG = ", ".join(f"coalesce(lag(f{i}) over (partition by sku_id order by day), 0.0) as g{i}" for i in range(5))
-_TUNE_MSE = ", ".join(f"{{'mse': round(avg(power(round(demand - g{i}, 6), 2)), 4), 'alpha': cast({a} as double)}}" for i, a in enumerate(forecast.ALPHA_GRID))
+_TUNE_MSE = ", ".join(f"{{'mse': avg(round(demand - g{i}, 6) * round(demand - g{i}, 6)), 'alpha': cast({a} as double)}}" for i, a in enumerate(forecast.ALPHA_GRID))
 
 
 @query("ses_alpha_tuning", with_(EV, LISTS, f"f as (select sku_id, day, demand, {_TUNE} from lists)", f"g as (select *, {_TUNE_LAG} from f)") + f"""
-select sku_id, b.alpha as alpha, b.mse as mse from (select sku_id, list_min([{_TUNE_MSE}]) as b from g where day between 17 and 23 group by 1)""")
+select sku_id, b.alpha as alpha, round(b.mse, 4) as mse from (select sku_id, list_min([{_TUNE_MSE}]) as b from g where day between 17 and 23 group by 1)""")
 def ses_alpha_tuning(spark, sf):
     return tidy(forecast.tuned_ses_alpha(events(spark, sf), 16, 23), 4)
 
 
-@query("unpivot_wide_panel", with_(EV) + "select sku_id, day, demand from panel where day <= 5")
+_TUNE_LAG_SEEN = ", ".join(f"lag(f{i}) over (partition by sku_id order by day) as g{i}" for i in range(5))
+
+
+@query("ses_alpha_tuning_in_sample", with_(EV, LISTS, f"f as (select sku_id, day, demand, {_TUNE} from lists)", f"g as (select sku_id, day, lag(demand) over (partition by sku_id order by day) as demand, {_TUNE_LAG_SEEN} from f)") + f"""
+select sku_id, b.alpha as alpha, round(b.mse, 4) as mse from (select sku_id, list_min([{_TUNE_MSE}]) as b from g where day between 17 and 23 group by 1)""")
+def ses_alpha_tuning_in_sample(spark, sf):
+    return tidy(forecast.tuned_ses_alpha(events(spark, sf), 16, 23, error="in_sample"), 4)
+
+
+@query("unpivot_wide_panel", with_(EV) + "select sku_id, day, demand from panel")
 def unpivot_wide_panel(spark, sf):
+    """Every day of the panel as a column, and back; the days are counted in the events, not in the panel."""
     from ..sources.retail import unpivot_days
 
-    wide = events(spark, sf).filter("day <= 5").groupBy("sku_id").pivot("day", [1, 2, 3, 4, 5]).agg(F.first("demand"))
-    return tidy(unpivot_days(wide.toDF("sku_id", *(f"d_{i}" for i in range(1, 6))), ["sku_id"]))
+    days = range(1, (panel.event_rows(table(spark, sf, "events")).agg(F.max("day")).first()[0] or 0) + 1)
+    wide = events(spark, sf).groupBy("sku_id").pivot("day", list(days)).agg(F.first("demand"))
+    return tidy(unpivot_days(wide.toDF("sku_id", *(f"d_{i}" for i in days)), ["sku_id"]))
 
 
 @query("state_snap_pick", with_(EV) + """select sku_id, day, cast(case state_id when 'STATE_0' then day % 2 when 'STATE_1' then day % 3 end as bigint) as snap from panel""")

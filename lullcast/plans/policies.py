@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_upper_2, normal_upper, signed_rank_upper
 from ..operators import classify, features, forecast, origins, policy, sampling, stats
-from .base import EV, LUMPY, STATS, events, query, tidy, with_, with_recursive
+from ..operators.panel import event_rows
+from .base import EV, LUMPY, STATS, events, query, table, tidy, with_, with_recursive
 from .panels import LISTS, ORIGINS, croston_sql
 
 MODELS = ("ma7", "croston_sba")
@@ -22,7 +23,8 @@ def _inputs(spark, sf):
     p = events(spark, sf)
     lumpy = classify.classified(p).filter("lumpy").select("sku_id")
     p = p.join(lumpy, "sku_id", "left_semi").withColumn("actual", features.ahead(F.col("demand"), HORIZON))
-    return origins.split_days(forecast.forecasts(p, MODELS, HORIZON), origins.rolling_origins(events(spark, sf)))
+    windows = origins.rolling_origins(event_rows(table(spark, sf, "events")))  # the panel's last day without the panel
+    return origins.split_days(forecast.forecasts(p, MODELS, HORIZON), windows)
 
 
 def _errors(spark, sf):
@@ -30,11 +32,15 @@ def _errors(spark, sf):
 
 
 def _levels(spark, sf):
+    """Levels on test days for each quantile of a series' own validation errors; both come from one pass over the forecasts."""
     rows = _inputs(spark, sf).withColumn("pred_sum", F.round("pred_sum", 6))
-    err = rows.filter("split = 'val'").withColumn("err", F.col("actual") - F.col("pred_sum"))
-    ss = policy.quantiles(err.filter("err is not null"), ["model", "origin", "sku_id"])
-    test = rows.filter("split = 'test'").select("sku_id", "model", "origin", "day", "demand", "pred_sum")
-    return test.join(ss, ["sku_id", "model", "origin"]).select("sku_id", "model", "origin", "tau", "day", "demand", F.greatest(F.col("pred_sum") + F.col("ss"), F.lit(0.0)).alias("level"))
+    err = F.when(F.col("split") == "val", F.col("actual") - F.col("pred_sum"))
+    taus = F.array(*(F.lit(t) for t in policy.TAUS))
+    ss = F.percentile(err, taus).over(W.partitionBy("sku_id", "model", "origin"))
+    test = rows.withColumn("_q", ss).filter("split = 'test' and _q is not null")
+    each = F.explode(F.arrays_zip(taus.alias("tau"), F.col("_q").alias("ss")))
+    test = test.withColumn("_x", each).select("sku_id", "model", "origin", "day", "demand", "pred_sum", F.col("_x").getField("tau").alias("tau"), F.col("_x").getField("ss").alias("ss"))
+    return test.select("sku_id", "model", "origin", "tau", "day", "demand", F.greatest(F.col("pred_sum") + F.col("ss"), F.lit(0.0)).alias("level"))
 
 
 _PRED = f"""
@@ -116,19 +122,16 @@ pooled as (select o.model, o.origin, sku_id, cast(unnest({_TAUS}) as double) as
 
 
 def _pooled(spark, sf):
-    # the second origin's last validation days lack their look-ahead only at the panel's end; a bound of 7 keeps both sources in use
-    return policy.pooled_safety_stock(_errors(spark, sf).filter("origin = 1 or day > 18"), min_obs=7)
+    # the second origin's last validation days lack their look-ahead at the panel's end: a bound of 7 leaves both sources in use
+    return policy.pooled_safety_stock(_errors(spark, sf), min_obs=7)
 
 
-_BASE_POOL = (EV, STATS, LUMPY, ORIGINS, LISTS, _PRED.replace("actual is not null)", "actual is not null and (origin = 1 or day > 18))"))
-
-
-@query("safety_stock_pooled", with_(*_BASE_POOL, _POOL) + "select model, origin, sku_id, tau, round(ss, 4) as ss, n, source from pooled")
+@query("safety_stock_pooled", with_(*_BASE, _POOL) + "select model, origin, sku_id, tau, round(ss, 4) as ss, n, source from pooled")
 def safety_stock_pooled(spark, sf):
     return tidy(_pooled(spark, sf), 4)
 
 
-@query("safety_stock_diagnostics", with_(*_BASE_POOL, _POOL) + "select model, origin, tau, count(*) filter (where source = 'series') as n_own, count(*) filter (where source <> 'series') as n_pooled, round(quantile_cont(ss, 0.5), 4) as ss_median, round(min(ss), 4) as ss_min, round(max(ss), 4) as ss_max, count(*) filter (where ss < 0) as ss_negative from pooled group by all")
+@query("safety_stock_diagnostics", with_(*_BASE, _POOL) + "select model, origin, tau, count(*) filter (where source = 'series') as n_own, count(*) filter (where source <> 'series') as n_pooled, round(quantile_cont(ss, 0.5), 4) as ss_median, round(min(ss), 4) as ss_min, round(max(ss), 4) as ss_max, count(*) filter (where ss < 0) as ss_negative from pooled group by all")
 def safety_stock_diagnostics(spark, sf):
     df = _pooled(spark, sf).groupBy("model", "origin", "tau").agg(F.count_if(F.col("source") == "series").alias("n_own"), F.count_if(F.col("source") != "series").alias("n_pooled"), F.percentile("ss", F.lit(0.5)).alias("ss_median"), F.min("ss").alias("ss_min"), F.max("ss").alias("ss_max"), F.count_if(F.col("ss") < 0).alias("ss_negative"))
     return tidy(df, 4)
@@ -372,14 +375,12 @@ def h2_pvalues(spark, sf):
     return tidy(stats.holm(df, "p_page", name="p_page_holm").join(fr, "origin"))
 
 
-@query("holm_adjust", """with f as (select p_partkey as i, p_partkey % 2 as family, (p_partkey * 7919 % 1000) / 1000.0 as p from part where p_partkey <= 40),
+@query("holm_adjust", """with f as (select p_partkey as i, p_partkey % 2 as family, (p_partkey * 7919 % 1000) / 1000.0 as p from part),
 r as (select *, row_number() over (partition by family order by p, i) as rn, count(*) over (partition by family) as m from f)
 select cast(i as bigint) as i, cast(family as bigint) as family, cast(p as double) as p, round(cast(least(1.0, max((m - rn + 1) * p) over (partition by family order by rn rows unbounded preceding)) as double), 6) as p_holm from r""")
 def holm_adjust(spark, sf):
-    from .base import table
-
     i = F.col("p_partkey")
-    df = table(spark, sf, "part").filter(i <= 40).select(i.alias("i"), (i % 2).alias("family"), (i * 7919 % 1000 / 1000.0).alias("p"))
+    df = table(spark, sf, "part").select(i.alias("i"), (i % 2).alias("family"), (i * 7919 % 1000 / 1000.0).alias("p"))
     return tidy(stats.holm(df, "p", ("family",)))
 
 

@@ -83,6 +83,55 @@ def test_ses_and_croston_against_the_loop(spark):
         assert math.isclose(got[day], want, rel_tol=1e-9, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [0.05, 0.5, 0.9, 1.0])
+def test_smoothing_of_long_series(spark, alpha):
+    rng = random.Random(9)
+    d = [float(rng.choice([0, 1, 4, 9])) for _ in range(5000)]
+    got = {r.day: (r.rate, r.demand) for r in forecast.ses(demand_panel(spark, {"a": d}), alpha).collect()}
+    level = d[0]
+    for day, x in enumerate(d, 1):
+        if day > 1:
+            level = alpha * x + (1 - alpha) * level
+        assert math.isclose(got[day][0], alpha * x + (1 - alpha) * level, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_both_errors_of_the_tuned_alpha(spark):
+    rng = random.Random(14)
+    d = [float(rng.choice([0, 0, 3, 8])) for _ in range(60)]
+
+    def forecast_from(xs, a):
+        level = xs[0]
+        for x in xs[1:]:
+            level = a * x + (1 - a) * level
+        return a * xs[-1] + (1 - a) * level
+
+    p = demand_panel(spark, {"a": d, "late": d[:1]})
+    for error, seen in (("one_step", lambda t: d[t]), ("in_sample", lambda t: d[t - 1])):
+        loss = {a: sum((seen(t) - forecast_from(d[:t], a)) ** 2 for t in range(40, 50)) / 10 for a in forecast.ALPHA_GRID}
+        best = min(loss, key=lambda a: (loss[a], a))
+        got = forecast.tuned_ses_alpha(p, 40, 50, error=error).collect()
+        assert [(r.sku_id, r.alpha) for r in got] == [("a", best)] and got[0].mse == pytest.approx(loss[best])
+    with pytest.raises(ValueError):
+        forecast.tuned_ses_alpha(p, 40, 50, error="other")
+
+
+def test_dense_panel_against_the_loop(spark):
+    rng = random.Random(5)
+    made = [(k, rng.randint(1, 25), float(rng.randint(1, 5))) for k in "abc" for _ in range(6)] + [("d", 25, 1.0)]
+    total = collections.Counter()
+    for k, day, v in made:
+        total[k, day] += v
+    df = spark.createDataFrame(made, "k string, day int, demand double")
+    last = max(day for _, day, _ in made)
+    for active in ("span", "full"):
+        want = []
+        for k in "abcd":
+            own = [day for q, day in total if q == k]
+            want += [(k, day, float(total[k, day]), 1.0 if active == "full" or min(own) <= day <= max(own) else None) for day in range(1, last + 1)]
+        assert rows(panel.dense_panel(df, ["k"], active), "k", "day") == want
+    assert panel.dense_panel(df.limit(0), ["k"]).count() == 0
+
+
 def test_debias():
     assert forecast.debias(0.1) == 0.95 and forecast.debias(0.2) == 0.9
 
