@@ -74,4 +74,27 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Operator 6: every string of 200 bytes, from the texts' hexadecimal bytes.
+REPEATS_SQL = """
+with d as (select row_number() over () as k, doc_id, hex(coalesce(text, '')) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
+c as (select k, n, j, substring(h, 1024 * j + 1, 1422) as h from (select k, n, h, unnest(range(0, (n + 511) // 512)) as j from d)),
+p as (select k, 512 * j + o as i, case when 512 * j + o <= n - 200 then md5_number(substring(h, 2 * o + 1, 400)) end as w, substring(h, 2 * o + 1, 2) as b from (select *, unnest(range(0, least(512, n - 512 * j))) as o from c)),
+r as (select k, i, b, max(case when again then i end) over (partition by k order by i) > i - 200 as gone from (select *, w is not null and count(*) over (partition by w) > 1 as again from p)),
+e as (select *, coalesce(gone, false) as g, coalesce(gone, false) and not coalesce(lag(gone) over (partition by k order by i), false) as first from r),
+t as (select k, count(*) filter (where g) as n_removed, count(*) filter (where first) as n_spans, coalesce(string_agg(b, '' order by i) filter (where not g), '') as kept from e group by k)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join t using (k)
+"""
+#: Operator 9: all pairs of documents that share a shingle.
+NEAR_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as x from documents),
+s as (select distinct doc_id, md5_number(g) as g from (select doc_id, unnest(case when len(x) = 0 then [] when len(x) < 3 then [array_to_string(x, ' ')] else list_transform(range(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2]) end) as g from w)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+l as (select a, b from e union select b, a from e),
+r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
+m as (select a as doc_id, min(b) as least from r group by 1)
+select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(m.least, doc_id)) as component_id, doc_id <= coalesce(m.least, doc_id) as kept from w left join n using (doc_id) left join m using (doc_id)
+"""
+#: What SQL can say about whole tables; models, codecs and tokenisers have none.
+ORACLE_SQL: dict[str, str] = {"op6_repeat_removal": REPEATS_SQL, "op9_minhash_near_dedup": NEAR_SQL}
