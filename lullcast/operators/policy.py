@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
+
 TAUS = (0.50, 0.70, 0.85, 0.95, 0.99)
 TARGETS = (0.90, 0.95, 0.98)
 SCENARIOS = ((5.0, 1.0), (10.0, 1.0), (20.0, 1.0))
@@ -30,8 +32,9 @@ def pooled_safety_stock(errors: DataFrame, taus=TAUS, min_obs: int = 30) -> Data
     errors = errors.filter("err is not null")
     own = errors.groupBy(*base, "sku_id").agg(F.count("*").alias("n"), F.min("cat_id").alias("cat_id"))
     mine = quantiles(errors, [*base, "sku_id"], taus).withColumnRenamed("ss", "own")
-    cat = quantiles(errors, [*base, "cat_id"], taus).withColumnRenamed("ss", "cat")
-    whole = quantiles(errors, base, taus).withColumnRenamed("ss", "whole")
+    # categories and whole tables are large: their quantiles are found by counting
+    spread = lambda keys, name: exact_quantiles(errors, "err", keys, tuple(taus)).select(*keys, F.explode(F.arrays_zip(_taus(taus).alias("tau"), F.col("q"))).alias("x")).select(*keys, F.col("x.tau").alias("tau"), F.col("x.q").alias(name))
+    cat, whole = spread([*base, "cat_id"], "cat"), spread(base, "whole")
     out = own.join(mine, [*base, "sku_id"]).join(cat, [*base, "cat_id", "tau"], "left").join(whole, [*base, "tau"])
     enough = F.col("n") >= min_obs
     source = F.when(enough, "series").when(F.col("cat").isNotNull(), "category").otherwise("table")

@@ -9,25 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import average_rank, value_bucket, value_cuts
+from .ranks import average_rank, counted_below, global_row_number, quantiles_of, size, value_counts
 
 
 def wilcoxon(diffs: DataFrame, by: list[str], value: str = "diff", least: int = 1) -> DataFrame:
-    """``by, n, w_pos, w_neg, z, r_rank_biserial, median_diff, mean_diff`` of paired differences.
+    """``by, n_pairs, n, n_neg, w_pos, w_neg, z, r_rank_biserial, median_diff, mean_diff`` of paired differences.
 
     Nulls and zeros are left out of the ranks; z is tie-corrected without continuity
     correction; groups of fewer than ``least`` pairs, zeros included, have null results.
     """
-    rows = diffs.filter(F.col(value).isNotNull())
-    centre = rows.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.percentile(value, F.lit(0.5)).alias("median_diff"), F.avg(value).alias("mean_diff"))
-    ranked = rows.filter(F.col(value) != 0).select(*by, F.col(value).alias("_d"), F.abs(value).alias("_a"))
-    ranked = ranked.withColumns({"_r": average_rank(F.col("_a"), by), "_t": F.count("*").over(W.partitionBy(*by, "_a"))})
-    tests = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_pos"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_neg"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
+    counts = value_counts(diffs.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_d")), "_d", by)
+    placed = counted_below(counts, "_d", by)
+    centre = placed.groupBy(*by).agg(F.max("_m").alias("n_pairs"), (F.sum(F.col("_d") * size()) / F.sum(size())).alias("mean_diff")).join(quantiles_of(placed, "_d", by, (0.5,)), by).withColumn("median_diff", F.col("q")[0])
+    # zeros stay as values of size 0: a filter would make Spark count everything twice
+    sides = counts.groupBy(*by, F.abs("_d").alias("_a")).agg(F.array(F.sum(F.when(F.col("_d") > 0, size()).otherwise(0)), F.sum(F.when(F.col("_d") < 0, size()).otherwise(0))).alias("_n"))
+    r, t, up, down = average_rank(), size(), F.col("_n")[0], F.col("_n")[1]
+    tests = counted_below(sides, "_a", by).groupBy(*by).agg(F.sum(t).alias("n"), F.sum(down).alias("n_neg"), F.sum(up * r).alias("w_pos"), F.sum(down * r).alias("w_neg"), F.sum(t * (t * t - 1)).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0
-    enough = F.col("n_pairs") >= least
+    enough = (F.col("n_pairs") >= least) & (n > 0)
     out = centre.join(tests, by, "left")
-    return out.select(*by, "n_pairs", F.coalesce("n", F.lit(0)).alias("n"), F.when(enough, F.col("w_pos")).alias("w_pos"), F.when(enough, F.col("w_neg")).alias("w_neg"), F.when(enough, (F.col("w_pos") - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"), F.when(enough, (F.col("w_neg") - F.col("w_pos")) / (F.col("w_neg") + F.col("w_pos"))).alias("r_rank_biserial"), "median_diff", "mean_diff")
+    return out.select(*by, "n_pairs", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_neg", F.lit(0)).alias("n_neg"), F.when(enough, F.col("w_pos")).alias("w_pos"), F.when(enough, F.col("w_neg")).alias("w_neg"), F.when(enough, (F.col("w_pos") - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"), F.when(enough, (F.col("w_neg") - F.col("w_pos")) / (F.col("w_neg") + F.col("w_pos"))).alias("r_rank_biserial"), "median_diff", "mean_diff")
 
 
 def holm(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "p_holm") -> DataFrame:
@@ -37,9 +39,7 @@ def holm(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "p_h
     their counts, in value buckets: no task holds a family.
     """
     keys = [f"_k{i}" for i in range(len(by))]
-    values = df.filter(F.col(p).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    cuts = value_cuts(values, "_p")
-    values = values.withColumn("_bucket", value_bucket("_p", cuts))
+    values = df.filter(F.col(p).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(p).alias("_p")).agg(F.array(F.count("*")).alias("_n"))
     inside, across = W.partitionBy(*keys, "_bucket").orderBy("_p"), W.partitionBy(*keys).orderBy("_bucket")
     so_far, earlier = (lambda w: w.rowsBetween(W.unboundedPreceding, 0)), (lambda w: w.rowsBetween(W.unboundedPreceding, -1))
     same = lambda cols: reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols])
@@ -47,10 +47,7 @@ def holm(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), name: str = "p_h
     def beside(rows: DataFrame, few: DataFrame, *cols: str) -> DataFrame:
         return rows.alias("l").join(few.alias("r"), same([*keys, "_bucket"])).select("l.*", *(f"r.{c}" for c in cols))
 
-    sizes = values.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
-    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(earlier(across)), F.lit(0)), "_m": F.sum("_size").over(W.partitionBy(*keys))})
-    less = F.col("_before") + F.coalesce(F.sum("_n").over(earlier(inside)), F.lit(0))
-    steps = beside(values, sizes, "_before", "_m").withColumn("_s", (F.col("_m") - less) * F.col("_p"))
+    steps = counted_below(values, "_p", keys).withColumn("_s", (F.col("_m") - F.col("_below")) * F.col("_p"))
     tops = steps.groupBy(*keys, "_bucket").agg(F.max("_s").alias("_top")).withColumn("_top", F.max("_top").over(earlier(across)))
     found = beside(steps, tops, "_top").select(*keys, "_p", F.least(F.lit(1.0), F.greatest("_top", F.max("_s").over(so_far(inside)))).alias(name))
     on = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)], F.col(p) == F.col("_p"))
@@ -105,8 +102,9 @@ def hodges_lehmann(diffs: DataFrame, by: list[str], value: str = "diff", most: i
 def mann_whitney(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """``u`` of the rows where ``group`` is true, and its tie-corrected z."""
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*by, F.col(value).alias("_v"), F.col(group).alias("_g"))
-    rows = rows.withColumns({"_r": average_rank(F.col("_v"), by), "_t": F.count("*").over(W.partitionBy(*by, "_v"))})
-    out = rows.groupBy(*by).agg(F.count_if("_g").alias("n1"), F.count_if(~F.col("_g")).alias("n2"), F.sum(F.when(F.col("_g"), F.col("_r")).otherwise(0.0)).alias("_s"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("_t"))
+    placed = counted_below(value_counts(rows, "_v", by, F.col("_g"), ~F.col("_g")), "_v", by)
+    t = size()
+    out = placed.groupBy(*by).agg(F.sum(F.col("_n")[0]).alias("n1"), F.sum(F.col("_n")[1]).alias("n2"), F.sum(F.col("_n")[0] * average_rank()).alias("_s"), F.sum(t * (t * t - 1)).cast("double").alias("_t"))
     a, b = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = a + b
     out = out.withColumn("u", F.col("_s") - a * (a + 1) / 2)
@@ -114,17 +112,42 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str]) -> DataFr
     return out.select(*by, "n1", "n2", "u", ((F.col("u") - a * b / 2) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"))
 
 
-def cluster_bootstrap(df: DataFrame, value: str, cluster: str, draws: int = 200, seed: int = 42) -> DataFrame:
-    """``lo, hi``: the 95% interval of the median over resampled clusters; null with fewer than two clusters.
+def _drawn(places: DataFrame, seed: int) -> DataFrame:
+    """Adds ``_i``: the number, from 0 to ``_k`` - 1, that a hash draws at place ``_j`` of draw ``_b``."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_j").cast("string"))
+    return places.withColumn("_i", F.pmod(F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long"), F.col("_k")))
+
+
+def _interval(medians: DataFrame, by: list[str], count: str) -> DataFrame:
+    """The 95% interval of the draws' medians, null with fewer than two units."""
+    out = medians.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.max("_k").alias(count))  # as many values as draws
+    return out.select(*by, count, F.when(F.col(count) >= 2, F.col("_q")[0]).alias("lo"), F.when(F.col(count) >= 2, F.col("_q")[1]).alias("hi"))
+
+
+def cluster_bootstrap(df: DataFrame, value: str, cluster: str, by: tuple[str, ...] = (), draws: int = 2000, seed: int = 42) -> DataFrame:
+    """``by, clusters, lo, hi``: the 95% interval of the median over resampled clusters; null with fewer than two clusters.
 
     Draw b takes, for each of k places, the cluster numbered by a hash; a cluster's rows count once for each time it is drawn.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(cluster).alias("_c"), F.col(value).alias("_v"))
-    names = rows.select("_c").distinct()
-    numbered = names.withColumn("_i", F.row_number().over(W.orderBy("_c")) - 1)  # clusters, not rows
-    k = names.agg(F.count("*").alias("_k"))
-    places = F.broadcast(k).select("_k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).select("_k", "_b", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_j"))
-    drawn = places.select("_b", "_k", F.pmod(F.xxhash64(F.lit(seed), "_b", "_j"), F.col("_k")).alias("_i"))
-    medians = drawn.join(numbered, "_i").groupBy("_b", "_c", "_k").agg(F.count("*").alias("_times")).join(rows, "_c").groupBy("_b", "_k").agg(F.percentile("_v", F.lit(0.5), F.col("_times")).alias("_m"))
-    out = medians.agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.max("_k").alias("clusters"))
-    return out.select("clusters", F.when(F.col("clusters") >= 2, F.col("_q")[0]).alias("lo"), F.when(F.col("clusters") >= 2, F.col("_q")[1]).alias("hi"))
+    by = list(by)
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(cluster).alias("_c"), F.col(value).alias("_v"))
+    names = rows.select(*by, "_c").distinct()
+    w = W.partitionBy(*by).orderBy("_c")
+    # within groups a window numbers the clusters, over a whole table buckets of them do
+    numbered = names.withColumn("_i", (F.row_number().over(w) - 1).cast("long")) if by else global_row_number(names.withColumn("_z", F.lit(0)), "_z", "_c", "_i").select("_c", (F.col("_i") - 1).alias("_i"))
+    k = names.groupBy(*by).agg(F.count("*").alias("_k"))
+    places = k.select(*by, "_k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).select("*", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_j"))
+    times = _drawn(places, seed).groupBy(*by, "_k", "_b", "_i").agg(F.count("*").alias("_times"))
+    each = times.join(numbered, [*by, "_i"]).join(rows, [*by, "_c"])
+    return _interval(each.groupBy(*by, "_b", "_k").agg(F.percentile("_v", F.lit(0.5), F.col("_times")).alias("_m")), by, "clusters")
+
+
+def simple_bootstrap(df: DataFrame, value: str, by: tuple[str, ...], tie: str, draws: int = 5000, seed: int = 42) -> DataFrame:
+    """``by, n, lo, hi``: the 95% interval of the median over resampled rows, which ``value`` and ``tie`` number within a group."""
+    by = list(by)
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.col(tie).alias("_c"))
+    numbered = rows.withColumn("_i", (F.row_number().over(W.partitionBy(*by).orderBy("_v", "_c")) - 1).cast("long"))
+    k = rows.groupBy(*by).agg(F.count("*").alias("_k"))
+    places = k.select(*by, "_k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).select("*", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_j"))
+    each = _drawn(places, seed).groupBy(*by, "_k", "_b", "_i").agg(F.count("*").alias("_times")).join(numbered, [*by, "_i"])
+    return _interval(each.groupBy(*by, "_b", "_k").agg(F.percentile("_v", F.lit(0.5), F.col("_times")).alias("_m")), by, "n")

@@ -327,12 +327,11 @@ def volume_extremes(spark, sf):
     return tidy(df.filter("place in (1, n div 2 + 1, n)").select("sku_id", "demand_total", "place"))
 
 
-@query("value_quartiles", with_(EV, STATS, LUMPY, "e as (select quantile_cont(cv2, [0.25, 0.5, 0.75]) as q from lumpy)") + "select sku_id, cast(case when cv2 <= q[1] then 0 when cv2 <= q[2] then 1 when cv2 <= q[3] then 2 else 3 end as bigint) as quartile from lumpy, e")
+@query("value_quartiles", with_(EV, STATS, LUMPY, "e as (select quantile_cont(cv2, [0.25, 0.5, 0.75]) as q, min(cv2) as lo, max(cv2) as hi from lumpy)") + "select sku_id, (select count(distinct x) from (select unnest(q) as x) where x > lo and x < hi and x < cv2) as quartile from lumpy, e")
 def value_quartiles(spark, sf):
-    df = classify.classified(events(spark, sf)).filter("lumpy")
-    q = F.broadcast(df.agg(F.percentile("cv2", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))  # one row
-    c = F.col("cv2")
-    return tidy(df.crossJoin(q).select("sku_id", F.when(c <= F.col("q")[0], 0).when(c <= F.col("q")[1], 1).when(c <= F.col("q")[2], 2).otherwise(3).alias("quartile")))
+    from ..operators.ranks import value_quartile
+
+    return tidy(value_quartile(classify.classified(events(spark, sf)).filter("lumpy"), "cv2").select("sku_id", "quartile"))
 
 
 @query("boundary_fill", with_(EV, f"t as (select sku_id, day, {_TARGET} from panel)") + """

@@ -309,25 +309,24 @@ wilcoxon as (select c.*, cast(coalesce(n, 0) as bigint) as n, cast(w_pos as doub
 
 @query("wilcoxon_statistic", with_recursive(*_ALL, _REL, _wilcoxon_sql("rel", "origin, cs, fill_target", "diff")) + "select origin, cs, fill_target, n_pairs, round(median_diff, 4) as median_diff, n, w_pos, w_neg, z, r_rank_biserial from wilcoxon")
 def wilcoxon_statistic(spark, sf):
-    return tidy(stats.wilcoxon(_relative(spark, sf), ["origin", "cs", "fill_target"]).drop("mean_diff"), 6, median_diff=4)
+    return tidy(stats.wilcoxon(_relative(spark, sf), ["origin", "cs", "fill_target"]).drop("mean_diff", "n_neg"), 6, median_diff=4)
 
 
 def _h1(spark, sf):
     rows = _relative(spark, sf).filter("cs = 5 and fill_target = 0.95")
-    cheaper = rows.groupBy("origin").agg((F.avg((F.col("rel") < 0).cast("double")) * 100).alias("pct_cheaper"))
-    return stats.wilcoxon(rows, ["origin"], "rel", least=5).join(cheaper, "origin")
+    return stats.wilcoxon(rows, ["origin"], "rel", least=5).withColumn("pct_cheaper", F.col("n_neg") / F.col("n_pairs") * 100)
 
 
 @query("h1_relative_cost", with_recursive(*_ALL, _REL, _wilcoxon_sql("(select * from rel where cs = 5 and fill_target = 0.95)", "origin", "rel")) + "select origin, n_pairs, round(median_diff, 6) as median_diff, n, w_pos, w_neg, z, r_rank_biserial, (select round(avg(cast(rel < 0 as int)) * 100, 6) from rel r where cs = 5 and fill_target = 0.95 and r.origin = w.origin) as pct_cheaper from wilcoxon w")
 def h1_relative_cost(spark, sf):
-    return tidy(_h1(spark, sf).drop("mean_diff"))
+    return tidy(_h1(spark, sf).drop("mean_diff", "n_neg"))
 
 
 @query("wilcoxon_pvalue")
 def wilcoxon_pvalue(spark, sf):
     """H1 with one-sided p (normal tail, and exact for untied differences) and Holm over origins."""
     h1 = _h1(spark, sf).withColumns({"p_less": normal_upper(-F.col("z")), "p_exact": F.when(F.col("n") <= 50, signed_rank_upper("w_neg", F.col("n").cast("double")))})
-    return tidy(stats.holm(h1, "p_less")).withColumn("supported", F.col("p_holm") < 0.05)
+    return tidy(stats.holm(h1, "p_less").drop("n_neg")).withColumn("supported", F.col("p_holm") < 0.05)
 
 
 _TREND = """
@@ -399,10 +398,37 @@ def mann_whitney_statistic(spark, sf):
     return tidy(stats.mann_whitney(rows, "adi", "grp", ["origin"]))
 
 
-@query("cluster_bootstrap")
+def _boot_sql(by: str, draws: int, unit: str) -> str:
+    """Medians of resampled units (``units``: the groups' numbered units; ``members``: their values)."""
+    return f"""
+sizes as (select {by}, count(*) as k from units group by all),
+drawn as (select {by}, k, b, cast(('0x' || substr(md5('42:' || b || ':' || j), 1, 12)) as bigint) % k as i from (select *, unnest(range(1, k + 1)) as j from (select *, unnest(range(1, {draws} + 1)) as b from sizes))),
+meds as (select {by}, b, max(k) as k, quantile_cont(v, 0.5) as m from drawn join units using ({by}, i) join members using ({by}, c) group by {by}, b),
+boot as (select {by}, max(k) as {unit}, case when max(k) >= 2 then round(quantile_cont(m, 0.025), 6) end as lo, case when max(k) >= 2 then round(quantile_cont(m, 0.975), 6) end as hi from meds group by {by})
+"""
+
+
+_STORES = """
+members as (select origin, split_part(sku_id, '__', 2) as c, rel as v from rel where cs = 5 and fill_target = 0.95),
+units as (select origin, c, row_number() over (partition by origin order by c) - 1 as i from (select distinct origin, c from members))
+"""
+_ROWS = """
+units as (select origin, sku_id as c, row_number() over (partition by origin order by rel, sku_id) - 1 as i from rel where cs = 5 and fill_target = 0.95),
+members as (select origin, sku_id as c, rel as v from rel where cs = 5 and fill_target = 0.95)
+"""
+
+
+@query("cluster_bootstrap", with_recursive(*_ALL, _REL, _STORES, _boot_sql("origin", 2000, "clusters")) + "select origin, clusters, lo, hi from boot")
 def cluster_bootstrap(spark, sf):
-    rows = _relative(spark, sf).filter("cs = 5 and fill_target = 0.95 and origin = 1").withColumn("store", F.substring_index("sku_id", "__", -1))
-    return tidy(stats.cluster_bootstrap(rows, "rel", "store"))
+    """Intervals of the median relative cost over resampled stores."""
+    rows = _relative(spark, sf).filter("cs = 5 and fill_target = 0.95").withColumn("store", F.substring_index("sku_id", "__", -1))
+    return tidy(stats.cluster_bootstrap(rows, "rel", "store", ("origin",)))
+
+
+@query("simple_bootstrap", with_recursive(*_ALL, _REL, _ROWS, _boot_sql("origin", 1000, "n")) + "select origin, n, lo, hi from boot")
+def simple_bootstrap(spark, sf):
+    """Intervals of the median relative cost over resampled series."""
+    return tidy(stats.simple_bootstrap(_relative(spark, sf).filter("cs = 5 and fill_target = 0.95"), "rel", ("origin",), "sku_id", 1000))
 
 
 @query("heterogeneity", with_recursive(*_ALL, _REL, """meta as (select distinct sku_id, cat_id, store_id, state_id from panel)""", """
@@ -411,7 +437,7 @@ def heterogeneity(spark, sf):
     meta = events(spark, sf).groupBy("sku_id").agg(*(F.min(c).alias(c) for c in ("cat_id", "store_id", "state_id")))
     rows = _relative(spark, sf).filter("cs = 5 and fill_target = 0.95").join(meta, "sku_id")
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("cat_id", "store_id", "state_id"))))
-    return tidy(stats.wilcoxon(rows.withColumn("x", pairs).select("x.*", "rel"), ["dimension", "value"], "rel").drop("mean_diff"))
+    return tidy(stats.wilcoxon(rows.withColumn("x", pairs).select("x.*", "rel"), ["dimension", "value"], "rel").drop("mean_diff", "n_neg"))
 
 
 @query("cost_ratio_invariance", with_recursive(*_ALL, _REL) + "select origin, fill_target, round(max(abs(m - m5)), 6) as max_deviation from (select origin, fill_target, cs, quantile_cont(rel, 0.5) as m, max(quantile_cont(rel, 0.5)) filter (where cs = 5) over (partition by origin, fill_target) as m5 from rel group by 1, 2, 3) group by 1, 2")

@@ -283,9 +283,9 @@ def test_page_and_friedman_against_the_loop(spark):
 
 def test_bootstrap_needs_two_clusters(spark):
     df = spark.createDataFrame([("x", float(i)) for i in range(9)], "c string, v double")
-    assert stats.cluster_bootstrap(df, "v", "c", 20).first().lo is None
+    assert stats.cluster_bootstrap(df, "v", "c", draws=20).first().lo is None
     df = spark.createDataFrame([(f"c{i % 4}", float(i)) for i in range(40)], "c string, v double")
-    r = stats.cluster_bootstrap(df, "v", "c", 50).first()
+    r = stats.cluster_bootstrap(df, "v", "c", draws=50).first()
     assert r.lo <= 19.5 <= r.hi
 
 
