@@ -81,3 +81,12 @@ def summary(checked: DataFrame) -> DataFrame:
 def markdown(checked: DataFrame, title: str = "Claims") -> str:
     rows = checked.orderBy("id").collect()
     return "\n".join([f"# {title}", "", "| claim | status | detail |", "|---|---|---|", *(f"| {r.id} | {r.status} | {r.detail} |" for r in rows)]) + "\n"
+
+
+def reconcile(stored: DataFrame, found: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """For each column: keys in both tables, only stored, only found, and the largest absolute difference."""
+    a = stored.select(*keys, *(F.col(c).alias(f"_a_{c}") for c in columns), F.lit(True).alias("_a"))
+    b = found.select(*keys, *(F.col(c).alias(f"_b_{c}") for c in columns), F.lit(True).alias("_b"))
+    both = a.join(b, keys, "full")
+    row = both.agg(F.count_if(F.col("_a") & F.col("_b")).alias("n_common"), F.count_if(F.col("_b").isNull()).alias("n_missing"), F.count_if(F.col("_a").isNull()).alias("n_extra"), *(F.max(F.abs(F.col(f"_a_{c}") - F.col(f"_b_{c}"))).alias(c) for c in columns))
+    return row.unpivot(["n_common", "n_missing", "n_extra"], columns, "metric", "max_abs_diff")

@@ -126,3 +126,9 @@ def forecasts(panel: DataFrame, models: tuple[str, ...], horizon: int) -> DataFr
         df = RATES[m](df).withColumnRenamed("rate", f"_r_{m}")
     pairs = F.array(*(F.struct(F.lit(m).alias("model"), (F.col(f"_r_{m}") * horizon).alias("pred_sum")) for m in models))
     return df.withColumn("_x", F.explode(pairs)).select(*panel.columns, "_x.*")
+
+
+def side_by_side(a: DataFrame, b: DataFrame, value: str = "pred_sum", keys: tuple[str, ...] = ("sku_id", "day"), suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """Two models' forecasts of the same series and days."""
+    left, right = (x.select(*keys, F.col(value).alias(value + s)) for x, s in zip((a, b), suffixes, strict=True))
+    return left.join(right, list(keys))

@@ -111,8 +111,9 @@ def quartile(position: Column, n: Column) -> Column:
     return F.when(position <= edge(1), 0).when(position <= edge(2), 1).when(position <= edge(3), 2).otherwise(3)
 
 
-def value_quartile(df: DataFrame, value: str, name: str = "quartile") -> DataFrame:
-    """Adds the quartile of ``value`` between its exact quartile values, right-closed; equal edges are one, so there may be fewer classes.  Null values have none."""
-    edges = F.broadcast(exact_quantiles(df, value, [], (0.0, 0.25, 0.5, 0.75, 1.0), "_q"))  # one row
+def value_quartiles(df: DataFrame, value: str, by: list[str], name: str = "quartile") -> DataFrame:
+    """Adds the quartile of ``value`` between its group's exact quartile values, right-closed; equal edges are one, so there may be fewer classes.  Null values have none."""
+    edges = exact_quantiles(df, value, by, (0.0, 0.25, 0.5, 0.75, 1.0), "_q")
+    both = df.alias("l").join(edges.alias("r"), _same("l", "r", by), "left").select("l.*", "r._q") if by else df.join(F.broadcast(edges), how="left")  # one row
     inner = F.filter(F.array_distinct("_q"), lambda q: (q > F.col("_q")[0]) & (q < F.col("_q")[4]) & (q < F.col(value)))
-    return df.join(edges, how="left").withColumn(name, F.when(F.col(value).isNotNull(), F.size(inner))).drop("_q")
+    return both.withColumn(name, F.when(F.col(value).isNotNull(), F.size(inner))).drop("_q")

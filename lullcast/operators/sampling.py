@@ -45,7 +45,9 @@ def allocate(strata: DataFrame, n: int, rule: str = "minimum") -> DataFrame:
 
 
 def stratified(strata: DataFrame, n: int, rule: str = "minimum", seed: int = SEED) -> DataFrame:
-    """The allocated number of each stratum in hash order; under ``minimum`` cut to n by (adi_q, cv2_q, key)."""
+    """The allocated number of each stratum in hash order; under ``minimum`` cut to n by (adi_q, cv2_q, key).  An empty population is an error."""
+    if strata.isEmpty():
+        raise ValueError("nothing to sample from")
     # the allocation has one row for each stratum
     placed = strata.withColumn("_place", F.row_number().over(W.partitionBy("stratum").orderBy(hash_order(seed), "sku_id")))
     picked = placed.join(F.broadcast(allocate(strata, n, rule)), "stratum").filter("_place <= take").drop("_place", "available", "take")
@@ -54,3 +56,8 @@ def stratified(strata: DataFrame, n: int, rule: str = "minimum", seed: int = SEE
 
 def simple(population: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     return population.orderBy(hash_order(seed), "sku_id").limit(n)
+
+
+def marked(df: DataFrame, members: DataFrame, key: str = "sku_id", name: str = "sampled") -> DataFrame:
+    """Adds whether the row's key is among ``members``."""
+    return df.join(members.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))

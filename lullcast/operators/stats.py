@@ -151,3 +151,20 @@ def simple_bootstrap(df: DataFrame, value: str, by: tuple[str, ...], tie: str, d
     places = k.select(*by, "_k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).select("*", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_j"))
     each = _drawn(places, seed).groupBy(*by, "_k", "_b", "_i").agg(F.count("*").alias("_times")).join(numbered, [*by, "_i"])
     return _interval(each.groupBy(*by, "_b", "_k").agg(F.percentile("_v", F.lit(0.5), F.col("_times")).alias("_m")), by, "n")
+
+
+def effect_size(w: Column, n: Column) -> Column:
+    """1 - 2W/(n(n+1)) of a signed-rank sum."""
+    return 1 - 2 * w / (n * (n + 1))
+
+
+def effect_label(r: Column) -> Column:
+    a = F.abs(r)
+    return F.when(a < 0.1, "negligible").when(a < 0.3, "small").when(a < 0.5, "medium").when(a.isNotNull(), "large")
+
+
+def paired_against_aggregate(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """The median of the differences beside the difference of the medians, which need not agree."""
+    half = F.lit(0.5)
+    out = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(F.col(a) - F.col(b), half).alias("paired"), (F.percentile(a, half) - F.percentile(b, half)).alias("aggregate"))
+    return out.withColumn("gap", F.col("paired") - F.col("aggregate"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, claims, features, forecast, intermittent, ml, panel
-from ..sources import artefacts, synthetic
+from ..operators import claims, classify, features, intermittent, ml, panel
+from ..sources import synthetic
 from .base import EV, STATS, events, query, tidy, with_
 
 
@@ -64,34 +64,6 @@ def missing_series(spark, sf):
     return wanted.join(p.select("sku_id"), "sku_id", "left_anti")
 
 
-@query("effect_labels", """select cast(i as bigint) as i, r, case when abs(r) < 0.1 then 'negligible' when abs(r) < 0.3 then 'small' when abs(r) < 0.5 then 'medium' else 'large' end as label
-from (select i, round(1 - 2.0 * i / (20 * 21), 6)::double as r from (select unnest(generate_series(0, 420, 15)) as i))""")
-def effect_labels(spark, sf):
-    """Effect size 1 - 2W/(n(n+1)) for n = 20, and its label."""
-    r = F.round(1 - 2.0 * F.col("id") / (20 * 21), 6)
-    a = F.abs(r)
-    return spark.range(0, 421, 15).select(F.col("id").alias("i"), r.alias("r"), F.when(a < 0.1, "negligible").when(a < 0.3, "small").when(a < 0.5, "medium").otherwise("large").alias("label"))
-
-
-@query("prediction_names", """select * from (values ('pred_ma7_o1_s42.csv.gz', 'ma7', null::bigint, 1::bigint, 42::bigint), ('pred_croston_sba_optimised_h8_o3_s7.csv', 'croston_sba_optimised', 8, 3, 7), ('pred_croston_o_x_o2_s1.csv', 'croston_o_x', null, 2, 1), ('notes.txt', null, null, null, null)) t(file_name, model, horizon, origin, seed)""")
-def prediction_names(spark, sf):
-    names = ["pred_ma7_o1_s42.csv.gz", "pred_croston_sba_optimised_h8_o3_s7.csv", "pred_croston_o_x_o2_s1.csv", "notes.txt"]
-    return tidy(artefacts.prediction_keys(spark.createDataFrame([(n,) for n in names], "file_name string")))
-
-
-@query("model_names", "select * from (values ('rf#s42', 'rf', 'rf#s1'), ('rf#s1', 'rf', 'rf#s1'), ('ma7', 'ma7', 'ma7')) t(model, base, resolved)")
-def model_names(spark, sf):
-    df = spark.createDataFrame([("rf#s42",), ("rf#s1",), ("ma7",)], "model string")
-    return df.withColumn("base", artefacts.base_model("model")).join(df.groupBy(artefacts.base_model("model").alias("base")).agg(F.min("model").alias("resolved")), "base").select("model", "base", "resolved")
-
-
-@query("manifest_diff", "select ['b'] as changed, ['c'] as missing, ['d'] as new, 1::bigint as identical, false as valid")
-def manifest_diff(spark, sf):
-    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
-    new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string")
-    return artefacts.compare_manifests(old, new)
-
-
 @query("last_day", with_(EV) + "select max(day) as last_day from panel")
 def last_day(spark, sf):
     return tidy(events(spark, sf).agg(F.max("day").alias("last_day")))
@@ -132,8 +104,3 @@ def synthetic_profile_stats(spark, sf):
     p = synthetic.synthetic_panel(spark, 40, 200)
     s = classify.classified(panel.active(p))
     return tidy(s.groupBy("lumpy").agg(F.count("*").alias("n"), F.percentile("adi", F.lit(0.5)).alias("adi_median"), F.percentile("cv2", F.lit(0.5)).alias("cv2_median")))
-
-
-@query("debias_factors", "select * from (values (0.1::double, 0.95::double), (0.2, 0.9)) t(alpha, factor)")
-def debias_factors(spark, sf):
-    return spark.createDataFrame([(a, forecast.debias(a)) for a in (0.1, 0.2)], "alpha double, factor double")

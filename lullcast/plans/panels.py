@@ -329,9 +329,9 @@ def volume_extremes(spark, sf):
 
 @query("value_quartiles", with_(EV, STATS, LUMPY, "e as (select quantile_cont(cv2, [0.25, 0.5, 0.75]) as q, min(cv2) as lo, max(cv2) as hi from lumpy)") + "select sku_id, (select count(distinct x) from (select unnest(q) as x) where x > lo and x < hi and x < cv2) as quartile from lumpy, e")
 def value_quartiles(spark, sf):
-    from ..operators.ranks import value_quartile
+    from ..operators.ranks import value_quartiles as classes
 
-    return tidy(value_quartile(classify.classified(events(spark, sf)).filter("lumpy"), "cv2").select("sku_id", "quartile"))
+    return tidy(classes(classify.classified(events(spark, sf)).filter("lumpy"), "cv2", []).select("sku_id", "quartile"))
 
 
 @query("boundary_fill", with_(EV, f"t as (select sku_id, day, {_TARGET} from panel)") + """

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_upper_2, normal_upper, signed_rank_upper
-from ..operators import classify, features, forecast, origins, policy, sampling, stats
+from ..operators import accuracy, classify, features, forecast, origins, policy, sampling, stats
 from ..operators.panel import event_rows
 from .base import EV, LUMPY, STATS, events, query, table, tidy, with_, with_recursive
 from .panels import LISTS, ORIGINS, croston_sql
@@ -247,16 +247,8 @@ acc as (select r.model, r.origin, r.split, r.sku_id, count(*) as n, avg(abs(actu
 
 
 def _accuracy(spark, sf):
-    p = events(spark, sf)
-    rows = _inputs(spark, sf).filter("actual is not null").withColumn("e", F.col("actual") - F.round("pred_sum", 6))
-    past = p.select("sku_id", "day", features.ahead(F.col("demand"), HORIZON).alias("actual")).join(F.broadcast(origins.rolling_origins(p)), F.col("day") <= F.col("val_end")).filter("actual is not null")
-    d = F.col("actual") - F.lag("actual").over(W.partitionBy("sku_id", "origin").orderBy("day"))
-    scale = past.withColumn("d", d).filter("d is not null").groupBy("sku_id", "origin").agg(F.avg(F.abs("d")).alias("s1"), F.avg(F.col("d") * F.col("d")).alias("s2"), F.count("*").alias("nd")).filter("nd > 2")
-    loss = F.when(F.col("e") >= 0, 0.95 * F.col("e")).otherwise(-0.05 * F.col("e"))
-    acc = rows.groupBy("model", "origin", "split", "sku_id").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.avg("e").alias("me"), F.avg(loss).alias("pinball"))
-    zero = F.lit(0.0)
-    out = acc.join(scale, ["sku_id", "origin"], "left")
-    return out.select("model", "origin", "split", "sku_id", "n", "mae", (F.col("mae") / F.nullif("s1", zero)).alias("mase"), F.sqrt(F.col("mse") / F.nullif("s2", zero)).alias("rmsse"), "me", "pinball")
+    windows = origins.rolling_origins(event_rows(table(spark, sf, "events")))
+    return accuracy.metrics(_inputs(spark, sf).withColumn("pred_sum", F.round("pred_sum", 6)), accuracy.naive_scale(events(spark, sf), windows, HORIZON))
 
 
 @query("accuracy_metrics", with_(*_BASE, _ACC) + "select model, origin, split, sku_id, n, round(mae, 3) as mae, round(mase, 6) as mase, round(rmsse, 6) as rmsse, round(me, 3) as me, round(pinball, 3) as pinball from acc")

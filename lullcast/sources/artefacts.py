@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
+#: Rows at most of what becomes one text on the driver.
+MOST = 100_000
+
+
+def few(df: DataFrame) -> list:
+    """The rows of a report; a table too long for one is an error, not a full driver."""
+    rows = df.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} rows for one text")
+    return rows
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -16,8 +26,8 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order: list[str], digits: int = DIGITS, compress: bool = False) -> None:
-    """One file in a fixed order: for reports, not for bulk output."""
-    rounded(df, digits).orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("compression", "gzip" if compress else "none").csv(path)
+    """Files whose names and rows are in a fixed order; small tables are one file."""
+    rounded(df, digits).orderBy(*order).write.mode("overwrite").option("header", True).option("compression", "gzip" if compress else "none").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -26,7 +36,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
 
 def summary_json(df: DataFrame, keys: list[str]) -> str:
     """A small result table as JSON with sorted keys."""
-    return json.dumps([r.asDict(True) for r in df.orderBy(*keys).collect()], sort_keys=True, default=str, indent=2)
+    return json.dumps([r.asDict(True) for r in few(df.orderBy(*keys))], sort_keys=True, default=str, indent=2)
 
 
 def checksums(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("manifest.sha256.json",)) -> DataFrame:
@@ -40,7 +50,7 @@ def checksums(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("manife
 
 def manifest(spark: SparkSession, folder: str) -> str:
     """The checksums of an artefact folder as JSON; it has one row for each artefact."""
-    return json.dumps({r.path: r.sha256 for r in checksums(spark, folder).collect()}, sort_keys=True, indent=2)
+    return json.dumps({r.path: r.sha256 for r in few(checksums(spark, folder))}, sort_keys=True, indent=2)
 
 
 def compare_manifests(stored: DataFrame, found: DataFrame) -> DataFrame:
@@ -51,6 +61,19 @@ def compare_manifests(stored: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.size("changed") == 0) & (F.size("missing") == 0))
 
 
+def manifest_status(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """``path, status`` for every path of either manifest: identical, changed, missing or new."""
+    both = stored.withColumnRenamed("sha256", "a").join(found.withColumnRenamed("sha256", "b"), "path", "full")
+    return both.select("path", F.expr("case when b is null then 'missing' when a is null then 'new' when a = b then 'identical' else 'changed' end").alias("status"))
+
+
+def gate(stored: DataFrame, found: DataFrame) -> None:
+    """Raises unless every stored checksum is found again."""
+    bad = manifest_status(stored, found).filter("status in ('missing', 'changed')").orderBy("path").limit(20).collect()
+    if bad:
+        raise ValueError("inputs differ: " + ", ".join(f"{r.path} ({r.status})" for r in bad))
+
+
 #: File names of stored forecasts; the model's own name may hold "_o".
 PREDICTION_NAME = r"^pred_(.+?)(?:_h(\d+))?_o(\d+)_s(\d+)\.csv(?:\.gz)?$"
 

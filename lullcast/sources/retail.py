@@ -27,7 +27,7 @@ def normalise(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """The canonical long panel: ``sku_id``, typed columns, defaults for absent ones, others dropped."""
     require_columns(df)
     df = df.select(*(c for c in (*REQUIRED, *OPTIONAL, *extra) if c in df.columns))
-    typed = {"sku_id": F.concat_ws("__", "item_id", "store_id"), "day": F.col("day").cast("int"), "demand": F.col("demand").cast("double"), "sell_price": F.try_to_number(F.col("sell_price"), F.lit("999999999.99")) if df.schema["sell_price"].dataType.simpleString() == "string" else F.col("sell_price").cast("double")}
+    typed = {"sku_id": F.concat_ws("__", "item_id", "store_id"), "day": F.col("day").cast("int"), "demand": F.col("demand").cast("double"), "sell_price": F.expr("try_cast(sell_price as double)")}
     if "date" in df.columns:
         typed["date"] = F.expr("try_cast(date as date)")
     typed["snap"] = F.coalesce(F.col("snap").cast("int"), F.lit(0)) if "snap" in df.columns else F.lit(0)
@@ -49,8 +49,8 @@ def unpivot_days(wide: DataFrame, ids: list[str], prefix: str = "d_") -> DataFra
 
 
 def join_calendar(panel: DataFrame, calendar: DataFrame) -> DataFrame:
-    """The calendar has a row for each day of the data, some thousands at most."""
-    return panel.join(F.broadcast(calendar), "day", "left")
+    """Left join on the day; Spark broadcasts the calendar if it is small."""
+    return panel.join(calendar, "day", "left")
 
 
 def join_prices(panel: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,3 +74,32 @@ def read_wide(spark: SparkSession, sales: str, calendar: str, prices: str, state
     long = join_calendar(unpivot_days(read(sales), ids), require_unique(cal, ["day"]))
     keys = ["store_id", "item_id", "wm_yr_wk"]
     return normalise(pick_state_flag(join_prices(long, require_unique(read(prices), keys), keys), states).withColumns({c: F.expr(f"try_cast({c} as double)") for c in ("demand", "sell_price")}), ("dept_id",))
+
+
+def read_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """A calendar CSV with ``day`` from ``d_<n>``, and ``snap``: whether any state's flag is set."""
+    cal = spark.read.option("header", True).csv(path)
+    flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in cal.columns if c.startswith("snap_")]
+    snap = F.greatest(F.lit(0), *flags) if flags else F.lit(0)
+    return require_unique(cal.withColumns({"day": F.regexp_replace("d", "^d_", "").cast("int"), "snap": snap}).drop("d"), ["day"])
+
+
+def read_keys(spark: SparkSession, path: str, names: tuple[str, str], keys: list[tuple], columns: list[str]) -> DataFrame:
+    """``columns`` of the rows whose pair ``names`` is one of ``keys``; a pair without rows is an error.
+
+    Both columns' values are filters that reach the Parquet scan; the pairs themselves, as
+    many as the caller lists, are a broadcast semi join on what is left.
+    """
+    first, second = (sorted({k[i] for k in keys}) for i in (0, 1))
+    rows = spark.read.parquet(path)
+    wanted = F.broadcast(spark.createDataFrame(keys, rows.select(*names).schema))
+    found = rows.filter(F.col(names[0]).isin(first) & F.col(names[1]).isin(second)).select(*dict.fromkeys((*names, *columns))).join(wanted, list(names), "left_semi")
+    if missing := set(map(tuple, keys)) - {tuple(r) for r in found.select(*names).distinct().collect()}:  # as many as the keys at most
+        raise ValueError(f"series without rows: {sorted(missing)}")
+    return found.select(*columns)
+
+
+def one_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows with the same key the one that is first in ``order``."""
+    others = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_x")).select(*keys, *(F.col(f"_x.{c}").alias(c) for c in others))
