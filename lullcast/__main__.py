@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--master")
         p.add_argument("--config")
         p.add_argument("--data")
-        p.add_argument("--scratch", default="/tmp/lullcast-verify")
+        p.add_argument("--scratch")
         p.add_argument("--cells")
         p.add_argument("--series", type=int, default=150)
         p.add_argument("--days", type=int, default=900)
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         study.regenerate(spark, panel, cfg, args.out)
         return 0
     if args.what == "verify":
-        found = study.verify(spark, panel, cfg, args.out, args.scratch)
+        found = study.verify(spark, panel, cfg, args.out, args.scratch or f"{args.out.rstrip('/')}-verify")
         print(json.dumps(found, sort_keys=True))
         return int(bool(found["changed"] or found["missing"]))
     with open(args.cells) as f:

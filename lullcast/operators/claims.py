@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.artefacts import few
+
 MATCH, MISMATCH, UNKNOWN = "match", "mismatch", "cannot be verified"
 KINDS = ("row_count", "lower_everywhere", "all_true", "range", "all_greater", "all_less", "count_where", "sequence")
 _OPERATORS = {"<": lambda c, v: c < v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "==": lambda c, v: c == v}
@@ -79,7 +81,7 @@ def summary(checked: DataFrame) -> DataFrame:
 
 
 def markdown(checked: DataFrame, title: str = "Claims") -> str:
-    rows = checked.orderBy("id").collect()
+    rows = few(checked.orderBy("id"))
     return "\n".join([f"# {title}", "", "| claim | status | detail |", "|---|---|---|", *(f"| {r.id} | {r.status} | {r.detail} |" for r in rows)]) + "\n"
 
 

@@ -39,6 +39,20 @@ def summary_json(df: DataFrame, keys: list[str]) -> str:
     return json.dumps([r.asDict(True) for r in few(df.orderBy(*keys))], sort_keys=True, default=str, indent=2)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def checksums(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("manifest.sha256.json",)) -> DataFrame:
     """``path, sha256`` of every file below ``folder``, without those named in ``skip``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

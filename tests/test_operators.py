@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from lullcast.config import Config, cells
 from lullcast.functions.dist import normal_upper, signed_rank_upper
-from lullcast.operators import claims, classify, features, forecast, intermittent, panel, policy, sampling, stats
-from lullcast.operators.ranks import global_row_number
+from lullcast.operators import claims, classify, features, forecast, intermittent, panel, policy, ranks, sampling, stats
 from lullcast.sources import artefacts, retail, synthetic
 
 
@@ -46,14 +45,30 @@ def test_quartile_edges(spark):
     assert got == [0, 0, 1, 2, 3, 3]
 
 
-def test_global_row_number(spark):
+@pytest.mark.parametrize("size", [100_000, 40])
+def test_global_row_number(spark, monkeypatch, size):
+    monkeypatch.setattr(ranks, "ROWS", size)
+    monkeypatch.setattr(ranks, "KEYS", 200)
     rng = random.Random(3)
-    data = [(f"k{i:04d}", float(rng.choice([1, 2, 2, 3, 5, 8]) if i % 2 else rng.random())) for i in range(500)] + [("z", None)]
-    got = global_row_number(spark.createDataFrame(data, "sku_id string, v double"), "v", "sku_id", "n")
+    data = [(f"k{i:04d}", float(rng.choice([1, 2, 2, 3, 5, 8]) if i % 2 else rng.random())) for i in range(500)] + [("z", None)] + [(f"t{i:03d}", 2.0) for i in range(400)]
+    got = ranks.global_row_number(spark.createDataFrame(data, "sku_id string, v double"), "v", "sku_id", "n")
     want = {k: i + 1 for i, (k, _) in enumerate(sorted(data, key=lambda x: (x[1] is None, x[1] or 0, x[0])))}
     assert {r.sku_id: r.n for r in got.collect()} == want
 
 
+def test_quantiles_by_counting(spark):
+    rng = random.Random(8)
+    data = [(rng.choice("ab"), rng.choice([None, 1.0, 2.0, rng.random() * 9])) for _ in range(300)] + [("c", 4.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    shares = (0.0, 0.1, 0.5, 0.77, 1.0)
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    got = {r.g: r.q for r in ranks.exact_quantiles(df, "v", ["g"], shares).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    same = spark.createDataFrame([(i, 1.0 if i < 9 else 5.0) for i in range(10)] + [(10, None)], "i int, v double")
+    # equal edges are one: everything up to the only value of three quartiles is class 0
+    assert {(r.v, r.quartile) for r in ranks.value_quartiles(same, "v", []).collect()} == {(1.0, 0), (5.0, 0), (None, None)}
+
+
 def test_features_do_not_leak(spark):
     rng = random.Random(1)
     base = [float(rng.randint(0, 5)) for _ in range(30)]
@@ -312,6 +327,38 @@ def test_manifest_and_sinks(spark, tmp_path):
     assert text == "k,v\na,2.0\nb,1.234568\n"
 
 
+def test_manifest_status_and_gate(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
+    new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, sha256 string")
+    assert {tuple(r) for r in artefacts.manifest_status(old, new).collect()} == {("a", "identical"), ("b", "changed"), ("c", "missing"), ("d", "new")}
+    r = artefacts.compare_manifests(old, new).first()
+    assert (r.changed, r.missing, r.new, r.identical, r.valid) == (["b"], ["c"], ["d"], 1, False)
+    artefacts.gate(old, old.union(new.filter("path = 'd'")))
+    with pytest.raises(ValueError, match="c .missing"):
+        artefacts.gate(old, new)
+
+
+def test_requested_keys(spark, tmp_path):
+    rows_ = [(i, s, float(i)) for i in range(6) for s in "xy"]
+    spark.createDataFrame(rows_, "i int, s string, v double").write.parquet(str(tmp_path / "t"))
+    df = retail.read_keys(spark, str(tmp_path / "t"), ("i", "s"), [(1, "x"), (4, "y")], ["i", "v"])
+    assert rows(df) == [(1, 1.0), (4, 4.0)]
+    assert "PushedFilters: [In(i" in df._jdf.queryExecution().executedPlan().toString() or "In(i, [1,4])" in df._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        retail.read_keys(spark, str(tmp_path / "t"), ("i", "s"), [(1, "z")], ["v"])
+
+
+def test_prices_keep_all_digits(spark):
+    df = retail.normalise(spark.createDataFrame([("a", "b", "1", "2", "1.255"), ("a", "b", "2", "2", None), ("a", "b", "3", "2", "x")], "item_id string, store_id string, day string, demand string, sell_price string"))
+    assert [r.sell_price for r in df.orderBy("day").collect()] == [1.255, None, None]
+
+
+def test_nothing_to_sample(spark):
+    empty = spark.createDataFrame([], "sku_id string, adi_q int, cv2_q int, stratum string")
+    with pytest.raises(ValueError):
+        sampling.stratified(empty, 5)
+
+
 def test_run_log_merge(spark):
     lines = ["## a", "old", "## b", "x", "## a", "new"]
     got = artefacts.merge_run_logs(spark.createDataFrame(list(enumerate(lines)), "seq int, text string"))
