@@ -30,7 +30,9 @@ def test_run_and_verification(spark, panel, tmp_path):
     assert summary["models"] == ["rf", "croston_sba"] and {"h1_supported", "h2_supported"} <= set(summary)
     rows = spark.read.parquet(str(tmp_path / "a" / "forecasts"))
     counts = {(r.model, r.split): r["count"] for r in rows.groupBy("model", "split").count().collect()}
-    assert set(counts) == {(m, s) for m in study.MODELS for s in ("val", "test")} and len(set(counts.values())) == 1
+    assert set(counts) == {(m, s) for m in study.MODELS for s in ("val", "test")}
+    # a forest has no forecast on days without complete features
+    assert all(0 < counts["rf", s] <= counts["croston_sba", s] for s in ("val", "test"))
     assert rows.groupBy("sku_id", "day", "model", "origin").count().filter("count > 1").isEmpty()
     mae = {r.model for r in spark.read.parquet(str(tmp_path / "a" / "accuracy")).filter("mae is not null and mae_core is not null").collect()}
     assert mae == set(study.MODELS)
