@@ -318,6 +318,7 @@ def h1_relative_cost(spark, sf):
 def wilcoxon_pvalue(spark, sf):
     """H1 with one-sided p (normal tail, and exact for untied differences) and Holm over origins."""
     h1 = _h1(spark, sf).withColumns({"p_less": normal_upper(-F.col("z")), "p_exact": F.when(F.col("n") <= 50, signed_rank_upper("w_neg", F.col("n").cast("double")))})
+    h1 = spark.createDataFrame(h1.collect(), h1.schema)  # a row for each origin, which Holm's steps read several times
     return tidy(stats.holm(h1, "p_less").drop("n_neg")).withColumn("supported", F.col("p_holm") < 0.05)
 
 
@@ -362,6 +363,7 @@ def h2_pvalues(spark, sf):
     """Page and contrast p, each with Holm over origins; Friedman's p from its chi-square with two degrees of freedom."""
     t = _trend(spark, sf)
     df = stats.page(t, ["t90", "t95", "t98"], ["origin"]).withColumn("p_page", normal_upper("page_z"))
+    df = spark.createDataFrame(df.collect(), df.schema)  # a row for each origin
     fr = stats.friedman(t, ["t90", "t95", "t98"], ["origin"]).select("origin", chi2_upper_2(F.col("chi2")).alias("p_friedman"))
     return tidy(stats.holm(df, "p_page", name="p_page_holm").join(fr, "origin"))
 
