@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, langmodel, minhash, pii, substrings, tokencount, toxicity, transducer, urls
+from . import decontaminate, gif, hdlang, langmodel, merkle, minhash, pii, spelling, substrings, tokencount, toxicity, transducer, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    found = hdlang.with_language(docs.select("doc_id", "text"), hdlang.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    n_chars = F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS), tampered={"n_chars": n_chars})
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_gif_media": op1_gif_media,
     "op2_toxicity": op2_toxicity,
@@ -73,6 +92,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_language_id": op12_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 #: Operator 6: every string of 200 bytes, from the texts' hexadecimal bytes.
 REPEATS_SQL = """
@@ -96,5 +118,50 @@ r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
 m as (select a as doc_id, min(b) as least from r group by 1)
 select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(m.least, doc_id)) as component_id, doc_id <= coalesce(m.least, doc_id) as kept from w left join n using (doc_id) left join m using (doc_id)
 """
+
+
+def _crc32(x: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes."""
+    octets = f"list_transform(range(cast(strlen({x}) as bigint)), lambda i: cast('0x' || substring(hex({x}), 2 * i + 1, 2) as bigint))"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda e, j: case when e & 1 = 1 then xor(e >> 1, 3988292384) else e >> 1 end)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: {step}), 4294967295)"
+
+
+#: Operator 11: words without one code point, joined.
+SPELLING_SQL = f"""
+with recursive r as (select coalesce(cast(doc_id as varchar), '') || ':' || w as x, w, count(*) as n from (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents) group by all),
+h as (select w, n, {_crc32("x")} as h from r),
+v as (select word, cast(sum(n) as bigint) as n from (select n, case when h % 31 = 0 then substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) else w end as word from h) where length(word) >= 7 group by 1 having sum(n) >= 2),
+less as (select word, n, i, substring(word, 1, i) || substring(word, i + 2) as d from (select *, unnest(range(length(word))) as i from v)),
+near as (select a.word, b.word as near, b.n as near_n from less a join less b on a.i = b.i and a.d = b.d and a.word <> b.word
+  union select a.word, b.word, b.n from less a join v b on a.d = b.word union select b.word, a.word, a.n from less a join v b on a.d = b.word),
+best as (select word, count(*) as n_near, min({{'m': -near_n, 'w': near}}) as b from near group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when -b.m >= 10 * v.n then b.w end as form, case when -b.m >= 10 * v.n then -b.m end as form_n from v left join best using (word)),
+chain as (select word, word as root, n from f union all select c.word, f.form, f.form_n from chain c join f on f.word = c.root where f.form is not null)
+select word, form, root, n, n_near, form_n from f join (select word, max({{'n': n, 'r': root}}).r as root from chain group by 1) using (word)
+"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+
+
+#: Operator 13: the trees level by level, then every leaf's way up.
+MERKLE_SQL = f"""
+with recursive d as (select doc_id, coalesce('1' || lang, '0') as name, sha256({" || ".join(map(_field, merkle.FIELDS))}) as leaf,
+  sha256({" || ".join(_field(f"(n_chars + case when {_crc32('cast(doc_id as varchar)')} % 7 = 0 then 1 else 0 end)" if c == "n_chars" else c) for c in merkle.FIELDS)}) as changed from documents),
+l as (select *, row_number() over (partition by name order by doc_id nulls first, leaf, changed) - 1 as p, count(*) over (partition by name) as n from d),
+t(name, k, p, n, h) as (select name, 0, p, n, leaf from l union all select name, k + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' order by p)) from t where n > 1 group by name, k, n, p // 2),
+s as (select name, h as subroot, row_number() over (order by name) - 1 as p, count(*) over () as n from t where n = 1),
+u(name, k, p, n, h) as (select '', 0, p, n, subroot from s union all select name, k + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' order by p)) from u where n > 1 group by name, k, n, p // 2),
+way(name, id, k, p, n, folded, proof) as (select name, p, 0, p, n, changed, '' from l union all
+  select w.name, id, w.k + 1, w.p // 2, (w.n + 1) // 2, case when b.h is null then sha256(folded) when w.p % 2 = 1 then sha256(b.h || folded) else sha256(folded || b.h) end, proof || coalesce(b.h, '')
+  from way w left join t b on b.name = w.name and b.k = w.k and b.p = xor(w.p, 1) where w.n > 1),
+top(name, id, k, p, n, folded, proof) as (select w.name, id, 0, s.p, s.n, folded, proof from way w join s on s.name = w.name where w.n = 1 union all
+  select w.name, id, w.k + 1, w.p // 2, (w.n + 1) // 2, case when b.h is null then sha256(folded) when w.p % 2 = 1 then sha256(b.h || folded) else sha256(folded || b.h) end, proof || coalesce(b.h, '')
+  from top w left join u b on b.k = w.k and b.p = xor(w.p, 1) where w.n > 1)
+select doc_id, leaf, subroot, u.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = u.h as verified
+from top join l on l.name = top.name and l.p = top.id join s on s.name = top.name cross join (select h from u where n = 1) u where top.n = 1
+"""
 #: What SQL can say about whole tables; models, codecs and tokenisers have none.
-ORACLE_SQL: dict[str, str] = {"op6_repeat_removal": REPEATS_SQL, "op9_minhash_near_dedup": NEAR_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_repeat_removal": REPEATS_SQL, "op9_minhash_near_dedup": NEAR_SQL, "op11_spelling_variants": SPELLING_SQL, "op13_merkle_manifest": MERKLE_SQL}
