@@ -44,7 +44,6 @@ from .work import Work
 LENGTH = 200
 GRAM = 40
 RANGES = 8
-_SECOND = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 32) - 1)
 #: Rows at most of a list of documents that is broadcast (two integers each); longer lists are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -86,7 +85,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             buf, offs = tv.utf8(b.column(2))
             for i, j in tv.chunks(offs):
                 part, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                one, two = tv.prefix_hash(part), tv.prefix_hash(part, _SECOND)
+                one, two = tv.prefix_hash(part), tv.prefix_hash(part, 1)
                 p = np.unique(owners(part, at, one, length, gram)[1])
                 doc = np.searchsorted(at, p, "right") - 1
                 lo, hi = at[doc], at[doc + 1]
@@ -223,7 +222,7 @@ def _range_keys(tasks: DataFrame, length: int, gram: int) -> DataFrame:
             for i in range(b.num_rows):
                 buf = text[offs[i] : offs[i + 1]]
                 p, single, n = places[tasks_at[i] : tasks_at[i + 1]], singles[tasks_at[i] : tasks_at[i + 1]], len(buf)
-                one, two = tv.prefix_hash(buf), tv.prefix_hash(buf, _SECOND)
+                one, two = tv.prefix_hash(buf), tv.prefix_hash(buf, 1)
                 # one row for each boundary and range
                 near, far = np.maximum(d0[None, :], p[:, None] + length - n), np.minimum(d1[None, :], p[:, None])
                 row, q = np.nonzero(near <= far)
@@ -252,7 +251,7 @@ def _windows(tasks: DataFrame, length: int, gram: int) -> DataFrame:
             parts: list[tuple] = []
             for i in range(b.num_rows):
                 buf, own_tasks = text[offs[i] : offs[i + 1]], slice(tasks_at[i], tasks_at[i + 1])
-                one, two = tv.prefix_hash(buf), tv.prefix_hash(buf, _SECOND)
+                one, two = tv.prefix_hash(buf), tv.prefix_hash(buf, 1)
                 starts, own = owners(buf, np.array([0, len(buf)]), one, length, gram)
                 q = np.searchsorted(first, own - starts, "right") - 1
                 code, asked = own * RANGES + q, place[own_tasks] * RANGES + rng[own_tasks]

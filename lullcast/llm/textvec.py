@@ -12,10 +12,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-#: One random 64-bit value for each byte, the same in every process.
-BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hashes are polynomials over the field of this prime, with the bytes plus one as coefficients.
+PRIME = np.uint64((1 << 61) - 1)
+#: A point for each family of hashes, drawn once: two strings of n bytes agree with a chance of n / PRIME.
+_POINTS = [int(x) for x in np.random.Generator(np.random.PCG64(20240229)).integers(1 << 40, (1 << 61) - 1, 2, dtype=np.uint64)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_31, _30, _61 = np.uint64(31), np.uint64(30), np.uint64(61)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,23 +44,60 @@ def chunks(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse modulo 2**64."""
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> _61)
+    x -= PRIME * (x >= PRIME)
+    return x
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products in the field; 2**61 is one there."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    mid = ah * bl + al * bh
+    return _reduced(((ah * bh) << np.uint64(1)) + (mid >> _30) + ((mid & _LOW30) << _31) + al * bl)
+
+
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of a family's point and of its inverse."""
+    if family not in _powers or len(_powers[family][0]) <= n:
         size = max(n + 1, 1 << 20)
-        inv = pow(int(_BASE), -1, 1 << 64)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, inv, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+        found = []
+        for x in (_POINTS[family], pow(_POINTS[family], -1, int(PRIME))):
+            out, have = np.ones(size, np.uint64), 1
+            while have < size:
+                out[have : 2 * have] = _times(out[: min(have, size - have)], np.uint64(pow(x, have, int(PRIME))))
+                have *= 2
+            found.append(out)
+        _powers[family] = tuple(found)
+    return _powers[family]
+
+
+class Prefix:
+    """Hashes of all prefixes of some bytes, in one family."""
 
+    def __init__(self, values: np.ndarray, family: int):
+        self.values, self.family = values, family
 
-def prefix_hash(buf: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    def __len__(self) -> int:
+        return len(self.values)
+
+
+#: Elements that are taken at once, so that what lies between stays in a processor's cache.
+_AT_ONCE = 1 << 13
+
+
+def prefix_hash(buf: np.ndarray, family: int = 0) -> Prefix:
     """Prefix sums from which ``span_hash`` gives the hash of any byte span."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(values[buf] * powers(len(buf))[0][: len(buf)], out=out[1:])
-    return out
+    up = powers(len(buf), family)[0]
+    for at in range(0, len(buf), _AT_ONCE):
+        value = buf[at : at + _AT_ONCE].astype(np.uint64) + np.uint64(1)
+        power = up[at : at + len(value)]
+        high = value * (power >> _31)
+        term = (high >> _30) + ((high & _LOW30) << _31) + value * (power & _LOW31)  # below 2**62
+        high, low = np.cumsum(term >> _31), np.cumsum(term & _LOW31)  # of so few terms below 2**45
+        out[at + 1 : at + 1 + len(value)] = _reduced((high >> _30) + ((high & _LOW30) << _31) + low + out[at])
+    return Prefix(out, family)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,9 +110,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of buf[start:end] for each pair; equal spans have equal hashes wherever they are."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
+    values, down = prefix.values, powers(len(prefix), prefix.family)[1]
+    out = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), _AT_ONCE):
+        a, z = start[at : at + _AT_ONCE], end[at : at + _AT_ONCE]
+        own = _reduced(values[z] + (PRIME - values[a]))
+        out[at : at + len(a)] = mix(_times(own, down[a]) + (z - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

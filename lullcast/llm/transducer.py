@@ -157,11 +157,27 @@ class Trie:
         return to, self.check[to] == states
 
 
+def _gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The elements of runs of ``flat``, one run after another."""
+    to = np.cumsum(size) - size
+    return flat[np.repeat(at - to, size) + np.arange(int(size.sum()))]
+
+
+def _same(x: np.ndarray, at: np.ndarray, size: np.ndarray, y: np.ndarray, y_at: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Which runs of ``x`` equal those of ``y``, byte by byte."""
+    same = size == y_size
+    size = np.where(same, size, 0)
+    bad = np.append(0, np.cumsum(_gather(x, at, size) != _gather(y, y_at, size)))
+    ends = np.cumsum(size)
+    return same & (bad[ends] == bad[ends - size])
+
+
 class Memo:
-    """Ids of solved segments by their hash, which is sorted."""
+    """Solved segments' ids and bytes by the segments' hash, which is sorted."""
 
     def __init__(self):
         self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.bytes_at, self.bytes_size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys, -1 for those not held."""
@@ -170,12 +186,13 @@ class Memo:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        """New keys in ascending order with their ids one after another."""
-        at = len(self.flat) + np.cumsum(size) - size
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray, own: np.ndarray, own_size: np.ndarray) -> None:
+        """New keys in ascending order with their ids and bytes one after another."""
+        at, bytes_at = len(self.flat) + np.cumsum(size) - size, len(self.bytes) + np.cumsum(own_size) - own_size
         to = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
-        self.flat = np.concatenate([self.flat, ids])
+        self.bytes_at, self.bytes_size = np.insert(self.bytes_at, to, bytes_at), np.insert(self.bytes_size, to, own_size)
+        self.flat, self.bytes = np.concatenate([self.flat, ids]), np.concatenate([self.bytes, own])
 
 
 class Transducer:
@@ -297,20 +314,26 @@ class Transducer:
         cut[offs[:-1][offs[:-1] < len(buf)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(buf))
+        size = end - start
         keys, first, which = np.unique(tv.span_hash(tv.prefix_hash(buf), start, end), return_index=True, return_inverse=True)
         memo = _memos.get(self.path)
         if memo is None or len(memo.keys) > MEMO:
             memo = _memos[self.path] = Memo()
         new = np.flatnonzero(memo.find(keys) < 0)
         if len(new):
-            a, size = start[first[new]], (end - start)[first[new]]
-            to = np.cumsum(size) - size
-            own = buf[np.repeat(a - to, size) + np.arange(int(size.sum()))]
-            memo.add(keys[new], *self.shortest(own, to, size))
-        at = memo.find(keys)
-        frm, n = memo.at[at][which], memo.size[at][which]
+            a, n = start[first[new]], size[first[new]]
+            own = _gather(buf, a, n)
+            memo.add(keys[new], *self.shortest(own, np.cumsum(n) - n, n), own, n)
+        at = memo.find(keys)[which]
+        flat, frm, n = memo.flat, memo.at[at], memo.size[at].copy()
+        # a hash only proposes: segments of other bytes than the memo's are solved on their own
+        other = np.flatnonzero(~_same(buf, start, size, memo.bytes, memo.bytes_at[at], memo.bytes_size[at]))
+        if len(other):
+            ids, count = self.shortest(_gather(buf, start[other], size[other]), np.cumsum(size[other]) - size[other], size[other])
+            frm[other], n[other] = len(flat) + np.cumsum(count) - count, count
+            flat = np.concatenate([flat, ids])
         ends = np.cumsum(n)
-        out = memo.flat[np.repeat(frm - (ends - n), n) + np.arange(ends[-1])]
+        out = _gather(flat, frm, n)
         totals = np.concatenate([[0], ends])
         return out, totals[np.searchsorted(start, offs)]
 
