@@ -15,7 +15,9 @@ Words: A-Z lower-cased, maximal runs of other bytes than space and \\x09-\\x0D.
 document's set has its distinct ``k``-word shingles; with fewer words the whole
 sequence is the one shingle; null texts and texts without words have an empty set
 and are linked with nothing.  Rows with a null id are their own (null) component.
-Rows that share an id are one node.  Empty tables and other columns are allowed.
+Rows are linked by their texts alone: rows that share an id but no similar text may lie in
+different components, each with the smallest id that its row reaches, and equal rows get
+equal results.  Empty tables and other columns are allowed.
 """
 
 from __future__ import annotations
@@ -245,10 +247,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, work: Wor
 def near_duplicates(df: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``df``."""
     work = Work(df.sparkSession)
-    bands = bands_for(percent, rows)
-    n_hashes = bands * rows
+    n_hashes = bands_for(percent, rows) * rows
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = work.save(signatures(docs, k, n_hashes))
+    one = F.struct("h1", "h2", "n")
+    ambiguous = sigs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi")
+    if ambiguous.isEmpty():
+        return _grouped(docs, sigs, k, percent, rows, work)
+    # an id with several texts is no node: number the rows, and name each component by its smallest id
+    work.drop(sigs)
+    numbered = work.save(docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    by_row = numbered.select(F.col("row").alias("doc_id"), "text")
+    found = work.save(_grouped(by_row, work.save(signatures(by_row, k, n_hashes)), k, percent, rows, work).drop("kept"))
+    ids = numbered.filter("row is not null").select(F.col("row").alias("at"), F.col("doc_id").alias("id"))
+    rest = found.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("at")).select("id", "n_shingles", "component_id")
+    least = rest.groupBy("component_id").agg(F.min("id").alias("least"))
+    known = rest.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    return known.unionByName(found.filter("doc_id is null").withColumn("kept", F.lit(True)))
+
+
+def _grouped(docs: DataFrame, sigs: DataFrame, k: int, percent: int, rows: int, work: Work) -> DataFrame:
+    """The same where rows with equal ids have equal texts."""
+    bands = bands_for(percent, rows)
+    n_hashes = bands * rows
     linkable = sigs.filter("doc_id is not null and n > 0")
     classes = linkable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     reps = work.save(linkable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).select("doc_id", "n", "sig"))
