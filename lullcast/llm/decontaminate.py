@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import small_batches
+from .work import Work, small_batches
 
 ERROR_RATE = 0.05
 MIN_ITEM = 20
@@ -145,22 +145,25 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded size; only one is on the driver at a time."""
-    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna()
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+def _blocks(texts: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """The distinct texts (``k, t``) in blocks of bounded size; only one is on the driver at a time."""
+    total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
-        yield sorted((r.i, normalise(r.t)) for r in part.collect())
+        part = texts if n == 1 else texts.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
+        yield sorted((r.k, normalise(r.t)) for r in part.collect())
 
 
 def edit_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, min_item: int = MIN_ITEM) -> DataFrame:
     """``doc_id, item_id, distance, match_end, budget`` for every item within its edit budget in a document."""
     small_batches(docs.sparkSession)
+    work = Work(docs.sparkSession)
     out = None
     names = ["doc_id", "item_id", "distance", "match_end", "budget"]
-    for block in _blocks(items, item_id, item_text):
+    listed = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).dropna()
+    # repeated texts are sought once, under a number of their own
+    texts = work.save(listed.select("t").distinct().withColumn("k", F.monotonically_increasing_id()))
+    for block in _blocks(texts):
         wanted = docs.sparkSession.sparkContext.broadcast([(i, x) for i, x in block if x])
         del block
 
@@ -172,7 +175,7 @@ def edit_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
         part = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumnRenamed("item_id", "k").join(listed.join(texts, "t").select("k", F.col("i").alias("item_id")), "k").select(*names)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

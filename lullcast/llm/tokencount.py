@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +46,24 @@ def encoding(data: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+#: Fixed value: what the pattern takes for white space, in runs that its look-ahead can't hold on the encoder's stack.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def encode(text: str, encoder) -> list[int]:
+    """The tokens of ``text``; a very long run of white space, up to the character before what follows, is one piece of the pattern and is merged alone."""
+    out, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encoder.encode_ordinary(text[at : run.start()]) + encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:])
+
+
 def spans(text: str, coder) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of the tokens of ``text``; a token that holds part of a character's bytes spans that character."""
     encoder, sizes = coder
-    end = np.cumsum(sizes[np.array(encoder.encode_ordinary(text), np.int64)])
+    end = np.cumsum(sizes[np.array(encode(text, encoder), np.int64)])
     if not len(end):
         return end, end
     start = np.concatenate([[0], end[:-1]])

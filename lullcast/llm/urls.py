@@ -167,17 +167,26 @@ def fit(pages: DataFrame, url: str = "url", sample: int = SAMPLE) -> Filter:
     return Filter([(r.u, r.y) for r in rows], rates, prior, stats.filter("not often").select("suffix", "rate"), [r.rate for r in rows])
 
 
+def _unused(names: list[str], stem: str) -> str:
+    """A column name that the table doesn't have in any case."""
+    taken = {n.lower() for n in names}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model: Filter | None = None) -> DataFrame:
     """Adds ``host, path, rule, score, verdict``."""
     model = model or fit(pages, url)
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
     plain, trees, prior = pages.select(*names), model.trees, model.prior
-    often = F.broadcast(pages.sparkSession.createDataFrame(list(model.rates.items()), "_suffix string, _rate double"))
-    rated = plain.withColumn("_suffix", suffix_of(F.col(url)))
+    suffix, rate = _unused(names, "suffix"), _unused(names, "rate")
+    often = F.broadcast(pages.sparkSession.createDataFrame(list(model.rates.items()), f"`{suffix}` string, `{rate}` double"))
+    rated = plain.withColumn(suffix, suffix_of(F.col(url)))
     # common suffixes stay where they are, so no key of the exchange has many rows
-    seldom = rated.join(often, "_suffix", "left_anti")
-    seldom = seldom.withColumn("_rate", F.lit(None).cast("double")) if model.rare is None else seldom.join(model.rare.toDF("_suffix", "_rate"), "_suffix", "left")
-    rated = rated.join(often, "_suffix").select(*names, "_rate").unionByName(seldom.select(*names, "_rate"))
+    seldom = rated.join(often, suffix, "left_anti")
+    seldom = seldom.withColumn(rate, F.lit(None).cast("double")) if model.rare is None else seldom.join(model.rare.toDF(suffix, rate), suffix, "left")
+    rated = rated.join(often, suffix).select(*names, rate).unionByName(seldom.select(*names, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
