@@ -44,16 +44,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays.
+
+    Rows that share an id are documents of their own, and grouped by their texts; of a group's
+    rows with the smallest id the one whose digest is smallest stays.  Rows
+    with a null id stay.
+    """
     work = Work(spark)
-    groups = minhash.near_duplicates(docs)
-    gone = work.save(groups.filter("not kept").select("doc_id").distinct())
-    left = _without(docs, gone)
-    repeated = work.save(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        groups = minhash.near_duplicates(docs)
+        return _without(docs, work.save(groups.filter("not kept").select("doc_id").distinct()))
+    names = docs.columns
+    row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = work.save(docs.select(row.alias("row"), F.struct(*names).alias("it")))
+    groups = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("it.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("it.doc_id").alias("id"), F.sha2(F.to_json("it"), 256).alias("digest"), "row")
+    first = groups.filter("row is not null").join(rows.select("row", order.alias("order")), "row").groupBy("component_id").agg(F.min("order").alias("first"))
+    kept = rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").unionByName(rows.filter("row is null"))
+    return kept.select("it.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
