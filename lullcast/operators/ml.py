@@ -48,6 +48,42 @@ def importances(spark, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, model.stages[-1].featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
+def trees(model: PipelineModel) -> list:
+    """A fitted ensemble as plain values: each tree is its leaf's value or ``(feature, threshold, at most, above)``, thresholds on the features' own scale."""
+    names, scaler, ensemble = model.stages[-3].getInputCols(), model.stages[-2], model.stages[-1]
+    mean, std = scaler.mean.toArray(), scaler.std.toArray()
+
+    def plain(node):
+        if node.subtreeDepth() == 0:
+            return float(node.prediction())
+        i = node.split().featureIndex()
+        return names[i], float(node.split().threshold() * std[i] + mean[i]), plain(node.leftChild()), plain(node.rightChild())
+
+    return [plain(t._call_java("rootNode")) for t in ensemble.trees]
+
+
+def as_sql(forest: list) -> str:
+    """The mean of the trees' values as one SQL expression over the features' columns, not below 0; rows with a null feature have null."""
+
+    def number(x) -> str:
+        return f"{float(x):.17g}" + ("" if "e" in f"{float(x):.17g}" else "e0")  # a double in every dialect
+
+    def case(t) -> str:
+        return number(t) if not isinstance(t, tuple | list) else f"CASE WHEN {t[0]} <= {number(t[1])} THEN {case(t[2])} ELSE {case(t[3])} END"
+
+    def used(t) -> set[str]:
+        return set() if not isinstance(t, tuple | list) else {t[0]} | used(t[2]) | used(t[3])
+
+    known = " AND ".join(f"{c} IS NOT NULL" for c in sorted(set().union(*map(used, forest))))
+    value = f"greatest(0.0e0, ({' + '.join(map(case, forest))}) / {number(len(forest))})"
+    return f"CASE WHEN {known} THEN {value} END" if known else value
+
+
+def frozen(matrix: DataFrame, forest: list, name: str = "pred_sum") -> DataFrame:
+    """Adds a stored forest's prediction as an expression: no model object, no other pass than the scan's."""
+    return matrix.withColumn(name, F.expr(as_sql(forest)))
+
+
 def grid(matrix: DataFrame, train_end: int, val_end: int, options: list[dict], kind: str = "forest") -> DataFrame:
     """Pooled validation error of each parameter set, one fit each; the best is first (ties to the smaller settings)."""
     out = None

@@ -74,6 +74,13 @@ def exact_quantiles(rows: DataFrame, value: str, by: list[str], shares: tuple[fl
     return quantiles_of(counted_below(counts, value, by), value, by, shares, name)
 
 
+def medians(rows: DataFrame, columns: list[str], by: list[str], prefix: str = "") -> DataFrame:
+    """``by`` and each column's median, nulls left out; all columns go through one count, and no task holds a group's values."""
+    long = rows.unpivot(by, columns, "_column", "_value")
+    found = exact_quantiles(long, "_value", [*by, "_column"], (0.5,))
+    return found.groupBy(*by).pivot("_column", columns).agg(F.first(F.col("q")[0])).select(*by, *(F.col(c).alias(prefix + c) for c in columns))
+
+
 def global_row_number(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """1-based position in the order of (value, tie), nulls last.
 

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dist import chi2_upper_2, normal_upper, signed_rank_upper
+from ..functions.dist import EXACT, SIGNED_RANK_SQL, chi2_upper_2, normal_upper, normal_upper_sql, signed_rank_upper
 from ..operators import accuracy, classify, features, forecast, origins, policy, sampling, stats
 from ..operators.panel import event_rows
+from ..operators.ranks import medians
+from ..sources import artefacts
+from ..sources.shared import keep
 from .base import EV, LUMPY, STATS, events, query, table, tidy, with_, with_recursive
 from .panels import LISTS, ORIGINS, croston_sql
 
@@ -27,8 +30,8 @@ def _inputs(spark, sf):
     return origins.split_days(forecast.forecasts(p, MODELS, HORIZON), windows)
 
 
-def _errors(spark, sf):
-    return _inputs(spark, sf).filter("split = 'val'").withColumn("err", F.col("actual") - F.round("pred_sum", 6)).filter("err is not null")
+def _errors(spark, sf, rows=None):
+    return (_inputs(spark, sf) if rows is None else rows).filter("split = 'val'").withColumn("err", F.col("actual") - F.round("pred_sum", 6)).filter("err is not null")
 
 
 def _levels(spark, sf):
@@ -282,9 +285,13 @@ rel as (select sku_id, origin, cs, fill_target, round(a, 6) as a, round(b, 6) as
 
 
 def _relative(spark, sf):
-    """Paired costs of both models at equal service: difference, and share of the second model's cost."""
-    w = _equal(spark, sf).groupBy("sku_id", "origin", "cs", "fill_target").pivot("model", list(MODELS)).agg(F.first("cost_at_target")).na.drop()
-    a, b = F.round("ma7", 6), F.round("croston_sba", 6)
+    """Paired costs of both models at equal service: difference, and share of the second model's cost; stored, since tests read it several times."""
+    return keep(_paired(_equal(spark, sf), MODELS))
+
+
+def _paired(equal, models):
+    w = equal.groupBy("sku_id", "origin", "cs", "fill_target").pivot("model", list(models)).agg(F.first("cost_at_target")).na.drop()
+    a, b = (F.round(m, 6) for m in models)
     return w.select("sku_id", "origin", "cs", "fill_target", a.alias("a"), b.alias("b")).filter("b <> 0").withColumns({"diff": F.round(F.col("a") - F.col("b"), 6), "rel": F.round((F.col("a") - F.col("b")) / F.col("b"), 9)})
 
 
@@ -314,12 +321,33 @@ def h1_relative_cost(spark, sf):
     return tidy(_h1(spark, sf).drop("mean_diff", "n_neg"))
 
 
-@query("wilcoxon_pvalue")
+def _holm_sql(source: str, p: str, name: str, by: str = "") -> str:
+    """``source`` with the step-down adjusted ``p`` over its rows, within ``by``."""
+    part = f"partition by {by} " if by else ""
+    return f"""
+{name} as (select *, case when {p} is not null then least(1.0, max((m - rn + 1) * {p}) over ({part}order by rn rows unbounded preceding)) end as {p}_holm
+  from (select *, row_number() over ({part}order by {p} nulls last) as rn, count({p}) over ({"partition by " + by if by else ""}) as m from {source}))
+"""
+
+
+_H1_P = (
+    _wilcoxon_sql("(select * from rel where cs = 5 and fill_target = 0.95)", "origin", "rel"),
+    f"h1p as (select w.*, {normal_upper_sql('-z')} as p_less, (select round(avg(cast(rel < 0 as int)) * 100, 6) from rel r where cs = 5 and fill_target = 0.95 and r.origin = w.origin) as pct_cheaper from wilcoxon w)",
+    _holm_sql("h1p", "p_less", "h1"),
+)
+
+
+def _with_p(h1):
+    """One-sided p of H1 by the normal tail, and Holm over its rows: one for each origin, bounded and read several times."""
+    return stats.holm(artefacts.here(h1.withColumn("z", F.round("z", 6)).withColumn("p_less", normal_upper(-F.col("z")))), "p_less", name="p_less_holm").withColumn("supported", F.coalesce(F.col("p_less_holm") < 0.05, F.lit(False)))
+
+
+@query("wilcoxon_pvalue", with_recursive(*_ALL, _REL, *_H1_P, SIGNED_RANK_SQL) + f"""select origin, n_pairs, n, w_pos, w_neg, z, r_rank_biserial, round(median_diff, 6) as median_diff, pct_cheaper, round(p_less, 9) as p_less, round(p_less_holm, 9) as p_less_holm, coalesce(p_less_holm < 0.05, false) as supported,
+ case when n between 1 and {EXACT} then round((select coalesce(sum(ways), 0) from signed_rank s where s.n = h1.n and s.w >= w_neg) / power(2.0, n), 9) end as p_exact from h1""")
 def wilcoxon_pvalue(spark, sf):
-    """H1 with one-sided p (normal tail, and exact for untied differences) and Holm over origins."""
-    h1 = _h1(spark, sf).withColumns({"p_less": normal_upper(-F.col("z")), "p_exact": F.when(F.col("n") <= 50, signed_rank_upper("w_neg", F.col("n").cast("double")))})
-    h1 = spark.createDataFrame(h1.collect(), h1.schema)  # a row for each origin, which Holm's steps read several times
-    return tidy(stats.holm(h1, "p_less").drop("n_neg")).withColumn("supported", F.col("p_holm") < 0.05)
+    """H1 with one-sided p (normal tail, and exact for few untied differences) and Holm over origins."""
+    h1 = _with_p(_h1(spark, sf)).withColumn("p_exact", signed_rank_upper("w_neg", "n"))
+    return tidy(h1.drop("n_neg", "mean_diff"), p_less=9, p_less_holm=9, p_exact=9)
 
 
 _TREND = """
@@ -350,22 +378,47 @@ def friedman_statistic(spark, sf):
 select origin, count(*) as n, round(quantile_cont(t90, 0.5), 6) as median_90, round(quantile_cont(t95, 0.5), 6) as median_95, round(quantile_cont(t98, 0.5), 6) as median_98, round(max(w.median_diff), 6) as median_delta,
  quantile_cont(t90, 0.5) < quantile_cont(t95, 0.5) and quantile_cont(t95, 0.5) < quantile_cont(t98, 0.5) as rising, max(w.z) as contrast_z from full3 join wilcoxon w using (origin) group by 1""")
 def h2_trend(spark, sf):
-    t = _trend(spark, sf).na.drop()
-    half = F.lit(0.5)
-    med = t.groupBy("origin").agg(F.count("*").alias("n"), F.percentile("t90", half).alias("median_90"), F.percentile("t95", half).alias("median_95"), F.percentile("t98", half).alias("median_98"))
+    t = keep(_trend(spark, sf).na.drop())
+    med = t.groupBy("origin").agg(F.count("*").alias("n")).join(medians(t, ["t90", "t95", "t98"], ["origin"]).toDF("origin", "median_90", "median_95", "median_98"), "origin")
     contrast = stats.wilcoxon(t.withColumn("delta", F.round(F.col("t98") - F.col("t90"), 9)), ["origin"], "delta").select("origin", F.col("median_diff").alias("median_delta"), F.col("z").alias("contrast_z"))
     rising = (F.col("median_90") < F.col("median_95")) & (F.col("median_95") < F.col("median_98"))
     return tidy(med.withColumn("rising", rising).join(contrast, "origin"))
 
 
-@query("h2_pvalues")
+_H2_P = (
+    _wilcoxon_sql("(select origin, round(t98 - t90, 9) as delta from full3)", "origin", "delta"),
+    "paged as (select origin, (sum(r1 + 2 * r2 + 3 * r3) - count(*) * 3 * 16 / 4.0) / sqrt(count(*) * 9 * 4 * 8 / 144.0) as page_z from full3 group by 1)",
+    """fried as (select origin, count(*) as n, sum(r1) as s1, sum(r2) as s2, sum(r3) as s3, sum(case when t90 = t95 and t95 = t98 then 24.0 when t90 = t95 or t95 = t98 or t90 = t98 then 6.0 else 0.0 end) as ties from full3 group by 1)""",
+    f"""h2p as (select p.origin, cast(f.n as bigint) as n, page_z, w.z as contrast_z, w.median_diff as median_delta, {normal_upper_sql("page_z")} as p_page, case when w.n_pairs >= 5 then {normal_upper_sql("w.z")} end as p_contrast,
+  case when f.n >= 5 then exp(-(12.0 / (f.n * 12) * (s1 * s1 + s2 * s2 + s3 * s3) - 12 * f.n) / nullif(1 - ties / (f.n * 24.0), 0) / 2) end as p_friedman from paged p join fried f using (origin) join wilcoxon w using (origin))""",
+    _holm_sql("h2p", "p_page", "h2a"),
+    _holm_sql("(select * exclude (rn, m) from h2a)", "p_contrast", "h2b"),
+    """h2 as (select h2b.*, m90 < m95 and m95 < m98 as rising, m90, m95, m98, coalesce(p_page_holm < 0.05, false) and m90 < m95 and m95 < m98 as supported
+  from h2b join (select origin, quantile_cont(t90, 0.5) as m90, quantile_cont(t95, 0.5) as m95, quantile_cont(t98, 0.5) as m98 from full3 group by 1) using (origin))""",
+)
+_H2_OUT = "select origin, n, round(page_z, 6) as page_z, round(contrast_z, 6) as contrast_z, round(median_delta, 6) as median_delta, round(m90, 6) as median_t90, round(m95, 6) as median_t95, round(m98, 6) as median_t98, rising, round(p_page, 9) as p_page, round(p_page_holm, 9) as p_page_holm, round(p_contrast, 9) as p_contrast, round(p_contrast_holm, 9) as p_contrast_holm, round(p_friedman, 9) as p_friedman, supported from h2"
+
+
+def _h2(trend):
+    """H2 of a table of relative costs ``t90, t95, t98``: trend, contrast and Friedman p, Holm over origins, medians and the verdict."""
+    t = keep(trend.na.drop())
+    names = ["t90", "t95", "t98"]
+    page = stats.page(t, names, ["origin"]).select("origin", "n", "page_z", normal_upper("page_z").alias("p_page"))
+    contrast = stats.wilcoxon(t.withColumn("delta", F.round(F.col("t98") - F.col("t90"), 9)), ["origin"], "delta")
+    contrast = contrast.withColumn("z", F.round("z", 6)).select("origin", F.col("median_diff").alias("median_delta"), F.col("z").alias("contrast_z"), F.when(F.col("n_pairs") >= 5, normal_upper("z")).alias("p_contrast"))
+    fr = stats.friedman(t, names, ["origin"]).select("origin", chi2_upper_2(F.col("chi2")).alias("p_friedman"))
+    df = artefacts.here(page.join(contrast, "origin").join(fr, "origin").join(medians(t, names, ["origin"], "median_"), "origin"))
+    df = artefacts.here(stats.holm(df, "p_page", name="p_page_holm"))
+    df = stats.holm(df, "p_contrast", name="p_contrast_holm")
+    rising = (F.col("median_t90") < F.col("median_t95")) & (F.col("median_t95") < F.col("median_t98"))
+    df = df.withColumn("rising", rising).withColumn("supported", F.coalesce(F.col("p_page_holm") < 0.05, F.lit(False)) & F.col("rising"))
+    return tidy(df, **{c: 9 for c in df.columns if c.startswith("p_")})
+
+
+@query("h2_pvalues", with_recursive(*_ALL, _REL, _TREND, *_H2_P) + _H2_OUT)
 def h2_pvalues(spark, sf):
-    """Page and contrast p, each with Holm over origins; Friedman's p from its chi-square with two degrees of freedom."""
-    t = _trend(spark, sf)
-    df = stats.page(t, ["t90", "t95", "t98"], ["origin"]).withColumn("p_page", normal_upper("page_z"))
-    df = spark.createDataFrame(df.collect(), df.schema)  # a row for each origin
-    fr = stats.friedman(t, ["t90", "t95", "t98"], ["origin"]).select("origin", chi2_upper_2(F.col("chi2")).alias("p_friedman"))
-    return tidy(stats.holm(df, "p_page", name="p_page_holm").join(fr, "origin"))
+    """Page, contrast and Friedman p; the first two with Holm over origins; medians by target and the verdict."""
+    return _h2(_trend(spark, sf))
 
 
 @query("holm_adjust", """with f as (select p_partkey as i, p_partkey % 2 as family, (p_partkey * 7919 % 1000) / 1000.0 as p from part),
@@ -385,11 +438,12 @@ def hodges_lehmann(spark, sf):
 @query("mann_whitney_statistic", with_recursive(*_ALL, """g as (select e.origin, s.adi, not e.covered as grp from eq e join stats s using (sku_id) where e.model = 'ma7' and cs = 5 and fill_target = 0.98)""", """
 mr as (select origin, grp, rank() over (partition by origin order by adi) + (count(*) over (partition by origin, adi) - 1) / 2.0 as r, count(*) over (partition by origin, adi) as t from g)""") + """
 select origin, count(*) filter (where grp) as n1, count(*) filter (where not grp) as n2, cast(sum(r) filter (where grp) - count(*) filter (where grp) * (count(*) filter (where grp) + 1) / 2.0 as double) as u,
- round((sum(r) filter (where grp) - count(*) filter (where grp) * (count(*) filter (where grp) + 1) / 2.0 - count(*) filter (where grp) * count(*) filter (where not grp) / 2.0) / sqrt(count(*) filter (where grp) * count(*) filter (where not grp) / 12.0 * (count(*) + 1 - sum(t * t - 1) / (count(*) * (count(*) - 1.0)))), 6) as z from mr group by 1""")
+ round((sum(r) filter (where grp) - count(*) filter (where grp) * (count(*) filter (where grp) + 1) / 2.0 - count(*) filter (where grp) * count(*) filter (where not grp) / 2.0) / sqrt(count(*) filter (where grp) * count(*) filter (where not grp) / 12.0 * (count(*) + 1 - sum(t * t - 1) / (count(*) * (count(*) - 1.0)))), 6) as z from mr group by 1""".replace("select origin, count(*) filter (where grp) as n1", f"select *, round({normal_upper_sql('z')}, 9) as p_greater from (select origin, count(*) filter (where grp) as n1") + ")")
 def mann_whitney_statistic(spark, sf):
     s = classify.series_stats(events(spark, sf)).select("sku_id", "adi")
     rows = _equal(spark, sf).filter("model = 'ma7' and cs = 5 and fill_target = 0.98").select("sku_id", "origin", (~F.col("covered")).alias("grp")).join(s, "sku_id")
-    return tidy(stats.mann_whitney(rows, "adi", "grp", ["origin"]))
+    out = tidy(stats.mann_whitney(rows, "adi", "grp", ["origin"]))
+    return tidy(out.withColumn("p_greater", normal_upper("z")), p_greater=9)
 
 
 def _boot_sql(by: str, draws: int, unit: str) -> str:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.dist import normal_upper
-from ..operators import accuracy, classify, features, forecast, ml, origins, policy, sampling, stats
+from ..operators import accuracy, classify, features, forecast, ml, origins, policy, ranks, sampling, stats
 from ..operators.panel import active
 from ..sources import artefacts
+from ..sources.shared import keep
 
 #: The forest over all series against a rate for each series.
 MODELS = ("rf", "croston_sba")
@@ -40,7 +41,7 @@ def forecasts(panel: DataFrame, sample: DataFrame, cfg: Config, models: tuple[st
     rates = tuple(m for m in models if m != "rf")
     parts = [origins.split_days(forecast.forecasts(rows, rates, horizon), windows).select(*columns)] if rates else []
     if "rf" in models:
-        matrix = features.matrix(rows, horizon)
+        matrix = keep(features.matrix(rows, horizon))  # every fit and prediction reads it
         for o in windows.collect():  # a row for each origin
             for split, until, last in (("val", o.train_end, o.val_end), ("test", o.val_end, o.test_end)):
                 found = ml.predict(ml.fit(matrix, until - horizon), matrix, until + 1, last).select("sku_id", "day", "pred_sum")
@@ -62,11 +63,6 @@ def results(panel: DataFrame, stored: DataFrame, cfg: Config, models: tuple[str,
     return {"accuracy": accuracy.metrics(stored, scale, daily=True), "costs": costs, "equalised": policy.at_equal_service(costs, cfg.policy.targets)}
 
 
-def _here(df: DataFrame) -> DataFrame:
-    """A table with a row for each origin, made once: corrections over it read it several times."""
-    return df.sparkSession.createDataFrame(artefacts.few(df), df.schema)
-
-
 def tests(equal: DataFrame, cfg: Config, models: tuple[str, str] = MODELS) -> dict[str, DataFrame]:
     """H1: is the first model cheaper at the middle target; H2: does the relative difference rise with the target."""
     a, b = models
@@ -74,15 +70,15 @@ def tests(equal: DataFrame, cfg: Config, models: tuple[str, str] = MODELS) -> di
     relative = paired.withColumn("rel", (F.col(a) - F.col(b)) / F.col(b)).filter(F.col("cs") == cfg.policy.scenarios[0][0])
     targets = list(cfg.policy.targets)
     h1 = stats.wilcoxon(relative.filter(F.col("fill_target") == targets[min(1, len(targets) - 1)]), ["origin"], "rel", least=5)
-    h1 = stats.holm(_here(h1.withColumn("p", normal_upper(-F.col("z"))))).withColumn("supported", F.coalesce(F.col("p_holm") < 0.05, F.lit(False)))
+    h1 = stats.holm(artefacts.here(h1.withColumn("p", normal_upper(-F.col("z"))))).withColumn("supported", F.coalesce(F.col("p_holm") < 0.05, F.lit(False)))
     names = [f"t{i}" for i in range(len(targets))]
     trend = relative.groupBy("sku_id", "origin").pivot("fill_target", targets).agg(F.first("rel")).toDF("sku_id", "origin", *names).na.drop()
-    half = F.lit(0.5)
-    medians = trend.groupBy("origin").agg(*(F.percentile(c, half).alias(f"median_{c}") for c in names))
+    trend = keep(trend)
+    medians = ranks.medians(trend, names, ["origin"], "median_")
     rising = reduce(lambda x, y: x & y, [F.col(f"median_{u}") < F.col(f"median_{v}") for u, v in zip(names, names[1:], strict=False)], F.lit(True))
     contrast = stats.wilcoxon(trend.withColumn("delta", F.col(names[-1]) - F.col(names[0])), ["origin"], "delta", least=5).select("origin", F.col("median_diff").alias("median_delta"), normal_upper("z").alias("p_contrast"))
     h2 = stats.page(trend, names, ["origin"]).withColumn("p_page", normal_upper("page_z")).join(contrast, "origin").join(medians, "origin").withColumn("rising", rising)
-    h2 = stats.holm(_here(stats.holm(_here(h2), "p_page", name="p_page_holm")), "p_contrast", name="p_contrast_holm")
+    h2 = stats.holm(artefacts.here(stats.holm(artefacts.here(h2), "p_page", name="p_page_holm")), "p_contrast", name="p_contrast_holm")
     return {"h1": h1, "h2": h2.withColumn("supported", F.coalesce((F.col("p_page_holm") < 0.05) & F.col("rising"), F.lit(False)))}
 
 

@@ -21,6 +21,11 @@ def few(df: DataFrame) -> list:
     return rows
 
 
+def here(df: DataFrame) -> DataFrame:
+    """A report's rows as a table of their own: corrections over it read it several times."""
+    return df.sparkSession.createDataFrame(few(df), df.schema)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes))
 
