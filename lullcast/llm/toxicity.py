@@ -8,8 +8,8 @@ the whole text; a document's score is that of its highest window.
 
 Training is numpy only, on the driver, from a bounded sample of labelled rows:
 ``SAMPLE`` of each label at most (twice as many of label 0), the first in hash
-order, texts of any length, read whole, up to ``TRAIN_CHARS`` characters (longer ones
-are passed over before the sample is taken, so that the driver's memory has a bound).
+order, texts of any length; of a long one ``PARTS`` parts of ``PART`` characters are
+trained on, so that the driver's memory has a bound.
 First every window takes its document's label, then only the highest windows do.  The
 cut at which the probability is one half comes from a fifth of the sample that the
 weights have not seen.
@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -34,7 +34,9 @@ from .work import small_batches
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT, BUCKETS = 8, 12, 1 << 14
-SAMPLE, TRAIN_CHARS = 1200, 200_000
+SAMPLE = 1200
+#: Of a longer text the network is trained on so many parts of so many characters, evenly spread from its first to its last.
+PARTS, PART = 10, 2_000
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
@@ -295,15 +297,27 @@ def middle(logits: np.ndarray, y: np.ndarray, cost: float = 5.0) -> float:
     return (least + float(np.quantile(s[label == 0], 0.99) + np.quantile(s[label == 1], 0.02)) / 2) / 2
 
 
+def parts_of(text) -> Column:
+    """A text as it is trained on: whole, or ``PARTS`` parts of it."""
+    n = F.char_length(text)
+    at = lambda i: F.floor(i * (n - PART) / (PARTS - 1)).cast("int") + 1
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, at(i), F.lit(PART)))
+    return F.when(n <= PARTS * PART, text).otherwise(F.array_join(spread, "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, usable=None) -> Network:
-    """A network from a bounded sample of labelled rows, of those for which ``usable`` (a column expression) holds."""
+    """A network from a bounded sample of labelled rows, of those for which ``usable`` (a column expression) holds.
+
+    At most ``sample`` texts with label 1 and twice as many with label 0, of any length, come to
+    the driver, of each at most ``PARTS * PART`` characters: 72 million at most by default.
+    """
     rows = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y in (0, 1)")
     rows = rows.filter(usable) if usable is not None else rows
-    own = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).filter(F.length("t") <= TRAIN_CHARS)
+    own = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).filter("t is not null")
     known = rows.join(own.select("i").distinct(), "i", "left_semi")
     first = lambda y, n: known.filter(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(17)), "i").limit(n)
     chosen = F.broadcast(first(1, sample).unionByName(first(0, 2 * sample)))  # 3 * sample ids at most
-    found = sorted((r.i, r.y, r.t) for r in own.join(chosen, "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect())
+    found = sorted((r.i, r.y, r.t) for r in own.join(chosen, "i").groupBy("i", "y").agg(F.min(parts_of(F.col("t"))).alias("t")).collect())
     return train([t for _, _, t in found], [y for _, y, _ in found])
 
 
