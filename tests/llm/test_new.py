@@ -286,6 +286,15 @@ def test_a_memo_hit_of_other_bytes_is_not_taken(monkeypatch):
     assert machine.decode(ids, at) == texts
 
 
+def test_long_texts_are_trained_on_in_parts(spark):
+    text = "".join(chr(97 + i % 26) for i in range(30_000))
+    rows = table(spark, [(1, text), (2, "short é"), (3, ""), (4, None), (5, "é" * 20_000)])
+    got = {r.doc_id: r.p for r in rows.select("doc_id", toxicity.parts_of(F.col("text")).alias("p")).collect()}
+    parts = got[1].split("\n")
+    assert (got[2], got[3], got[4], got[5]) == ("short é", "", None, "é" * 20_000)
+    assert len(parts) == 10 and all(len(x) == 2_000 for x in parts) and parts[0] == text[:2_000] and parts[-1] == text[-2_000:]
+
+
 # --- repeated ids, clashing names, very long runs ---------------------------------------------
 
 
