@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -504,22 +502,6 @@ def pairwise_models(spark, sf):
     return tidy(stats.wilcoxon(rows, by).select(*by, "n_pairs", "n", "z").join(each, by), 6, median_a=3, median_b=3)
 
 
-#: Sensitivity variants: how the simulation and the billing differ from the base.
-VARIANTS = {"base": ({}, {}), "ceil": ({"rounding": "ceil"}, {}), "moq16": ({"rounding": "moq", "moq": 16.0}, {}), "zero_start": ({"start": "zero"}, {}), "lead3": ({"lead": 3}, {}), "review2": ({"review": 2}, {}), "warmup3": ({}, {"warmup": 3}), "unbounded": ({}, {"bounded": False})}
-
-
-@query("sensitivity_variants")
-def sensitivity_variants(spark, sf):
-    """Median cost and fill rate by variant and model at tau 0.95; a lead or review time that changes the horizon gets a status row."""
-    levels = _levels(spark, sf).filter("tau = 0.95")
-    parts = []
-    for name, (sim, bill) in VARIANTS.items():
-        df = policy.with_costs(policy.summarise(policy.simulate_net(levels, **sim), horizon=HORIZON, **bill), ((5.0, 1.0),))
-        status = "needs own forecasts" if sim.get("lead", 2) + sim.get("review", 1) != HORIZON else "ok"
-        parts.append(df.groupBy("model").agg(F.count("*").alias("n"), F.percentile("cost_total", F.lit(0.5)).alias("cost_median"), F.percentile("fill_rate", F.lit(0.5)).alias("fill_median")).withColumns({"variant": F.lit(name), "status": F.lit(status)}))
-    return tidy(reduce(lambda a, b: a.unionByName(b), parts), 3)
-
-
 @query("sampled_trace", with_recursive(*_BASE, _SS, _sim(), _TRACE) + f"select {_TRACE_COLS} from trace where tau = 0.95 and sku_id in (select sku_id from lumpy order by md5('42' || sku_id), sku_id limit 3)")
 def sampled_trace(spark, sf):
     few = sampling.simple(classify.classified(events(spark, sf)).filter("lumpy").select("sku_id"), 3)
