@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .features import matrix as feature_matrix
+
 FEATURES = ("lag_1", "lag_2", "lag_7", "rolling_mean_3", "rolling_mean_7", "rolling_std_7", "dow", "is_weekend", "is_event", "snap", "event_h", "snap_h", "weekend_h")
 
 
@@ -62,19 +64,19 @@ def trees(model: PipelineModel) -> list:
     return [plain(t._call_java("rootNode")) for t in ensemble.trees]
 
 
-def as_sql(forest: list) -> str:
-    """The mean of the trees' values as one SQL expression over the features' columns, not below 0; rows with a null feature have null."""
+def as_sql(forest: list, before: str = "") -> str:
+    """The mean of the trees' values as one SQL expression over the features' columns (``before``: what their names follow), not below 0; rows with a null feature have null."""
 
     def number(x) -> str:
         return f"{float(x):.17g}" + ("" if "e" in f"{float(x):.17g}" else "e0")  # a double in every dialect
 
     def case(t) -> str:
-        return number(t) if not isinstance(t, tuple | list) else f"CASE WHEN {t[0]} <= {number(t[1])} THEN {case(t[2])} ELSE {case(t[3])} END"
+        return number(t) if not isinstance(t, tuple | list) else f"CASE WHEN {before}{t[0]} <= {number(t[1])} THEN {case(t[2])} ELSE {case(t[3])} END"
 
     def used(t) -> set[str]:
         return set() if not isinstance(t, tuple | list) else {t[0]} | used(t[2]) | used(t[3])
 
-    known = " AND ".join(f"{c} IS NOT NULL" for c in sorted(set().union(*map(used, forest))))
+    known = " AND ".join(f"{before}{c} IS NOT NULL" for c in sorted(set().union(*map(used, forest))))
     value = f"greatest(0.0e0, ({' + '.join(map(case, forest))}) / {number(len(forest))})"
     return f"CASE WHEN {known} THEN {value} END" if known else value
 
@@ -94,20 +96,40 @@ def grid(matrix: DataFrame, train_end: int, val_end: int, options: list[dict], k
     return out.orderBy("mae", "option")
 
 
-def recursive(panel: DataFrame, until: int, horizon: int, lags=(1, 2, 7), seed: int = 42) -> DataFrame:
-    """A one-step forest applied ``horizon`` times on its own predictions, from every series' last day ``until``.
+#: Days that the state of a recursion holds: what the longest lag and rolling feature reach back to.
+DEPTH = 7
+
+
+def one_step(panel: DataFrame) -> DataFrame:
+    """The feature matrix whose target is the next day's demand alone."""
+    return feature_matrix(panel, 1)
+
+
+def recursive(panel: DataFrame, forest: list, horizon: int) -> DataFrame:
+    """Adds ``steps`` and ``pred_sum``: a one-day forest applied ``horizon`` times on its own predictions, from every day of every series.
 
-    The state is one row for each series: an array of its last days.  Each step is one pass of the model.
+    A day's state is one array, its series' last ``DEPTH`` days.  A step makes lags and rolling
+    features from the array, whose end the predictions become; the calendar of the days ahead is
+    known.  The steps are a fold within the row, so all starts take them in one pass.  A start whose
+    state or calendar is not whole has null.
     """
     w = W.partitionBy("sku_id").orderBy("day")
-    depth = max(lags)
-    one = panel.withColumns({f"lag_{n}": F.lag("demand", n - 1).over(w) for n in lags} | {"dow": F.weekday("date"), "target": F.lead("demand").over(w)})
-    names = [*(f"lag_{n}" for n in lags), "dow"]
-    model = fit(one, until - 1, "forest", tuple(names), (), seed, numTrees=10, maxDepth=5)
-    recent = panel.filter(F.col("day").between(until - depth + 1, until)).groupBy("sku_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "demand"))), lambda x: x["demand"]).alias("hist"), F.max("date").alias("date"))
-    state = recent.filter(F.size("hist") == depth).withColumn("total", F.lit(0.0))
-    for _ in range(horizon):
-        step = state.withColumns({f"lag_{n}": F.element_at("hist", -n) for n in lags} | {"dow": F.weekday("date")})
-        p = F.greatest("prediction", F.lit(0.0))
-        state = model.transform(step).select("sku_id", F.concat(F.slice("hist", 2, depth - 1), F.array(p)).alias("hist"), F.date_add("date", 1).alias("date"), (F.col("total") + p).alias("total"))
-    return state.select("sku_id", F.lit(until).alias("day"), F.col("total").alias("pred_sum"))
+    flag = {"is_event": F.col("event_name_1").isNotNull().cast("double"), "snap": F.col("snap").cast("double"), "is_weekend": (F.weekday("date") >= 5).cast("double")}
+    # each flag of today and of the days ahead
+    known = {f"_{n}": F.array(c, *(F.lead(c, k).over(w) for k in range(1, horizon + 1))) for n, c in flag.items()}
+    days = F.collect_list("demand").over(w.rowsBetween(1 - DEPTH, 0))
+    state = panel.withColumns({"_h": days, **known}).withColumn("_h", F.when(F.size("_h") == DEPTH, F.col("_h")))
+    total = lambda n, f="x": f"aggregate(slice(s.h, {DEPTH - n + 1}, {n}), 0e0, (a, x) -> a + {f})"
+    made = {
+        "lag_1": "s.h[6]", "lag_2": "s.h[5]", "lag_7": "s.h[0]", "rolling_mean_3": f"{total(3)} / 3e0", "rolling_mean_7": f"{total(7)} / 7e0",
+        "rolling_std_7": f"sqrt(greatest(7 * {total(7, 'x * x')} - power({total(7)}, 2), 0e0) / 42e0)",
+        "dow": "weekday(date_add(date, k))", "is_weekend": "_is_weekend[k]", "is_event": "_is_event[k]", "snap": "_snap[k]",
+        "event_h": "_is_event[k + 1]", "snap_h": "_snap[k + 1]", "weekend_h": "_is_weekend[k + 1]",
+    }
+    row = "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in made.items()) + ")"
+    # an array of one binds the features, then the prediction, to a name
+    step = f"transform(transform(array({row}), f -> {as_sql(forest, 'f.')}), p -> named_struct('h', concat(slice(s.h, 2, {DEPTH - 1}), array(p)), 'steps', concat(s.steps, array(p))))[0]"
+    fold = f"aggregate(sequence(0, {horizon - 1}), named_struct('h', _h, 'steps', cast(array() as array<double>)), (s, k) -> {step}, s -> s.steps)"
+    steps = F.when(F.col("_h").isNotNull(), F.expr(fold))
+    out = state.withColumn("steps", steps).withColumn("steps", F.when(~F.exists("steps", lambda x: x.isNull()), F.col("steps")))
+    return out.select(*panel.columns, "steps", F.aggregate("steps", F.lit(0.0), lambda a, x: a + x).alias("pred_sum"))

@@ -2,31 +2,97 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from ..operators import claims, classify, features, intermittent, ml, panel
+from ..operators import claims, classify, features, intermittent, ml, origins, panel
+from ..operators.panel import event_rows
 from ..sources import synthetic
-from .base import EV, STATS, events, query, tidy, with_
+from ..sources.shared import keep
+from .base import EV, STATS, events, query, table, tidy, with_
+from .boosted import fits
+from .panels import ORIGINS
 
 
 def _matrix(spark, sf):
     return features.matrix(events(spark, sf))
 
 
+#: Features known from a series' third day on, so that the first origin has days to learn from.
+_EARLY = ("lag_1", "lag_2", "rolling_mean_3", "dow", "is_weekend", "is_event", "snap")
+
+
+def _each_fit(spark, sf):
+    """For each origin and split: until which day is known, and the days to predict."""
+    return fits(origins.rolling_origins(event_rows(table(spark, sf, "events")))).orderBy("fit").collect()  # two rows for each origin
+
+
 @query("rf_direct_forecast")
 def rf_direct_forecast(spark, sf):
-    m = _matrix(spark, sf)
-    return tidy(ml.predict(ml.fit(m, 23), m, 24, 30))
+    """A forest for each origin and split, fitted on what was known, on all of its days."""
+    m = keep(_matrix(spark, sf))
+    parts = [ml.predict(ml.fit(m, f.until, "forest", _EARLY), m, f.first, f.last, _EARLY).withColumns({"origin": F.lit(f.origin), "split": F.lit(f.split)}) for f in _each_fit(spark, sf)]
+    return tidy(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @query("rf_importance")
 def rf_importance(spark, sf):
-    return tidy(ml.importances(spark, ml.fit(_matrix(spark, sf), 23)))
+    """Each feature's share in each fit."""
+    m = keep(_matrix(spark, sf))
+    parts = [ml.importances(spark, ml.fit(m, f.until, "forest", _EARLY)).withColumn("fit", F.lit(f.fit)) for f in _each_fit(spark, sf)]
+    return tidy(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @query("rf_recursive")
 def rf_recursive(spark, sf):
-    return tidy(ml.recursive(events(spark, sf), 23, 3))
+    """Fitted one-day forests on their own predictions, from every validation and test day of every origin."""
+    names = tuple(n for n in _EARLY)
+    p = events(spark, sf)
+    m = keep(ml.one_step(p))
+    parts = []
+    for f in _each_fit(spark, sf):
+        forest = ml.trees(ml.fit(m, f.until + 2, "forest", names, (), numTrees=6, maxDepth=4))  # a day's target is known two days later than three days'
+        parts.append(ml.recursive(p, forest, 3).filter(F.col("day").between(f.first, f.last)).select("sku_id", "day", F.lit(f.origin).alias("origin"), F.lit(f.split).alias("split"), "pred_sum"))
+    return tidy(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+#: A stored forest of four trees for one day ahead, fitted on the smallest tables.
+ONE_DAY = [
+    ("dow", 1.5,
+     ("rolling_mean_3", 538.83, ("lag_7", 15337.0, 2811.1, 8522.1), ("lag_2", 10875.5, 1390.7, 4973.0)),
+     ("lag_7", 11005.5, ("rolling_mean_7", 3613.93, 1885.5, 1034.3), ("event_h", 0.5, 5616.4, 636.3))),
+    ("lag_7", 15337.0,
+     ("dow", 1.5, ("lag_1", 8617.0, 2588.2, 4604.8), ("rolling_std_7", 1240.3, 1427.8, 2095.3)),
+     ("dow", 3.5, ("lag_1", 8617.0, 4003.8, 17668.6), ("rolling_mean_7", 3805.14, 502.4, 4177.2))),
+    ("rolling_std_7", 5.29,
+     ("dow", 4.5, ("is_event", 0.5, 7634.5, 2490.4), ("weekend_h", 0.5, 1401.1, 1213.7)),
+     ("lag_7", 11005.5, ("lag_2", 5630.0, 2144.0, 1718.5), ("rolling_mean_7", 2021.36, 10321.8, 2775.2))),
+    ("rolling_mean_3", 5422.5,
+     ("lag_2", 109.0, ("weekend_h", 0.5, 2729.1, 1847.8), ("event_h", 0.5, 1645.2, 600.0)),
+     ("weekend_h", 0.5, ("snap_h", 0.5, 433.5, 2017.2), ("lag_7", 3419.5, 1294.3, 5750.2))),
+]
+
+
+def _step_sql(k: int) -> str:
+    """Step k of the recursion: features of the state ``h`` and the known calendar, the prediction, the next state."""
+    return f"""
+p{k} as (select *, {ml.as_sql(ONE_DAY)} as p from (select * exclude (d0), h[7] as lag_1, h[6] as lag_2, h[1] as lag_7, list_sum(h[5:7]) / 3 as rolling_mean_3, list_sum(h) / 7 as rolling_mean_7,
+  sqrt(greatest(7 * list_sum(list_transform(h, lambda x: x * x)) - power(list_sum(h), 2), 0.0) / 42) as rolling_std_7, isodow(d0 + {k}) - 1 as dow, ev[{k + 1}] as is_event, ev[{k + 2}] as event_h, sn[{k + 1}] as snap, sn[{k + 2}] as snap_h, cast(isodow(d0 + {k + 1}) >= 6 as int) as weekend_h, d0 from s{k}) where h is not null),
+s{k + 1} as (select sku_id, day, d0, ev, sn, list_append(h[2:7], p) as h, total + p as total from p{k} where p is not null)"""
+
+
+_RECURSION = ",".join([f"""
+s0 as (select * from (select sku_id, day, date as d0, [cast(event_name_1 is not null as int), lead(cast(event_name_1 is not null as int), 1) over w, lead(cast(event_name_1 is not null as int), 2) over w, lead(cast(event_name_1 is not null as int), 3) over w] as ev,
+  [snap, lead(snap, 1) over w, lead(snap, 2) over w, lead(snap, 3) over w] as sn, case when day >= 7 then list(demand) over (partition by sku_id order by day rows between 6 preceding and current row) end as h, 0.0::double as total from panel window w as (partition by sku_id order by day)) where day <= (select max(day) from panel) - 3)""", *map(_step_sql, range(3))])
+
+
+@query("rf_recursive_frozen", with_(EV, ORIGINS, _RECURSION) + "select sku_id, day, origin, case when day <= val_end then 'val' else 'test' end as split, round(total, 4) as pred_sum from s3 join origins on day > train_end and day <= test_end")
+def rf_recursive_frozen(spark, sf):
+    """A stored one-day forest on its own predictions, from every validation and test day of every origin."""
+    rows = ml.recursive(events(spark, sf), ONE_DAY, 3).filter("pred_sum is not null")
+    split = origins.split_days(rows, origins.rolling_origins(event_rows(table(spark, sf, "events"))))
+    return tidy(split.select("sku_id", "day", "origin", "split", "pred_sum"), 4)
 
 
 @query("gbt_forecast")
