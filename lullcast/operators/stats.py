@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import average_rank, counted_below, global_row_number, quantiles_of, size, value_counts
+from ..functions.dist import normal_upper
+from ..sources.shared import keep
+from .ranks import average_rank, counted_below, global_row_number, medians, quantiles_of, size, value_counts
 
 
 def wilcoxon(diffs: DataFrame, by: list[str], value: str = "diff", least: int = 1) -> DataFrame:
@@ -88,11 +90,19 @@ def friedman(df: DataFrame, columns: list[str], by: list[str], least: int = 5) -
     return out.select(*by, "n", value.alias("chi2"))
 
 
+#: Shares of a group that are cut to their first rows on their own.
+SHARES = 64
+
+
 def hodges_lehmann(diffs: DataFrame, by: list[str], value: str = "diff", most: int = 4000, seed: int = 42) -> DataFrame:
     """Median of the pairwise means; of more than ``most`` differences a hash-ordered subset is used, as the statistic prescribes."""
     w = W.partitionBy(*by)
     rows = diffs.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_d"), "sku_id")
-    rows = rows.withColumn("_i", F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(str(seed)), "sku_id")), "sku_id"))).filter(F.col("_i") <= most).drop("sku_id")
+    # the first of each share, then the first of those: no task numbers a whole group
+    first = [F.md5(F.concat(F.lit(str(seed)), "sku_id")), F.col("sku_id")]
+    shares = W.partitionBy(*by, "_share").orderBy(*first)
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64("sku_id"), F.lit(SHARES))).withColumn("_i", F.row_number().over(shares)).filter(F.col("_i") <= most)
+    rows = rows.withColumn("_i", F.row_number().over(w.orderBy(*first))).filter(F.col("_i") <= most).drop("sku_id", "_share")
     other = rows.select(*(F.col(b).alias(f"_o_{b}") for b in by), F.col("_d").alias("_e"), F.col("_i").alias("_j"))
     on = [F.col(b).eqNullSafe(F.col(f"_o_{b}")) for b in by]
     pairs = rows.join(other, [*on, F.col("_i") <= F.col("_j")])
@@ -142,15 +152,48 @@ def cluster_bootstrap(df: DataFrame, value: str, cluster: str, by: tuple[str, ..
     return _interval(each.groupBy(*by, "_b", "_k").agg(F.percentile("_v", F.lit(0.5), F.col("_times")).alias("_m")), by, "clusters")
 
 
-def simple_bootstrap(df: DataFrame, value: str, by: tuple[str, ...], tie: str, draws: int = 5000, seed: int = 42) -> DataFrame:
-    """``by, n, lo, hi``: the 95% interval of the median over resampled rows, which ``value`` and ``tie`` number within a group."""
+def simple_bootstrap(df: DataFrame, value: str, by: tuple[str, ...], draws: int = 5000, seed: int = 42) -> DataFrame:
+    """``by, n, lo, hi``: the 95% interval of the median over resampled rows.
+
+    A draw takes places among the group's ordered values, so its median is what stands at its
+    middle places: each draw is sorted within its row, and only those two places are looked
+    up among the values, which are numbered by counting.
+    """
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.col(tie).alias("_c"))
-    numbered = rows.withColumn("_i", (F.row_number().over(W.partitionBy(*by).orderBy("_v", "_c")) - 1).cast("long"))
-    k = rows.groupBy(*by).agg(F.count("*").alias("_k"))
-    places = k.select(*by, "_k", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).select("*", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_j"))
-    each = _drawn(places, seed).groupBy(*by, "_k", "_b", "_i").agg(F.count("*").alias("_times")).join(numbered, [*by, "_i"])
-    return _interval(each.groupBy(*by, "_b", "_k").agg(F.percentile("_v", F.lit(0.5), F.col("_times")).alias("_m")), by, "n")
+    placed = counted_below(value_counts(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), "_v", by), "_v", by)
+    values = placed.select(*by, "_v", F.explode(F.sequence(F.col("_below"), F.col("_below") + size() - 1)).alias("_i"))
+    k = placed.groupBy(*by).agg(F.max("_m").alias("_k"))
+    key = lambda j: F.concat_ws(":", F.lit(str(seed)), F.col("_b").cast("string"), j.cast("string"))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("_k")), lambda j: F.pmod(F.conv(F.substring(F.md5(key(j)), 1, 12), 16, 10).cast("long"), F.col("_k")))
+    each = k.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition(*by, "_b").withColumn("_d", F.array_sort(drawn))
+    middle = F.explode(F.array(F.element_at("_d", F.floor((F.col("_k") + 1) / 2).cast("int")), F.element_at("_d", F.floor(F.col("_k") / 2).cast("int") + 1)))
+    medians = each.select(*by, "_k", "_b", middle.alias("_i")).join(values, [*by, "_i"]).groupBy(*by, "_b", "_k").agg(F.avg("_v").alias("_m"))
+    return _interval(medians, by, "n")
+
+
+def two_sided(z: Column | str) -> Column:
+    """The two-sided normal p of z."""
+    upper = normal_upper(z)
+    return F.least(F.lit(1.0), 2 * F.least(upper, 1 - upper))
+
+
+def pairwise(costs: DataFrame, models: tuple[str, ...], by: tuple[str, ...], value: str = "cost_at_target", unit: str = "sku_id", draws: int = 5000, digits: int = 6) -> DataFrame:
+    """Every two models on their common units: wins, medians, signed ranks with two-sided p, Holm over the family ``by``, interval and Hodges-Lehmann shift.
+
+    ``by, model_a, model_b, n_pairs, wins_a, wins_b, median_a, median_b, median_diff, z, r_rank_biserial, p, p_holm, lo, hi, hodges_lehmann``
+    """
+    by = list(by)
+    pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+    wide = costs.groupBy(*by, unit).pivot("model", list(models)).agg(F.first(value))
+    cell = F.explode(F.array(*(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.round(a, digits).alias("a"), F.round(b, digits).alias("b")) for a, b in pairs)))
+    rows = keep(wide.withColumn("_x", cell).select(*by, F.col(unit).alias("sku_id"), "_x.*").na.drop(subset=["a", "b"]).withColumn("diff", F.round(F.col("a") - F.col("b"), digits)))
+    keys = [*by, "model_a", "model_b"]
+    wins = rows.groupBy(*keys).agg(F.count_if(F.col("diff") < 0).alias("wins_a"), F.count_if(F.col("diff") > 0).alias("wins_b"))
+    test = wilcoxon(rows, keys).withColumn("z", F.round("z", digits)).withColumn("p", two_sided("z"))
+    found = test.select(*keys, "n_pairs", "median_diff", "z", "r_rank_biserial", "p")
+    for other in (wins, medians(rows, ["a", "b"], keys, "median_"), simple_bootstrap(rows, "diff", tuple(keys), draws).drop("n"), hodges_lehmann(rows, keys)):
+        found = found.join(other, keys)
+    return holm(keep(found), "p", tuple(by))  # a row for each two models
 
 
 def effect_size(w: Column, n: Column) -> Column:

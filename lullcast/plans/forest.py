@@ -15,7 +15,7 @@ from ..operators.panel import event_rows
 from ..sources.shared import keep
 from .base import EV, LUMPY, STATS, events, query, table, tidy, with_, with_recursive
 from .panels import _CAL, _LAGS, _TARGET, LISTS, ORIGINS, _roll, croston_sql
-from .policies import _ACC, _COSTS, _H1_P, _H2_OUT, _H2_P, _REL, _SUM, _TAUS, _TRACE, _TREND, HORIZON, _h2, _paired, _sim, _wilcoxon_sql, _with_p
+from .policies import _ACC, _COSTS, _H1_P, _H2_OUT, _H2_P, _REL, _SUM, _TAUS, _TRACE, _TREND, HORIZON, _boot_sql, _h2, _holm_sql, _paired, _sim, _wilcoxon_sql, _with_p
 
 MODELS = ("rf", "croston_sba")
 #: A forest of five trees over the features of ``features.matrix``, fitted on the smallest tables:
@@ -39,19 +39,23 @@ FOREST = [
 ]
 
 
-def _inputs(spark, sf):
-    """Both models' forecasts of the lumpy series on validation and test days, stored: the forest's look-ahead features end before the panel."""
+def _inputs(spark, sf, models=MODELS):
+    """The models' forecasts of the lumpy series on validation and test days, stored: the forest's look-ahead features end before the panel."""
     p = events(spark, sf)
     p = p.join(classify.classified(p).filter("lumpy").select("sku_id"), "sku_id", "left_semi")
     rows = forecast.RATES["croston_sba"](ml.frozen(features.matrix(p, HORIZON), FOREST, "_rf")).withColumnRenamed("target", "actual")
-    pairs = F.array(F.struct(F.lit("rf").alias("model"), F.round("_rf", 6).alias("pred_sum")), F.struct(F.lit("croston_sba").alias("model"), F.round(F.col("rate") * HORIZON, 6).alias("pred_sum")))
+    sums = {"rf": F.col("_rf"), "croston_sba": F.col("rate") * HORIZON}
+    if "ma7" in models:
+        rows = forecast.RATES["ma7"](rows.withColumnRenamed("rate", "_croston")).withColumnRenamed("rate", "_ma7").withColumnRenamed("_croston", "rate")
+        sums["ma7"] = F.col("_ma7") * HORIZON
+    pairs = F.array(*(F.struct(F.lit(m).alias("model"), F.round(sums[m], 6).alias("pred_sum")) for m in models))
     rows = rows.withColumn("_x", F.explode(pairs)).select("sku_id", "day", "demand", "actual", "cat_id", "_x.*")
     return origins.split_days(rows, origins.rolling_origins(event_rows(table(spark, sf, "events"))))
 
 
-def _levels(spark, sf):
+def _levels(spark, sf, models=MODELS):
     """Order-up-to levels on test days; days without a forecast take the one before, or the first after."""
-    rows = keep(_inputs(spark, sf))
+    rows = keep(_inputs(spark, sf, models))
     err = rows.filter("split = 'val'").withColumn("err", F.col("actual") - F.col("pred_sum")).filter("err is not null")
     ss = policy.quantiles(err, ["model", "origin", "sku_id"])
     own = rows.filter("split = 'test'").join(ss, ["model", "origin", "sku_id"])
@@ -61,8 +65,8 @@ def _levels(spark, sf):
     return own.withColumn("_l", level).select(*policy.PATH, "day", "demand", filled.alias("level"))
 
 
-def _equal(spark, sf):
-    sweep = policy.summarise(policy.simulate_net(_levels(spark, sf)), horizon=HORIZON).withColumn("fill_rate", F.round("fill_rate", 9))
+def _equal(spark, sf, models=MODELS):
+    sweep = policy.summarise(policy.simulate_net(_levels(spark, sf, models)), horizon=HORIZON).withColumn("fill_rate", F.round("fill_rate", 9))
     return policy.at_equal_service(policy.with_costs(sweep))
 
 
@@ -146,3 +150,31 @@ def rf_tail_test(spark, sf):
     upper = normal_upper("z")
     out = out.withColumn("p_two_sided", 2 * F.least(upper, 1 - upper))
     return tidy(out.select("origin", "metric", "n_pairs", "n", "z", "r_rank_biserial", "median_diff", "p_two_sided"), 6, median_diff=4, p_two_sided=9)
+
+
+#: The family of comparisons: every two of these, at every target.
+FAMILY = ("rf", "croston_sba", "ma7")
+_MORE = _RF.replace("as rf from feats)", "as rf, round(coalesce(avg(demand) over (partition by sku_id order by day rows between 7 preceding and 1 preceding), 0.0) * 3, 6) as ma7 from feats)").replace("rowz as (", "pred3 as (select * from pred union all select sku_id, day, demand, cat_id, actual, 'ma7', ma7 from fwd),\nrowz as (").replace("from pred p join", "from pred3 p join")
+_FAMILY = f"""
+trio as (select sku_id, origin, fill_target, round(max(cost_at_target) filter (where model = 'rf'), 6) as x1, round(max(cost_at_target) filter (where model = 'croston_sba'), 6) as x2, round(max(cost_at_target) filter (where model = 'ma7'), 6) as x3 from eq where cs = 5 group by all),
+pairs as (select sku_id, origin, fill_target, m.model_a, m.model_b, case m.model_a when 'rf' then x1 else x2 end as a, case m.model_b when 'croston_sba' then x2 else x3 end as b from trio, (values ('rf', 'croston_sba'), ('rf', 'ma7'), ('croston_sba', 'ma7')) m(model_a, model_b)),
+duel as (select *, round(a - b, 6) as diff from pairs where a is not null and b is not null),
+units as (select origin, fill_target, model_a, model_b, sku_id as c, row_number() over (partition by origin, fill_target, model_a, model_b order by diff, sku_id) - 1 as i from duel),
+members as (select origin, fill_target, model_a, model_b, sku_id as c, diff as v from duel),
+counted as (select origin, fill_target, model_a, model_b, count(*) filter (where diff < 0) as wins_a, count(*) filter (where diff > 0) as wins_b, quantile_cont(a, 0.5) as median_a, quantile_cont(b, 0.5) as median_b from duel group by all),
+walsh as (select x.origin, x.fill_target, x.model_a, x.model_b, quantile_cont((x.diff + y.diff) / 2, 0.5) as hodges_lehmann from duel x join duel y on x.origin = y.origin and x.fill_target = y.fill_target and x.model_a = y.model_a and x.model_b = y.model_b and x.sku_id <= y.sku_id group by all)
+"""
+_KEYS = "origin, fill_target, model_a, model_b"
+_P2 = f"least(1.0, 2 * least({normal_upper_sql('z')}, 1 - ({normal_upper_sql('z')})))"
+
+
+@query(
+    "pairwise_family",
+    with_recursive(EV, STATS, LUMPY, ORIGINS, LISTS, _MORE, _LEVELS, _sim(), _TRACE, _SUM, _COSTS, _FAMILY, _wilcoxon_sql("duel", _KEYS, "diff"), _boot_sql(_KEYS, 5000, "k"), f"tested as (select *, {_P2} as p from wilcoxon)", _holm_sql("tested", "p", "held", "origin, fill_target"))
+    + f"select {_KEYS}, n_pairs, wins_a, wins_b, round(median_a, 3) as median_a, round(median_b, 3) as median_b, round(median_diff, 4) as median_diff, z, r_rank_biserial, round(p, 9) as p, round(p_holm, 9) as p_holm, round(lo, 3) as lo, round(hi, 3) as hi, round(hodges_lehmann, 4) as hodges_lehmann from held join counted using ({_KEYS}) join boot using ({_KEYS}) join walsh using ({_KEYS})",
+)
+def pairwise_family(spark, sf):
+    """Every two models at every target: wins, tests with Holm over a target's family, interval and shift."""
+    equal = _equal(spark, sf, FAMILY).filter("cs = 5").select("sku_id", "model", "origin", "fill_target", "cost_at_target")
+    out = stats.pairwise(equal, FAMILY, ("origin", "fill_target"))
+    return tidy(out, 6, median_a=3, median_b=3, median_diff=4, p=9, p_holm=9, lo=3, hi=3, hodges_lehmann=4)

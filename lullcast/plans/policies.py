@@ -211,7 +211,13 @@ def nonmonotone_curves(spark, sf):
     return tidy(each.groupBy("model", "origin").agg(F.count("*").alias("n"), F.count_if("falls").alias("n_falling")))
 
 
-@query("simulation_invariants", "select true as stock_balance, true as backlog_balance, true as non_negative, true as units_balance, true as position_reached")
+_RESIDUALS = """
+residuals as (select abs(net - (before + received - demand)) as stock, abs(backlog - (greatest(-net0, 0.0) + sum(unmet - settled) over (partition by sku_id, model, origin, tau order by day))) as owed,
+  least(on_hand, backlog, unmet, served, placed) as least, abs(served + unmet - demand) as units, net + under + placed - level as above from trace)
+"""
+
+
+@query("simulation_invariants", with_recursive(*_BASE, _SS, _sim(), _TRACE, _RESIDUALS) + "select max(stock) < 1e-6 as stock_balance, max(owed) < 1e-6 as backlog_balance, min(least) > -1e-6 as non_negative, max(units) < 1e-6 as units_balance, min(above) > -1e-6 as position_reached from residuals")
 def simulation_invariants(spark, sf):
     return policy.invariants(policy.simulate_net(_levels(spark, sf)))
 
@@ -471,19 +477,20 @@ def cluster_bootstrap(spark, sf):
     return tidy(stats.cluster_bootstrap(rows, "rel", "store", ("origin",)))
 
 
-@query("simple_bootstrap", with_recursive(*_ALL, _REL, _ROWS, _boot_sql("origin", 1000, "n")) + "select origin, n, lo, hi from boot")
+@query("simple_bootstrap", with_recursive(*_ALL, _REL, _ROWS, _boot_sql("origin", 5000, "n")) + "select origin, n, lo, hi from boot")
 def simple_bootstrap(spark, sf):
     """Intervals of the median relative cost over resampled series."""
-    return tidy(stats.simple_bootstrap(_relative(spark, sf).filter("cs = 5 and fill_target = 0.95"), "rel", ("origin",), "sku_id", 1000))
+    return tidy(stats.simple_bootstrap(_relative(spark, sf).filter("cs = 5 and fill_target = 0.95"), "rel", ("origin",)))
 
 
 @query("heterogeneity", with_recursive(*_ALL, _REL, """meta as (select distinct sku_id, cat_id, store_id, state_id from panel)""", """
-het as (select 'cat_id' as dimension, cat_id as value, rel from rel join meta using (sku_id) where cs = 5 and fill_target = 0.95 union all select 'store_id', store_id, rel from rel join meta using (sku_id) where cs = 5 and fill_target = 0.95 union all select 'state_id', state_id, rel from rel join meta using (sku_id) where cs = 5 and fill_target = 0.95)""", _wilcoxon_sql("het", "dimension, value", "rel")) + "select dimension, value, n_pairs, round(median_diff, 6) as median_diff, n, w_pos, w_neg, z, r_rank_biserial from wilcoxon")
+het as (select 'cat_id' as dimension, cat_id as value, rel from rel join meta using (sku_id) where cs = 5 and fill_target = 0.95 union all select 'store_id', store_id, rel from rel join meta using (sku_id) where cs = 5 and fill_target = 0.95 union all select 'state_id', state_id, rel from rel join meta using (sku_id) where cs = 5 and fill_target = 0.95)""", _wilcoxon_sql("het", "dimension, value", "rel"), f"hetp as (select *, {normal_upper_sql('-z')} as p from wilcoxon)", _holm_sql("hetp", "p", "heth", "dimension")) + "select dimension, value, n_pairs, round(median_diff, 6) as median_diff, n, w_pos, w_neg, z, r_rank_biserial, round(p, 9) as p, round(p_holm, 9) as p_holm from heth")
 def heterogeneity(spark, sf):
     meta = events(spark, sf).groupBy("sku_id").agg(*(F.min(c).alias(c) for c in ("cat_id", "store_id", "state_id")))
     rows = _relative(spark, sf).filter("cs = 5 and fill_target = 0.95").join(meta, "sku_id")
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("cat_id", "store_id", "state_id"))))
-    return tidy(stats.wilcoxon(rows.withColumn("x", pairs).select("x.*", "rel"), ["dimension", "value"], "rel").drop("mean_diff", "n_neg"))
+    found = stats.wilcoxon(rows.withColumn("x", pairs).select("x.*", "rel"), ["dimension", "value"], "rel").withColumn("z", F.round("z", 6)).withColumn("p", normal_upper(-F.col("z")))
+    return tidy(stats.holm(keep(found), "p", ("dimension",)).drop("mean_diff", "n_neg"), p=9, p_holm=9)  # a row for each value
 
 
 @query("cost_ratio_invariance", with_recursive(*_ALL, _REL) + "select origin, fill_target, round(max(abs(m - m5)), 6) as max_deviation from (select origin, fill_target, cs, quantile_cont(rel, 0.5) as m, max(quantile_cont(rel, 0.5)) filter (where cs = 5) over (partition by origin, fill_target) as m5 from rel group by 1, 2, 3) group by 1, 2")

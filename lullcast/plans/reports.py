@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dist import normal_upper, normal_upper_sql
 from ..operators import claims, classify, forecast, origins, panel, policy, ranks, sampling, stats
 from ..sources import artefacts, retail
+from ..sources.shared import keep
 from .base import EV, LUMPY, STATS, events, query, table, tidy, with_, with_recursive
 from .panels import _TUNE, _TUNE_LAG, _TUNE_MSE, LISTS, ORIGINS
 from .policies import _ACC, _ALL, _BASE, _REL, _TREND, HORIZON, MODELS, _accuracy, _boot_sql, _equal, _errors, _inputs, _relative, _trend, _wilcoxon_sql
@@ -58,17 +60,20 @@ mid as (select origin, measure, quantile_cont(d, 0.5) as median_delta from delta
 """
 
 
-@query("h2_absolute_relative", with_recursive(*_ALL, _REL, _TREND, _DELTAS, _boot_sql("origin, measure", 500, "n")) + "select origin, measure, n, round(median_delta, 4) as median_delta, round(lo, 4) as lo, round(hi, 4) as hi, lo <= 0 and hi >= 0 as contains_zero from boot join mid using (origin, measure)")
+@query("h2_absolute_relative", with_recursive(*_ALL, _REL, _TREND, _DELTAS, _boot_sql("origin, measure", 5000, "n"), _wilcoxon_sql("deltas", "origin, measure", "d"), "ups as (select origin, measure, avg(cast(d > 0 as int)) as share_above from deltas group by all)") + f"select origin, measure, b.n, round(median_delta, 4) as median_delta, round(lo, 4) as lo, round(hi, 4) as hi, lo <= 0 and hi >= 0 as contains_zero, round(share_above, 6) as share_above, round({normal_upper_sql('z')}, 9) as p_greater from boot b join mid using (origin, measure) join ups using (origin, measure) join wilcoxon using (origin, measure)")
 def h2_absolute_relative(spark, sf):
-    """The growth of the cost difference from the lowest to the highest target, relative and absolute, with intervals."""
-    rel = _trend(spark, sf).na.drop()
-    absolute = _relative(spark, sf).filter("cs = 5").groupBy("sku_id", "origin").pivot("fill_target", list(policy.TARGETS)).agg(F.first("diff")).toDF("sku_id", "origin", "t90", "t95", "t98")
-    deltas = rel.select("origin", "sku_id", F.lit("relative").alias("measure"), F.round(F.col("t98") - F.col("t90"), 9).alias("d"))
-    deltas = deltas.unionByName(absolute.join(rel.select("origin", "sku_id"), ["origin", "sku_id"], "left_semi").select("origin", "sku_id", F.lit("absolute").alias("measure"), F.round(F.col("t98") - F.col("t90"), 4).alias("d")))
-    mid = deltas.groupBy("origin", "measure").agg(F.percentile("d", F.lit(0.5)).alias("median_delta"))
-    out = stats.simple_bootstrap(deltas, "d", ("origin", "measure"), "sku_id", 500).join(mid, ["origin", "measure"])
+    """The growth of the cost difference from the lowest to the highest target, relative and absolute: interval, share above 0 and one-sided p."""
+    rows = _relative(spark, sf).filter("cs = 5")
+    wide = lambda c: rows.groupBy("sku_id", "origin").pivot("fill_target", list(policy.TARGETS)).agg(F.first(c)).toDF("sku_id", "origin", "t90", "t95", "t98").na.drop()
+    grown = lambda c, digits, name: wide(c).select("origin", "sku_id", F.lit(name).alias("measure"), F.round(F.col("t98") - F.col("t90"), digits).alias("d"))
+    deltas = keep(grown("rel", 9, "relative").unionByName(grown("diff", 4, "absolute")))
+    by = ["origin", "measure"]
+    test = stats.wilcoxon(deltas, by, "d").select(*by, F.col("median_diff").alias("median_delta"), F.round("z", 6).alias("z"))
+    ups = deltas.groupBy(*by).agg(F.avg((F.col("d") > 0).cast("int")).alias("share_above"))
+    out = stats.simple_bootstrap(deltas, "d", tuple(by)).join(test, by).join(ups, by)
     rounded = [F.round(c, 6).alias(c) for c in ("lo", "hi")]
-    return tidy(out.select("origin", "measure", "n", "median_delta", *rounded).withColumn("contains_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0)), 4)
+    out = out.select(*by, "n", "median_delta", *rounded, "share_above", normal_upper("z").alias("p_greater"))
+    return tidy(out.withColumn("contains_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0)), 4, share_above=6, p_greater=9)
 
 
 _EARLY = """
