@@ -1,71 +1,52 @@
-"""Rate models that need a whole series at once: temporal aggregation and a tuned Croston rate."""
+"""Rate models that need a whole series at once: temporal aggregation and a tuned Croston rate, as folds over one array a series."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Smoothing weights that are tried: from 0.10 to 0.30.
+GRID = tuple(i / 100 for i in range(10, 31))
+MODELS = ("adida", "imapa", "croston_optimised")
 
-def _smooth(x: np.ndarray, alpha: float) -> float:
-    level = x[0]
-    for v in x[1:]:
-        level = alpha * v + (1 - alpha) * level
-    return float(level)
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is made once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _best_smooth(x: np.ndarray, grid: np.ndarray = np.linspace(0.1, 0.3, 21)) -> float:
-    """Smoothing with the grid value of the least squared one-step error."""
-    if len(x) < 2:
-        return float(x[-1]) if len(x) else 0.0
-    best = (np.inf, 0.0)
-    for a in grid:
-        level, loss = x[0], 0.0
-        for v in x[1:]:
-            loss += (v - level) ** 2
-            level = a * v + (1 - a) * level
-        best = min(best, (loss, float(level)))
-    return best[1]
 
+def best_smooth(values: str) -> str:
+    """SQL: the array's level after smoothing with the weight of the least squared one-step error (equal ones: the least level); 0 of none."""
+    grid = "array(" + ", ".join(f"{a!r}e0" for a in GRID) + ")"
+    start = f"transform({grid}, a -> named_struct('loss', 0e0, 'level', x[0], 'a', a))"
+    step = "(s, v) -> transform(s, t -> named_struct('loss', t.loss + (v - t.level) * (v - t.level), 'level', t.a * v + (1 - t.a) * t.level, 'a', t.a))"
+    fold = f"aggregate(slice(x, 2, size(x)), {start}, {step}, s -> array_min(transform(s, t -> named_struct('loss', t.loss, 'level', t.level))).level)"
+    return _let("x", values, f"CASE size(x) WHEN 0 THEN 0e0 WHEN 1 THEN x[0] ELSE {fold} END")
 
-def adida(demand: np.ndarray) -> float:
-    """Sums over buckets of the mean interval between demands, smoothed, and dealt back to days."""
-    at = np.flatnonzero(demand > 0)
-    if not len(at):
-        return 0.0
-    width = max(1, round(float(np.diff(np.append(-1, at)).mean())))
-    return _bucketed(demand, width)
 
+def bucketed(width: str) -> str:
+    """SQL: the smoothed sums of ``d`` over buckets of ``width`` days, counted back from its end, as a rate a day."""
+    sums = "transform(sequence(1, n), i -> aggregate(slice(d, size(d) - n * w + (i - 1) * w + 1, w), 0e0, (a, v) -> a + v))"
+    return _let("w", width, _let("n", "CAST(size(d) DIV w AS INT)", f"CASE WHEN n = 0 THEN 0e0 ELSE {best_smooth(sums)} / w END"))
 
-def _bucketed(demand: np.ndarray, width: int) -> float:
-    n = len(demand) // width
-    return _best_smooth(demand[len(demand) - n * width :].reshape(n, width).sum(axis=1)) / width if n else 0.0
 
+#: Sizes of the demands, days between them (the first from the start), and the mean of those days, whole and 1 at least.
+SIZES = "filter(d, v -> v > 0)"
+PLACES = "filter(transform(sequence(1, size(d)), i -> CASE WHEN d[i - 1] > 0 THEN i END), p -> p IS NOT NULL)"
+GAPS = _let("p", PLACES, "transform(p, (q, i) -> CAST(q - CASE WHEN i = 0 THEN 0 ELSE p[i - 1] END AS DOUBLE))")
+WIDTH = _let("p", PLACES, "CAST(greatest(1, bround(p[size(p) - 1] / size(p))) AS INT)")
+RATES = {
+    # sums over buckets of the mean interval, dealt back to days
+    "adida": bucketed(WIDTH),
+    # the mean of such rates over all widths up to the mean interval
+    "imapa": _let("m", WIDTH, f"aggregate(transform(sequence(1, m), b -> {bucketed('b')}), 0e0, (a, v) -> a + v) / m"),
+    "croston_optimised": f"{best_smooth(SIZES)} / {best_smooth(GAPS)}",
+}
 
-def imapa(demand: np.ndarray) -> float:
-    """The mean of the bucketed rates over all widths up to the mean interval between demands."""
-    at = np.flatnonzero(demand > 0)
-    if not len(at):
-        return 0.0
-    widest = max(1, round(float(np.diff(np.append(-1, at)).mean())))
-    return float(np.mean([_bucketed(demand, w) for w in range(1, widest + 1)]))
 
-
-def croston_optimised(demand: np.ndarray) -> float:
-    at = np.flatnonzero(demand > 0)
-    if not len(at):
-        return 0.0
-    return _best_smooth(demand[at]) / _best_smooth(np.diff(np.append(-1, at)).astype(float))
-
-
-MODELS = {"adida": adida, "imapa": imapa, "croston_optimised": croston_optimised}
-
-
-def rates(panel: DataFrame, day: int) -> DataFrame:
-    """``sku_id, model, rate`` from each series' days before ``day``; one series is one group."""
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        d = df.sort_values("day").demand.to_numpy(float)
-        return pd.DataFrame({"sku_id": df.sku_id.iloc[0], "model": list(MODELS), "rate": [f(d) for f in MODELS.values()]})
-
-    return panel.filter(panel.day < day).select("sku_id", "day", "demand").groupBy("sku_id").applyInPandas(one, "sku_id string, model string, rate double")
+def rates(panel: DataFrame, starts: DataFrame) -> DataFrame:
+    """``sku_id, origin, model, rate`` from each series' days before each of ``starts (origin, start)``, a few rows; 0 without demand."""
+    rows = panel.join(F.broadcast(starts), F.col("day") < F.col("start"))  # a row for each origin
+    series = rows.groupBy("sku_id", "origin").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "demand"))), lambda x: x["demand"]).alias("d"))
+    cells = F.array(*(F.struct(F.lit(m).alias("model"), F.expr(f"CASE WHEN exists(d, v -> v > 0) THEN {RATES[m]} ELSE 0e0 END").alias("rate")) for m in MODELS))
+    return series.select("sku_id", "origin", F.explode(cells).alias("x")).select("sku_id", "origin", "x.*")

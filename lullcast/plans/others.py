@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import claims, classify, features, intermittent, ml, origins, panel
 from ..operators.panel import event_rows
-from ..sources import synthetic
+from ..sources import retail, synthetic
 from ..sources.shared import keep
-from .base import EV, STATS, events, query, table, tidy, with_
+from .base import EV, STATS, events, query, table, tidy, with_, with_recursive
 from .boosted import fits
 from .panels import ORIGINS
 
@@ -106,9 +106,27 @@ def rf_grid(spark, sf):
     return tidy(ml.grid(_matrix(spark, sf), 16, 23, [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 5, "maxDepth": 6}]))
 
 
-@query("intermittent_rates")
+_GRID = "[" + ", ".join(map(repr, intermittent.GRID)) + "]"
+#: Every array that is smoothed, then every weight step by step, then the best of each.
+_SMOOTHED = f"""
+hist as (select sku_id, origin, list(demand order by day) as d from panel join origins on day < test_start group by all),
+placed as (select *, list_filter(list_transform(range(1, len(d) + 1), lambda i: case when d[i] > 0 then i end), lambda p: p is not null) as p from hist),
+wide as (select *, cast(greatest(1, round_even(p[len(p)] / len(p), 0)) as int) as m from placed where len(p) > 0),
+arrays as (select sku_id, origin, 'bucket' as kind, w, list_transform(range(1, len(d) // w + 1), lambda i: list_sum(d[len(d) - (len(d) // w) * w + (i - 1) * w + 1 : len(d) - (len(d) // w) * w + i * w])) as x from (select *, unnest(range(1, m + 1)) as w from wide)
+  union all select sku_id, origin, 'size', 0, list_filter(d, lambda v: v > 0) from wide union all select sku_id, origin, 'gap', 0, list_transform(range(1, len(p) + 1), lambda i: cast(p[i] - case when i = 1 then 0 else p[i - 1] end as double)) from wide),
+walk(sku_id, origin, kind, w, x, a, i, level, loss) as (select *, unnest({_GRID}), 1::bigint, x[1], 0.0::double from arrays where len(x) > 0
+  union all select sku_id, origin, kind, w, x, a, i + 1, a * x[i + 1] + (1 - a) * level, loss + (x[i + 1] - level) * (x[i + 1] - level) from walk where i < len(x)),
+best as (select sku_id, origin, kind, w, min({{'s': loss, 'l': level}}).l as level from walk where i = len(x) group by all),
+each as (select h.sku_id, h.origin, m, coalesce((select level / m from best b where b.sku_id = h.sku_id and b.origin = h.origin and kind = 'bucket' and b.w = m), 0.0) as adida, coalesce((select sum(level / w) / m from best b where b.sku_id = h.sku_id and b.origin = h.origin and kind = 'bucket'), 0.0) as imapa,
+  coalesce((select max(level) filter (where kind = 'size') / max(level) filter (where kind = 'gap') from best b where b.sku_id = h.sku_id and b.origin = h.origin), 0.0) as croston_optimised from hist h left join wide w on w.sku_id = h.sku_id and w.origin = h.origin)
+"""
+
+
+@query("intermittent_rates", with_recursive(EV, ORIGINS, _SMOOTHED) + "select sku_id, origin, x.model, round(case x.model when 'adida' then adida when 'imapa' then imapa else croston_optimised end, 4) as rate from each, (values ('adida'), ('imapa'), ('croston_optimised')) x(model)")
 def intermittent_rates(spark, sf):
-    return tidy(intermittent.rates(events(spark, sf), 24), 4)
+    """Aggregated and tuned rates of every series at the start of every test."""
+    starts = origins.rolling_origins(event_rows(table(spark, sf, "events"))).select("origin", F.col("test_start").alias("start"))
+    return tidy(intermittent.rates(events(spark, sf), starts), 4)
 
 
 @query("leaky_target", with_(EV) + """select sku_id, day, sum(demand) over w + (3 - count(*) over w) * last_value(demand) over (partition by sku_id order by day rows between unbounded preceding and unbounded following) as leaky
@@ -132,7 +150,9 @@ def missing_series(spark, sf):
 
 @query("last_day", with_(EV) + "select max(day) as last_day from panel")
 def last_day(spark, sf):
-    return tidy(events(spark, sf).agg(F.max("day").alias("last_day")))
+    """The panel's last day, from the footers of its stored rows."""
+    stored = keep(event_rows(table(spark, sf, "events")))
+    return tidy(retail.last_of(spark, stored.lullcast_path))
 
 
 CLAIMS = [
@@ -166,7 +186,8 @@ def claim_checks(spark, sf):
 
 @query("synthetic_profile_stats")
 def synthetic_profile_stats(spark, sf):
-    """Classes of a generated panel, by the profile that made each series."""
-    p = synthetic.synthetic_panel(spark, 40, 200)
-    s = classify.classified(panel.active(p))
-    return tidy(s.groupBy("lumpy").agg(F.count("*").alias("n"), F.percentile("adi", F.lit(0.5)).alias("adi_median"), F.percentile("cv2", F.lit(0.5)).alias("cv2_median")))
+    """Classes of a generated panel with one series for each part, by the profile that made it."""
+    keys = table(spark, sf, "part").select(F.col("p_partkey").alias("s"))
+    p = synthetic.panel_of(keys, 200)
+    s = classify.classified(panel.active(p)).withColumn("profile", F.col("sku_id").substr(-1, 1))
+    return tidy(s.groupBy("profile").agg(F.count("*").alias("n"), F.count_if("lumpy").alias("n_lumpy"), F.avg("adi").alias("adi_mean"), F.avg("cv2").alias("cv2_mean")))

@@ -103,3 +103,14 @@ def one_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with the same key the one that is first in ``order``."""
     others = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_x")).select(*keys, *(F.col(f"_x.{c}").alias(c) for c in others))
+
+
+def last_of(spark: SparkSession, path: str, column: str = "day", name: str = "last_day") -> DataFrame:
+    """The largest value of a whole-number or date column of Parquet files, from their footers: no column data is read.
+
+    The pushed aggregate is a setting of the reader, so it is set in a session of its own over the same context.
+    """
+    footers = spark.newSession()
+    footers.conf.set("spark.sql.sources.useV1SourceList", "")
+    footers.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return footers.read.parquet(path).agg(F.max(column).alias(name))

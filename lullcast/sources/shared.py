@@ -21,4 +21,6 @@ def keep(df: DataFrame) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     df.write.parquet(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.lullcast_path = where
+    return out

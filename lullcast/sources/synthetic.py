@@ -10,9 +10,14 @@ PROFILES = ((0.95, 8.0, 0.3), (0.9, 8.0, 1.2), (0.3, 4.0, 0.3), (0.25, 6.0, 1.2)
 
 
 def synthetic_panel(spark: SparkSession, series: int = 150, days: int = 900, stores: int = 4, categories: int = 3, seed: int = 42, start: str = "2020-01-01") -> DataFrame:
-    """Each cell's draws come from a hash of (seed, series, day), so partitioning does not change them."""
+    """A panel of ``series`` numbered series."""
+    return panel_of(spark.range(series).withColumnRenamed("id", "s"), days, stores, categories, seed, start)
+
+
+def panel_of(keys: DataFrame, days: int = 900, stores: int = 4, categories: int = 3, seed: int = 42, start: str = "2020-01-01") -> DataFrame:
+    """One series for each number ``s`` of ``keys``: each cell's draws come from a hash of (seed, series, day), so partitioning does not change them."""
     u = lambda *salt: (F.pmod(F.xxhash64(F.lit(seed), *map(F.lit, salt), "s", "day"), F.lit(1_000_003)) + 1) / 1_000_004.0
-    base = spark.range(series).withColumnRenamed("id", "s").withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+    base = keys.select("s").withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
     pick = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in PROFILES)), (F.col("s") % len(PROFILES) + 1).cast("int"))
     normal = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * 3.141592653589793 * u("b"))
     season = 1 + 0.2 * F.sin(2 * 3.141592653589793 * F.col("day") / 7)

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lullcast.functions import dist
-from lullcast.operators import features, ml, origins, policy, ranks, sensitivity
+from lullcast.operators import features, intermittent, ml, origins, policy, ranks, sensitivity, stats
 from lullcast.plans import others
-from lullcast.sources import shared
+from lullcast.sources import retail, shared
 
 
 def series(spark, n=3, days=20, seed=1):
@@ -140,3 +140,84 @@ def test_runs_of_an_empty_panel(spark):
     df = series(spark).limit(0)
     windows = origins.rolling_origins(series(spark), 1, 5, 5)
     assert sensitivity.runs(df, windows, ("ma7",), sensitivity.VARIANTS[:2]).count() == 0
+
+
+def smoothed(x):
+    best = []
+    for a in intermittent.GRID:
+        level, loss = x[0], 0.0
+        for v in x[1:]:
+            loss += (v - level) ** 2
+            level = a * v + (1 - a) * level
+        best.append((loss, level))
+    return min(best)[1]
+
+
+def by_bucket(d, width):
+    n = len(d) // width
+    start = len(d) - n * width
+    return smoothed([sum(d[start + i * width : start + (i + 1) * width]) for i in range(n)]) / width if n else 0.0
+
+
+def test_intermittent_rates_against_loops(spark):
+    rng = random.Random(9)
+    series_ = {f"s{i}": [float(rng.randrange(1, 9)) if rng.random() < p else 0.0 for _ in range(n)] for i, (p, n) in enumerate([(0.9, 30), (0.5, 31), (0.2, 40), (0.05, 60), (0.0, 10), (1.0, 1), (0.1, 3), (0.4, 2)])}
+    series_["only"] = [0.0, 0.0, 5.0]
+    df = spark.createDataFrame([(s, t + 1, v) for s, d in series_.items() for t, v in enumerate(d)], "sku_id string, day int, demand double")
+    starts = spark.createDataFrame([(1, 1000), (2, 25)], "origin int, start int")
+    for r in intermittent.rates(df, starts).collect():
+        d = series_[r.sku_id][: 999 if r.origin == 1 else 24]
+        at = [i + 1 for i, v in enumerate(d) if v > 0]
+        if not at:
+            assert r.rate == 0
+            continue
+        width = max(1, round(at[-1] / len(at)))
+        gaps = [float(b - a) for a, b in zip([0, *at], at, strict=False)]
+        want = {"adida": by_bucket(d, width), "imapa": sum(by_bucket(d, w) for w in range(1, width + 1)) / width, "croston_optimised": smoothed([v for v in d if v > 0]) / smoothed(gaps)}
+        assert r.rate == pytest.approx(want[r.model])
+
+
+def test_last_day_from_footers(spark):
+    kept = shared.keep(series(spark, 3, 33).repartition(3))
+    last = retail.last_of(spark, kept.lullcast_path)
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert last.first().last_day == 33 and "PushedAggregation: [MAX(day)]" in plan and "max(day)" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_pairwise_family_of_few(spark):
+    rng = random.Random(11)
+    rows = [("o", f"s{i}", m, None if i == 3 and m == "c" else round(rng.gauss(mean, 2), 2)) for i in range(12) for m, mean in (("a", 5), ("b", 9), ("c", 5))]
+    df = spark.createDataFrame(rows, "origin string, sku_id string, model string, cost_at_target double")
+    got = {(r.model_a, r.model_b): r for r in stats.pairwise(df, ("a", "b", "c"), ("origin",), draws=300).collect()}
+    cost = {(s, m): v for _, s, m, v in rows}
+    ps = {}
+    for (a, b), r in got.items():
+        d = [round(cost[f"s{i}", a] - cost[f"s{i}", b], 6) for i in range(12) if None not in (cost[f"s{i}", a], cost[f"s{i}", b])]
+        walsh = sorted((x + y) / 2 for i, x in enumerate(d) for y in d[i:])
+        mid = len(walsh) // 2
+        assert r.n_pairs == len(d) == (12 if "c" not in (a, b) else 11) and (r.wins_a, r.wins_b) == (sum(x < 0 for x in d), sum(x > 0 for x in d))
+        assert r.hodges_lehmann == pytest.approx(walsh[mid] if len(walsh) % 2 else (walsh[mid - 1] + walsh[mid]) / 2)
+        assert min(d) <= r.lo <= r.median_diff <= r.hi <= max(d)
+        assert r.p == pytest.approx(min(1.0, math.erfc(abs(r.z) / math.sqrt(2))), abs=1e-9)
+        ps[a, b] = r.p
+    so_far = 0.0
+    for i, pair in enumerate(sorted(ps, key=ps.get)):
+        so_far = max(so_far, min(1.0, (3 - i) * ps[pair]))
+        assert got[pair].p_holm == pytest.approx(so_far)
+
+
+def test_bootstrap_by_places(spark):
+    """The same draws, value by value."""
+    import hashlib
+
+    for values in ([3.0, 1.0, 2.0, 2.0, 9.0], [4.0, 1.0, 7.0, 7.0], [5.0]):
+        df = spark.createDataFrame([("g", v) for v in values] + [("g", None)], "g string, v double")
+        r = stats.simple_bootstrap(df, "v", ("g",), draws=60).first()
+        order, k, found = sorted(values), len(values), []
+        for b in range(1, 61):
+            x = sorted(order[int(hashlib.md5(f"42:{b}:{j}".encode()).hexdigest()[:12], 16) % k] for j in range(1, k + 1))
+            found.append(x[k // 2] if k % 2 else (x[k // 2 - 1] + x[k // 2]) / 2)
+        found.sort()
+        at = lambda q: found[int(q * 59)] + (found[min(int(q * 59) + 1, 59)] - found[int(q * 59)]) * (q * 59 - int(q * 59))  # noqa: B023, E731
+        assert r.n == k and (r.lo, r.hi) == ((None, None) if k < 2 else (pytest.approx(at(0.025)), pytest.approx(at(0.975))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lullcast.config import Config, cells
 from lullcast.functions.dist import normal_upper, signed_rank_upper
-from lullcast.operators import claims, classify, features, forecast, intermittent, panel, policy, ranks, sampling, stats
+from lullcast.operators import claims, classify, features, forecast, panel, policy, ranks, sampling, stats
 from lullcast.sources import artefacts, retail, synthetic
 
 
@@ -389,13 +389,6 @@ def test_synthetic_panel_is_stable(spark):
     assert a.count() == 480 and panel.active(a).count() < 480
 
 
-def test_intermittent_rates():
-    import numpy as np
-
-    d = np.array([0, 0, 4.0, 0, 0, 4.0, 0, 0, 4.0])
-    assert intermittent.adida(d) == pytest.approx(4 / 3) and intermittent.croston_optimised(d) == pytest.approx(4 / 3)
-    assert intermittent.adida(np.zeros(5)) == 0
-
 
 def test_config_overrides():
     c = Config().override({"policy.lead": 3, "classify": {"adi_min": 1.1}})
