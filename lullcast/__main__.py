@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--cells")
         p.add_argument("--series", type=int, default=150)
         p.add_argument("--days", type=int, default=900)
+        p.add_argument("--resume", action="store_true", help="keep the tables that an earlier run with the same inputs and settings has committed")
     args = parser.parse_args(argv)
     spark = session(args.master)
     cfg = config.load(args.config)
@@ -36,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         parser.error("--data is needed")
     panel = retail.normalise(spark.read.parquet(args.data)) if not args.data.endswith((".csv", ".csv.gz")) else retail.read_long(spark, args.data)
     if args.what == "regenerate":
-        study.regenerate(spark, panel, cfg, args.out)
+        study.regenerate(spark, panel, cfg, args.out, resume=args.resume)
         return 0
     if args.what == "verify":
         found = study.verify(spark, panel, cfg, args.out, args.scratch or f"{args.out.rstrip('/')}-verify")

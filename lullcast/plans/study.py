@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,28 +92,41 @@ def _digest(df: DataFrame) -> str:
     return ":".join(str(x) for x in d)
 
 
-def regenerate(spark: SparkSession, panel: DataFrame, cfg: Config, out: str, models: tuple[str, str] = MODELS) -> dict[str, str]:
+def regenerate(spark: SparkSession, panel: DataFrame, cfg: Config, out: str, models: tuple[str, str] = MODELS, resume: bool = False) -> dict[str, str]:
     """Writes every table, the summary and the manifest of the rows' digests; equal inputs and settings give an equal manifest.
 
     Each table is made from the stored ones before it, so nothing is simulated or fitted twice.
+    A table is committed by a marker with its digest and the key of the run's inputs and
+    settings; under ``resume`` committed tables of the same key are read instead of made.
     """
     found: dict[str, str] = {}
-
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        artefacts.rounded(df, cfg.round_digits).write.mode("overwrite").parquet(f"{out}/{name}")
-        stored = spark.read.parquet(f"{out}/{name}")
-        found[name] = _digest(stored)
-        return stored
-
-    stat, sample = population(panel, cfg)
-    keep("series_stats", stat)
-    sample = keep("sample", sample)
-    stored = keep("forecasts", forecasts(panel, sample, cfg, models))
-    made = results(panel, stored, cfg, models)
-    keep("accuracy", made["accuracy"])
-    costs = keep("costs", made["costs"])
-    equal = keep("equalised", policy.at_equal_service(costs, cfg.policy.targets))
-    shown = {name: [r.asDict() for r in artefacts.few(keep(name, df).orderBy("origin"))] for name, df in tests(equal, cfg, models).items()}
+    key = hashlib.sha256(json.dumps([_digest(panel), repr(cfg), list(models)]).encode()).hexdigest()
+
+    def keep(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        marker = f"{out}/{name}.done"
+        done = json.loads(artefacts.read_text(spark, marker)) if resume and artefacts.exists(spark, marker) else {}
+        if done.get("key") != key:
+            artefacts.remove(spark, marker)  # a table that is being replaced is not committed
+            artefacts.rounded(make(), cfg.round_digits).write.mode("overwrite").parquet(f"{out}/{name}")
+            done = {"key": key, "digest": _digest(spark.read.parquet(f"{out}/{name}"))}
+            artefacts.write_text(spark, marker, json.dumps(done, sort_keys=True))
+        found[name] = done["digest"]
+        return spark.read.parquet(f"{out}/{name}")
+
+    keep("series_stats", lambda: population(panel, cfg)[0])
+    sample = keep("sample", lambda: population(panel, cfg)[1])
+    stored = keep("forecasts", lambda: forecasts(panel, sample, cfg, models))
+    keep("accuracy", lambda: results(panel, stored, cfg, models)["accuracy"])
+    costs = keep("costs", lambda: results(panel, stored, cfg, models)["costs"])
+    equal = keep("equalised", lambda: policy.at_equal_service(costs, cfg.policy.targets))
+    made: dict[str, DataFrame] = {}
+
+    def test(name: str) -> DataFrame:
+        if not made:
+            made.update(tests(equal, cfg, models))
+        return made[name]
+
+    shown = {name: [r.asDict() for r in artefacts.few(keep(name, lambda n=name: test(n)).orderBy("origin"))] for name in ("h1", "h2")}
     least = {name: bool(rows) and all(r["supported"] for r in rows) for name, rows in shown.items()}
     artefacts.write_text(spark, f"{out}/summary.json", json.dumps({"models": list(models), **shown, "h1_supported": least["h1"], "h2_supported": least["h2"]}, sort_keys=True, default=str, indent=2))
     artefacts.write_text(spark, f"{out}/manifest.json", json.dumps(found, sort_keys=True, indent=2))
@@ -126,11 +141,17 @@ def verify(spark: SparkSession, panel: DataFrame, cfg: Config, stored: str, scra
 
 
 def sweep(spark: SparkSession, panel: DataFrame, cells: list[tuple[str, Config]]) -> DataFrame:
-    """One row for each cell: smallest adjusted p, and the mean over origins of the median effects."""
+    """One row for each cell: smallest adjusted p, and the mean over origins of the median effects.
+
+    Cells that differ in the policy alone share one table of forecasts.
+    """
     out = None
+    fitted: dict[tuple, DataFrame] = {}
     for name, cfg in cells:
-        _, sample = population(panel, cfg)
-        equal = results(panel, forecasts(panel, sample, cfg), cfg)["equalised"]
+        same = (cfg.classify, cfg.sample, cfg.origins, cfg.policy.review + cfg.policy.lead)
+        if same not in fitted:
+            fitted[same] = keep(forecasts(panel, population(panel, cfg)[1], cfg))
+        equal = results(panel, fitted[same], cfg)["equalised"]
         row = tests(equal, cfg)["h1"].agg(F.min("p_holm").alias("min_p_holm"), F.avg("median_diff").alias("mean_of_medians"), F.max((F.col("p_holm") < 0.05).cast("int")).alias("supported")).withColumn("cell", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
