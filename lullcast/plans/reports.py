@@ -10,7 +10,7 @@ from ..sources import artefacts, retail
 from ..sources.shared import keep
 from .base import EV, LUMPY, STATS, events, query, table, tidy, with_, with_recursive
 from .panels import _TUNE, _TUNE_LAG, _TUNE_MSE, LISTS, ORIGINS
-from .policies import _ACC, _ALL, _BASE, _REL, _TREND, HORIZON, MODELS, _accuracy, _boot_sql, _equal, _errors, _inputs, _relative, _trend, _wilcoxon_sql
+from .policies import _ACC, _ALL, _BASE, _REL, _TREND, HORIZON, MODELS, _accuracy, _boot_sql, _equal, _errors, _inputs, _relative, _wilcoxon_sql
 
 _SEED = "order by md5('42' || user_id || event_type), user_id, event_type limit 6"
 
