@@ -6,10 +6,10 @@ unseen inflections of a known stem count too.  The network reads windows of
 ``WINDOW`` words, one every ``STRIDE`` words, so that all windows overlap and cover
 the whole text; a document's score is that of its highest window.
 
-Training is numpy only, on the driver, from a bounded sample of labelled rows:
+Training is numpy only, in one task, from a bounded sample of labelled rows:
 ``SAMPLE`` of each label at most (twice as many of label 0), the first in hash
 order, texts of any length; of a long one ``PARTS`` parts of ``PART`` characters are
-trained on, so that the driver's memory has a bound.
+trained on, so that the task's memory has a bound.
 First every window takes its document's label, then only the highest windows do.  The
 cut at which the probability is one half comes from a fifth of the sample that the
 weights have not seen.
@@ -21,6 +21,7 @@ both kinds every score is low; tables may be empty and may have other columns.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -309,7 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A network from a bounded sample of labelled rows, of those for which ``usable`` (a column expression) holds.
 
     At most ``sample`` texts with label 1 and twice as many with label 0, of any length, come to
-    the driver, of each at most ``PARTS * PART`` characters: 72 million at most by default.
+    one task, of each at most ``PARTS * PART`` characters: 72 million at most by default.
+    The network is trained there; only its weights come to the driver.
     """
     rows = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y in (0, 1)")
     rows = rows.filter(usable) if usable is not None else rows
@@ -317,8 +319,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = rows.join(own.select("i").distinct(), "i", "left_semi")
     first = lambda y, n: known.filter(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(17)), "i").limit(n)
     chosen = F.broadcast(first(1, sample).unionByName(first(0, 2 * sample)))  # 3 * sample ids at most
-    found = sorted((r.i, r.y, r.t) for r in own.join(chosen, "i").groupBy("i", "y").agg(F.min(parts_of(F.col("t"))).alias("t")).collect())
-    return train([t for _, _, t in found], [y for _, y, _ in found])
+    rows = own.join(chosen, "i").groupBy("i", "y").agg(F.min(parts_of(F.col("t"))).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((i, y, t) for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        net = train([t for _, _, t in found], [y for _, y, _ in found])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    small_batches(docs.sparkSession)
+    made = rows.repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(made.net) if made else train([], [])
 
 
 #: Rows that labels may be learned from.
