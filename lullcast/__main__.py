@@ -9,7 +9,7 @@ import sys
 from . import config
 from .plans import study
 from .session import session
-from .sources import retail, synthetic
+from .sources import artefacts, retail, synthetic
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--data")
         p.add_argument("--scratch")
         p.add_argument("--cells")
+        p.add_argument("--expect", help="checksums (JSON, by path below --data) that the input files must have")
         p.add_argument("--series", type=int, default=150)
         p.add_argument("--days", type=int, default=900)
         p.add_argument("--resume", action="store_true", help="keep the tables that an earlier run with the same inputs and settings has committed")
@@ -35,6 +36,12 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not args.data:
         parser.error("--data is needed")
+    if args.expect:
+        try:
+            artefacts.gate(artefacts.stored_checksums(spark, args.expect), artefacts.checksums(spark, args.data))
+        except artefacts.Changed as e:
+            print(e, file=sys.stderr)
+            return 1
     panel = retail.normalise(spark.read.parquet(args.data)) if not args.data.endswith((".csv", ".csv.gz")) else retail.read_long(spark, args.data)
     if args.what == "regenerate":
         study.regenerate(spark, panel, cfg, args.out, resume=args.resume)

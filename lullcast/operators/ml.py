@@ -64,12 +64,14 @@ def trees(model: PipelineModel) -> list:
     return [plain(t._call_java("rootNode")) for t in ensemble.trees]
 
 
+def number(x) -> str:
+    """A double in every dialect."""
+    return f"{float(x):.17g}" + ("" if "e" in f"{float(x):.17g}" else "e0")
+
+
 def as_sql(forest: list, before: str = "") -> str:
     """The mean of the trees' values as one SQL expression over the features' columns (``before``: what their names follow), not below 0; rows with a null feature have null."""
 
-    def number(x) -> str:
-        return f"{float(x):.17g}" + ("" if "e" in f"{float(x):.17g}" else "e0")  # a double in every dialect
-
     def case(t) -> str:
         return number(t) if not isinstance(t, tuple | list) else f"CASE WHEN {before}{t[0]} <= {number(t[1])} THEN {case(t[2])} ELSE {case(t[3])} END"
 

@@ -1,4 +1,4 @@
 """The registered queries, each with the SQL that gives the same rows."""
 
-from . import boosted, forest, others, panels, policies, reports, sensitivity  # noqa: F401
+from . import boosted, figures, forest, others, panels, policies, reports, sensitivity, stored  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

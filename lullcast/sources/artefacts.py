@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 DIGITS = 6
 #: Rows at most of what becomes one text on the driver.
 MOST = 100_000
+#: Bytes of a file that is hashed as one value at most, and of a block of longer ones.
+WHOLE, BLOCK = 64 << 20, 1 << 20
 
 
 def few(df: DataFrame) -> list:
@@ -69,13 +73,55 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def checksums(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("manifest.sha256.json",)) -> DataFrame:
-    """``path, sha256`` of every file below ``folder``, without those named in ``skip``."""
+def _open(path: str):
+    """A stream of a file's stored bytes, in a task, on the file system that the path names."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"), compression=None)
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(inner, compression=None)
+
+
+def _by_blocks(block: int):
+    """Digests of files that are read block by block: a task holds one block."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                digest = hashlib.sha256()
+                with _open(path) as stream:
+                    while piece := stream.read(block):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield batch[["path"]].assign(sha256=found)
+
+    return run
+
+
+def _plain(path: str) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/").alias("path")
+
+
+def checksums(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("manifest.sha256.json",), whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
+    """``path, sha256`` of every file below ``folder`` (or of one file), without those named in ``skip``.
+
+    Files of at most ``whole`` bytes are hashed as one value.  Longer ones, of any length, are
+    read in blocks of ``block`` bytes by tasks, each file by one, through Arrow's file systems.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    base = folder.rstrip("/").removeprefix("file://")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    out = files.select(path.alias("path"), F.sha2("content", 256).alias("sha256"))
-    return out.filter(~F.element_at(F.split("path", "/"), -1).isin(*skip)) if skip else out
+    short = files.filter(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"))
+    long = files.filter(F.col("length") > whole).select("path").repartition("path").mapInPandas(_by_blocks(block), "path string, sha256 string")
+    # the scan passes over empty files, so paths come from Spark's own listing
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(_plain("path"))
+    if skip:
+        listed = listed.filter(~F.element_at(F.split("path", "/"), -1).isin(*skip))
+    found = listed.join(short.unionByName(long).select(_plain("path"), "sha256"), "path", "left")
+    base = "/" + folder.rstrip("/").removeprefix("file:").lstrip("/") if folder.startswith(("file:", "/")) else folder.rstrip("/")
+    path = F.col("path")
+    inside = F.when(F.startswith(path, F.lit(base + "/")), F.substring(path, F.lit(len(base) + 2), F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))
+    return found.select(inside.alias("path"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
 
 
 def manifest(spark: SparkSession, folder: str) -> str:
@@ -97,11 +143,21 @@ def manifest_status(stored: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", F.expr("case when b is null then 'missing' when a is null then 'new' when a = b then 'identical' else 'changed' end").alias("status"))
 
 
+def stored_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """``path, sha256`` of a manifest that ``manifest`` made."""
+    found = json.loads(read_text(spark, path))
+    return spark.createDataFrame(sorted(found.items()), "path string, sha256 string")
+
+
+class Changed(ValueError):
+    """Stored checksums that are not found again."""
+
+
 def gate(stored: DataFrame, found: DataFrame) -> None:
     """Raises unless every stored checksum is found again."""
     bad = manifest_status(stored, found).filter("status in ('missing', 'changed')").orderBy("path").limit(20).collect()
     if bad:
-        raise ValueError("inputs differ: " + ", ".join(f"{r.path} ({r.status})" for r in bad))
+        raise Changed("inputs differ: " + ", ".join(f"{r.path} ({r.status})" for r in bad))
 
 
 #: File names of stored forecasts; the model's own name may hold "_o".
@@ -123,6 +179,13 @@ def read_predictions(spark: SparkSession, glob: str, models: tuple[str, ...] = (
     return df
 
 
+def markdown(df: DataFrame, order: list[str], title: str) -> str:
+    """A bounded report table; a value's bars and line ends don't break it."""
+    shown = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"| {' | '.join(map(shown, row))} |" for row in few(df.orderBy(*order))]
+    return "\n".join([f"# {title}", "", f"| {' | '.join(df.columns)} |", "|" + "---|" * len(df.columns), *lines]) + "\n"
+
+
 def base_model(name: str) -> Column:
     """``rf#s42`` -> ``rf``."""
     return F.substring_index(name, "#", 1)
