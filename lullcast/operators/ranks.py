@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Buckets of values at least.
 BUCKETS = 64
-#: Rows of a bucket of ``global_row_number``, about, and buckets at most.
+#: Rows of a bucket, about, and buckets at most.
 ROWS, MOST = 100_000, 1024
+#: Cuts of a block of them: a value is held against each block's last cut, then against one block.
+BLOCK = 32
 #: Keys that are read on the driver to cut the buckets, about.
 KEYS = 8_192
 
@@ -33,15 +36,31 @@ def size() -> Column:
     return F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n)
 
 
+def _cuts(values: DataFrame, value: str) -> DataFrame:
+    """One row: the distinct cuts in order, and every block's last one."""
+    known = F.when(size() > 0, F.col(value))
+    found = values.agg(F.count(known).alias("_rows"), F.percentile_approx(known, [i / MOST for i in range(1, MOST)], 4 * MOST).alias("_all"))
+    wanted = F.least(F.greatest(F.ceil(F.col("_rows") / ROWS), F.lit(BUCKETS)), F.lit(MOST))
+    step = F.floor(MOST / wanted).cast("int")
+    picked = found.select(F.array_distinct(F.filter("_all", lambda c, i: (i + 1) % step == 0)).alias("_cuts"))
+    return picked.withColumn("_last", F.filter("_cuts", lambda c, i: i % BLOCK == BLOCK - 1))
+
+
+def _bucket(value: Column) -> Column:
+    """How many cuts are smaller."""
+    whole = F.size(F.filter("_last", lambda c: c < value)) * BLOCK
+    return whole + F.size(F.filter(F.slice("_cuts", whole + 1, BLOCK), lambda c: c < value))
+
+
 def counted_below(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Adds ``_below`` and ``_m`` to ``value_counts``: how many rows of the group are smaller, and all of them.
 
     Values are bucketed between approximate quantiles, which are part of the plan; a value's
-    number is its number in its bucket plus the sizes of the group's buckets before.
-    ``_bucket`` stays, in the order of values.
+    number is its number in its bucket plus the sizes of the group's buckets before.  Buckets
+    grow in number with the rows of ``values``, up to ``MOST``.  ``_bucket`` stays, in the order of values.
     """
-    cuts = F.broadcast(values.agg(F.array_distinct(F.percentile_approx(F.when(size() > 0, F.col(value)), [i / BUCKETS for i in range(1, BUCKETS)], 1000)).alias("_cuts")))  # one row
-    marked = values.crossJoin(cuts).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    cuts = F.broadcast(_cuts(values, value))  # one row
+    marked = values.crossJoin(cuts).withColumn("_bucket", _bucket(F.col(value))).drop("_cuts", "_last")
     across = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     sizes = marked.groupBy(*keys, "_bucket").agg(F.sum(size()).alias("_size"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lullcast.__main__ import main
-from lullcast.operators import figures
+from lullcast.operators import figures, ranks
 from lullcast.sources import artefacts, retail, shared
 
 FOREST = [("x", 3.0, ("y", 0.5, 1.0, 2.0), ("x", 7.0, 3.0, 4.0)), ("y", 0.5, 1.0, ("x", 5.0, 2.0, 6.0))]
@@ -118,3 +118,19 @@ def test_one_per_key_takes_the_first(spark):
     assert sorted(tuple(r) for r in retail.one_per_key(df, ["k"], "at").collect()) == [("a", 1, "y"), ("b", 5, None)]
     with pytest.raises(ValueError):
         retail.require_unique(df, ["k"])
+
+
+def test_more_buckets_of_values_give_the_same_places(spark, monkeypatch):
+    """Buckets grow with the rows; ties, a large group and one with a single value keep their places."""
+    rng = random.Random(3)
+    rows = [("a", float(rng.randrange(40_000))) for _ in range(6_000)] + [("b", 7.0)] * 50 + [("c", float(v)) for v in range(5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g in "abc":
+        vs = sorted(v for k, v in rows if k == g)
+        want |= {(g, v): (vs.index(v), len(vs)) for v in set(vs)}
+    for least, most in ((100_000, 64), (10, 300), (1, 1024)):
+        monkeypatch.setattr(ranks, "ROWS", least)
+        placed = ranks.counted_below(ranks.value_counts(df, "v", ["g"]), "v", ["g"]).collect()
+        assert {(r.g, r.v): (r._below, r._m) for r in placed} == want
+        assert most / 3 < len({r._bucket for r in placed}) <= 1024
