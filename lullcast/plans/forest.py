@@ -171,7 +171,7 @@ _P2 = f"least(1.0, 2 * least({normal_upper_sql('z')}, 1 - ({normal_upper_sql('z'
 @query(
     "pairwise_family",
     with_recursive(EV, STATS, LUMPY, ORIGINS, LISTS, _MORE, _LEVELS, _sim(), _TRACE, _SUM, _COSTS, _FAMILY, _wilcoxon_sql("duel", _KEYS, "diff"), _boot_sql(_KEYS, 5000, "k"), f"tested as (select *, {_P2} as p from wilcoxon)", _holm_sql("tested", "p", "held", "origin, fill_target"))
-    + f"select {_KEYS}, n_pairs, wins_a, wins_b, round(median_a, 3) as median_a, round(median_b, 3) as median_b, round(median_diff, 4) as median_diff, z, r_rank_biserial, round(p, 9) as p, round(p_holm, 9) as p_holm, round(lo, 3) as lo, round(hi, 3) as hi, round(hodges_lehmann, 4) as hodges_lehmann from held join counted using ({_KEYS}) join boot using ({_KEYS}) join walsh using ({_KEYS})",
+    + f"select {_KEYS}, n_pairs, wins_a, wins_b, round(median_a, 3) as median_a, round(median_b, 3) as median_b, round(median_diff, 4) as median_diff, z, r_rank_biserial, round(p, 9) as p, round(p_holm, 9) as p_holm, round(lo, 3) + 0.0 as lo, round(hi, 3) + 0.0 as hi, round(hodges_lehmann, 4) as hodges_lehmann from held join counted using ({_KEYS}) join boot using ({_KEYS}) join walsh using ({_KEYS})",
 )
 def pairwise_family(spark, sf):
     """Every two models at every target: wins, tests with Holm over a target's family, interval and shift."""
