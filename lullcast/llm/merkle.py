@@ -31,6 +31,8 @@ from .work import Work
 HEIGHT = 12
 #: Rows of one sorted run, about, when leaves are numbered.
 RUN = 250_000
+#: Files of a table of numbered rows: one for so many rows, but up to ``FILES`` in any case.
+FILE_ROWS, FILES = 1 << 14, 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: A proof's step: the sibling's digest (null: the node has none) and whether it stands left.
 STEP = "struct<left: boolean, digest: string>"
@@ -140,27 +142,28 @@ def numbered(rows: DataFrame, tree: str, keys: list[str], work: Work) -> DataFra
     """Adds ``pos`` (from 0, in the order of ``keys`` within a tree) and ``n``, the tree's rows; equal rows take one place each.
 
     Distinct rows are dealt by ranges of their keys; a row's place is its place in its range
-    plus what lies in the ranges before.
+    plus what lies in the ranges before.  Both are stored, in files whose number follows the rows and not the
+    shuffle partitions: each file that a task writes to a local folder starts processes, which the executor waits for.
     """
-    columns = rows.columns
-    distinct = work.save(rows.groupBy(*columns).agg(F.count("*").alias("_c")))
-    parts = max(1, -(-distinct.count() // RUN))
+    columns, total = rows.columns, rows.count()
     order = [F.col(c).asc_nulls_first() for c in keys]
-    ranged = work.save(distinct.repartitionByRange(parts, F.col(tree), *order).withColumn("_part", F.spark_partition_id()))
+    distinct = rows.groupBy(*columns).agg(F.count("*").alias("_c"))
+    ranged = distinct.repartitionByRange(max(1, -(-total // RUN)), F.col(tree), *order).withColumn("_part", F.spark_partition_id())
+    inside = W.partitionBy(tree, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_own", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    ranged = work.save(ranged.coalesce(max(FILES, total // FILE_ROWS)))
     sizes = ranged.groupBy(tree, "_part").agg(F.sum("_c").alias("_size"))
     before = W.partitionBy(tree).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(tree, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(W.partitionBy(tree)).alias("n"))
-    inside = W.partitionBy(tree, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    placed = ranged.withColumn("_own", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(sizes, [tree, "_part"])
+    sizes = work.save(sizes.select(tree, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(W.partitionBy(tree)).alias("n")).coalesce(FILES))
     first = F.col("_before") + F.col("_own")
-    return placed.withColumn("pos", F.explode(F.sequence(first, first + F.col("_c") - 1))).select(*columns, "pos", "n")
+    return ranged.join(sizes, [tree, "_part"]).withColumn("pos", F.explode(F.sequence(first, first + F.col("_c") - 1))).select(*columns, "pos", "n")
 
 
 class Manifest:
     """The blocks of a forest: ``levels[k]`` has ``tree, block, n, nodes, root``; ``roots`` each tree's ``tree, n, root``."""
 
     def __init__(self, leaves: DataFrame, work: Work, height: int = HEIGHT):
-        """``leaves``: ``tree, pos, n, digest``, a stored table."""
+        """``leaves``: ``tree, pos, n, digest``, which are read more than once."""
         self.height, self.work, self.levels = height, work, []
         nodes = leaves.select("tree", "pos", "n", "digest")
         most = leaves.agg(F.max("n")).first()[0] or 0
@@ -205,10 +208,10 @@ def manifest(df: DataFrame, fields: tuple[str, ...] = FIELDS, tree: str = "lang"
     name = F.coalesce(F.concat(F.lit("1"), F.col(tree)), F.lit("0"))  # null first, then by bytes
     other = [F.coalesce(F.concat(F.octet_length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.lit("-")) if (v := (tampered or {}).get(c)) is not None else field(c) for c in fields]
     rows = df.select(name.alias("tree"), F.col(doc_id).alias("doc_id"), digest([field(c) for c in fields]).alias("digest"), digest(other).alias("changed"))
-    leaves = work.save(numbered(rows, "tree", ["doc_id", "digest"], work))
+    leaves = numbered(rows, "tree", ["doc_id", "digest"], work)
     each = Manifest(leaves, work, height)
     tops = each.roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))
-    tops = work.save(numbered(tops, "tree", ["name"], work))
+    tops = numbered(tops, "tree", ["name"], work)
     whole = Manifest(tops, work, height)
     above = work.save(whole.proofs(tops).select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), F.col("steps").alias("above")))
     found = each.proofs(leaves.select("tree", "pos", "doc_id", "digest", "changed"), above.select("tree", "above"))

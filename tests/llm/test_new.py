@@ -231,6 +231,31 @@ def test_manifest_of_few_rows(spark):
     assert manifested(spark, one, 12) == proven(one) and proven(one)[0][-1]
 
 
+def test_manifest_stores_few_files(spark, monkeypatch):
+    """Ranges of few rows and many shuffle partitions: the stored files follow the rows, the places are right."""
+    stored = []
+
+    class Kept(work.Work):
+        def save(self, df):
+            out = super().save(df)
+            stored.append(len(out.inputFiles()))
+            return out
+
+    monkeypatch.setattr(merkle, "Work", Kept)
+    monkeypatch.setattr(merkle, "RUN", 20)
+    rows = [(i % 300, f"s{i % 3}", ["de", "en", None][i % 3], i % 7, f"text {i % 300}") for i in range(400)] + [(7, "s", "en", 1, "same")] * 90
+    asked = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in asked}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        assert manifested(spark, rows, 6) == proven(rows)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert max(stored) <= merkle.FILES and sum(stored) <= 64
+
+
 def test_van_emde_boas_places():
     for height in range(8):
         at = merkle.Layout(height)
