@@ -299,11 +299,11 @@ def middle(logits: np.ndarray, y: np.ndarray, cost: float = 5.0) -> float:
 
 
 def parts_of(text) -> Column:
-    """A text as it is trained on: whole, or ``PARTS`` parts of it."""
+    """A text as it is trained on: whole (null stays null), or ``PARTS`` parts of it."""
     n = F.char_length(text)
     at = lambda i: F.floor(i * (n - PART) / (PARTS - 1)).cast("int") + 1
     spread = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, at(i), F.lit(PART)))
-    return F.when(n <= PARTS * PART, text).otherwise(F.array_join(spread, "\n"))
+    return F.when(n > PARTS * PART, F.array_join(spread, "\n")).otherwise(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, usable=None) -> Network:
