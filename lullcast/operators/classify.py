@@ -19,9 +19,9 @@ def _moments() -> list[Column]:
 
 
 def _finish(df: DataFrame) -> DataFrame:
-    """Mean, CV2 and ADI from mergeable sums; the variance numerator is exact for whole-number demand."""
+    """Mean, CV2 (null below two demands) and ADI from mergeable sums; the variance numerator is exact for whole-number demand."""
     n, s, q = F.col("n_nonzero"), F.col("sum_pos"), F.col("sumsq_pos")
-    var = F.greatest((n * q - s * s) / F.nullif(n * (n - 1), F.lit(0)), F.lit(0.0))
+    var = F.when(n > 1, F.greatest((n * q - s * s) / F.nullif(n * (n - 1), F.lit(0)), F.lit(0.0)))  # greatest passes over nulls
     mean = s / F.nullif(n, F.lit(0))
     return df.withColumns({"mean_pos": mean, "cv2": var / F.nullif(mean * mean, F.lit(0.0)), "adi": F.when(n > 0, F.col("n_active") / F.nullif(n, F.lit(0))).otherwise(F.lit(float("inf")))})
 
