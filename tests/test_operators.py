@@ -44,6 +44,11 @@ def test_one_demand_has_no_cv2(spark):
     assert (r.n_nonzero, r.mean_pos, r.cv2, r.adi) == (1, 3.0, None, 3.0)
 
 
+def test_extended_stats_of_one_demand(spark):
+    r = classify.extended_stats(demand_panel(spark, {"a": [0.0, 3.0, 0.0]})).first()
+    assert (r.cv2, r.first_sale, r.last_sale, r.demand_total) == (None, 2, 2, 3.0)
+
+
 def test_quartile_edges(spark):
     df = spark.createDataFrame([(f"s{i}", float(v), 1.0, "C", "S") for i, v in enumerate([1, 1, 2, 3, 3, 9])], "sku_id string, adi double, cv2 double, cat_id string, state_id string")
     got = [r.adi_q for r in sampling.with_strata(df).orderBy("sku_id").collect()]
