@@ -17,9 +17,10 @@ def _let(name: str, value: str, body: str) -> str:
 
 def best_smooth(values: str) -> str:
     """SQL: the array's level after smoothing with the weight of the least squared one-step error (equal ones: the least level); 0 of none."""
-    grid = "array(" + ", ".join(f"{a!r}e0" for a in GRID) + ")"
-    start = f"transform({grid}, a -> named_struct('loss', 0e0, 'level', x[0], 'a', a))"
-    step = "(s, v) -> transform(s, t -> named_struct('loss', t.loss + (v - t.level) * (v - t.level), 'level', t.a * v + (1 - t.a) * t.level, 'a', t.a))"
+    # both weights are the doubles next to their decimals: 1 - a in doubles may be another one, which decides between equal losses
+    grid = "array(" + ", ".join(f"named_struct('a', {a!r}e0, 'b', {round(1 - a, 2)!r}e0)" for a in GRID) + ")"
+    start = f"transform({grid}, w -> named_struct('loss', 0e0, 'level', x[0], 'a', w.a, 'b', w.b))"
+    step = "(s, v) -> transform(s, t -> named_struct('loss', t.loss + (v - t.level) * (v - t.level), 'level', t.a * v + t.b * t.level, 'a', t.a, 'b', t.b))"
     fold = f"aggregate(slice(x, 2, size(x)), {start}, {step}, s -> array_min(transform(s, t -> named_struct('loss', t.loss, 'level', t.level))).level)"
     return _let("x", values, f"CASE size(x) WHEN 0 THEN 0e0 WHEN 1 THEN x[0] ELSE {fold} END")
 

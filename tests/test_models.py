@@ -177,6 +177,15 @@ def test_intermittent_rates_against_loops(spark):
         assert r.rate == pytest.approx(want[r.model])
 
 
+def test_equal_losses_take_the_weight_that_the_sql_takes(spark):
+    """Gaps 7, 7, 2: no weight has a loss before the last gap but for rounding, which must be that of decimals."""
+    d = [0.0] * 16
+    d[6], d[13], d[15] = 21855.0, 6166.0, 383.0
+    df = spark.createDataFrame([("a", t + 1, v) for t, v in enumerate(d)], "sku_id string, day int, demand double")
+    got = {r.model: r.rate for r in intermittent.rates(df, spark.createDataFrame([(1, 17)], "origin int, start int")).collect()}
+    assert got["croston_optimised"] == pytest.approx(1986.6738, abs=1e-4)
+
+
 def test_last_day_from_footers(spark):
     kept = shared.keep(series(spark, 3, 33).repartition(3))
     last = retail.last_of(spark, kept.lullcast_path)
