@@ -35,6 +35,15 @@ def test_a_draw_is_dealt_over_tasks_and_not_held(spark):
     assert got == {(b, k): (places(b, k)[(k - 1) // 2], places(b, k)[k // 2]) for b in range(1, 121) for k in (5, 40)}
 
 
+def test_groups_share_the_hashes_of_a_draw(monkeypatch):
+    """As in the measures and origins of ``h2_absolute_relative``: the largest group's hashes are all that are made."""
+    made, hashed = [], draws.hashed
+    monkeypatch.setattr(draws, "hashed", lambda prefix, first, last: made.append(last - first + 1) or hashed(prefix, first, last))
+    sizes = [300, 450, 451, 900]
+    assert draws.middles(b"42:9:", sizes) == [(places(9, k)[(k - 1) // 2], places(9, k)[k // 2]) for k in sizes]
+    assert sum(made) == 900
+
+
 def test_bootstrap_of_nothing(spark):
     df = spark.createDataFrame([("g", None)], "g string, v double")
     assert stats.simple_bootstrap(df, "v", ("g",), draws=10).count() == 0
