@@ -36,6 +36,9 @@ def counted(xs: np.ndarray, xn: np.ndarray, ys: np.ndarray, yn: np.ndarray, own:
     """Pairs of a row of x and one of y (``own``: of two rows of the same block, or one twice) whose sum is t at most."""
     if xs[0] + ys[0] > t:
         return 0
+    if xs[-1] + ys[-1] <= t:
+        rows = int(xn.sum())
+        return rows * (rows + 1) // 2 if own else rows * int(yn.sum())
     so_far = np.concatenate(([0], np.cumsum(yn)))
     pairs = int((xn * so_far[_places(xs, ys, t)]).sum())
     return (pairs + int(xn[xs + xs <= t].sum())) // 2 if own else pairs
